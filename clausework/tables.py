@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clausework.functions import text as T
+from clausework.scratch import spread
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,3 +54,20 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("unit_id"), F.col("label").cast("long").alias("document_id"), "embedding"
     )
+
+
+def retrieval_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line units with the three normalised search fields."""
+    docs = spread(load(spark, sf_dir, "documents"))
+    return docs.select(
+        F.col("doc_id").alias("document_id"),
+        T.normalize(F.concat_ws(" ", "lang", "source")).alias("heading_text"),
+        T.normalize(T.first_line("text")).alias("document_text"),
+        F.posexplode(T.lines("text")).alias("pos", "line"),
+    ).select(
+        "document_id",
+        (F.col("pos") + 1).cast("long").alias("unit_order"),
+        T.normalize("line").alias("search_text"),
+        "heading_text",
+        "document_text",
+    )
