@@ -11,3 +11,94 @@ def clause_prefix_join(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     """``ref`` equals the clause or is one of its dotted prefixes, as an equality join."""
     keyed = catalog.withColumn("ref", F.explode(T.clause_prefixes("clause")))
     return refs.join(keyed, "ref")
+
+
+def contains_join(texts: DataFrame, patterns: DataFrame, text: str = "text", pattern: str = "pattern") -> DataFrame:
+    """Every (text, pattern) pair where the pattern is a substring, without a nested loop.
+
+    A text holding a pattern holds its leading gram, so grams give an equality key; ``contains`` then
+    decides. Patterns need two characters or more.
+    """
+    keyed = patterns.withColumn("_gram", F.substring(pattern, 1, 3))
+    grams = texts.withColumn("_gram", F.explode(F.concat(T.char_grams(text, 3), T.char_grams(text, 2))))
+    return grams.join(keyed, "_gram").where(F.contains(text, pattern)).drop("_gram")
+
+
+def or_join(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """Relations touching an entity at either end: two equality joins instead of one OR join."""
+    as_source = relations.join(entities, relations["source_id"] == entities["entity_id"])
+    as_target = relations.where("source_id <> target_id").join(entities, F.col("target_id") == F.col("entity_id"))
+    return as_source.unionByName(as_target)
+
+
+def lexicon_match(queries: DataFrame, probes: DataFrame) -> DataFrame:
+    """Entries whose probe occurs in the question, with required and forbidden context satisfied.
+
+    ``probes``: lexicon_id, pattern, match_type, required array, forbidden array, priority.
+    """
+    hits = contains_join(queries, probes, "question", "pattern")
+    need = (F.size("required") == 0) | F.exists("required", lambda t: F.contains("question", t))
+    bar = F.exists("forbidden", lambda t: F.contains("question", t))
+    exact = (F.col("match_type") != "exact") | (F.col("question") == F.col("pattern"))
+    return hits.where(need & ~bar & exact).groupBy("query_id", "lexicon_id").agg(
+        F.max("priority").alias("priority"), F.max_by("pattern", F.struct(F.char_length("pattern"), "pattern")).alias("pattern")
+    )
+
+
+def best_registry_match(documents: DataFrame, registry: DataFrame, similarity) -> DataFrame:
+    """Registry record with the same number: ordinary records before amendments, then the closest title."""
+    joined = documents.join(registry, "number", "left").withColumn("similarity", similarity)
+    w = W.partitionBy("document_id").orderBy(F.asc_nulls_last("is_amendment"), F.desc_nulls_last("similarity"), F.asc_nulls_last("registry_id"))
+    return joined.withColumn("pick", F.row_number().over(w)).where(F.col("pick") == 1).drop("pick")
+
+
+def decision_join(facets: DataFrame, table: DataFrame, slots: list[str]) -> DataFrame:
+    """Facets with unknown slots expand to every compatible row; facets without a row stay unmapped.
+
+    Unknown slots are left out of the equality key: one join per combination of known slots that occurs.
+    """
+    out = None
+    for known in range(2 ** len(slots)):
+        keys = [s for i, s in enumerate(slots) if known >> i & 1]
+        cond = F.lit(True)
+        for i, s in enumerate(slots):
+            cond = cond & (F.col(s).isNotNull() if known >> i & 1 else F.col(s).isNull())
+        part = facets.where(cond).select("facet_id", *keys)
+        # Without any known slot every row is compatible; the truth table is a small rule table.
+        rows = part.withColumn("_k", F.lit(1)).join(table.withColumn("_k", F.lit(1)), [*keys, "_k"], "left").select("facet_id", "outcome")
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("unmapped", F.col("outcome").isNull())
+
+
+def interval_gaps(ranges: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
+    """Ranges with the overlap against, or the gap after, everything that started earlier."""
+    w = W.partitionBy(key).orderBy(start, end)
+    reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
+    return ranges.withColumn("covered_to", reach).select(
+        key, start, end,
+        F.greatest(F.lit(0), F.coalesce(F.least(F.col(end), F.col("covered_to")) - F.col(start) + 1, F.lit(0))).cast("long").alias("overlap"),
+        F.greatest(F.lit(0), F.coalesce(F.col(start) - F.col("covered_to") - 1, F.lit(0))).cast("long").alias("gap"),
+    )
+
+
+def range_owner(points: DataFrame, ranges: DataFrame, key: str, point: str, bucket: int) -> DataFrame:
+    """Range holding each point, main ranges before exclusions, by bucketed equality instead of a theta join."""
+    spread = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
+    placed = points.withColumn("_b", F.floor(F.col(point) / bucket))
+    inside = F.col(point).between(F.col("start"), F.col("end"))
+    hit = placed.join(spread, [key, "_b"]).where(inside)
+    best = hit.groupBy(key, point).agg(F.min(F.struct("priority", "range_id")).alias("best"))
+    return points.join(best, [key, point], "left").select(key, point, F.col("best.range_id").alias("owner"))
+
+
+def set_compare(left: DataFrame, right: DataFrame, key: str, item: str) -> DataFrame:
+    """Per key: shared, left-only and right-only items of two lists, after normalisation by the caller."""
+    both = left.select(key, item).distinct().withColumn("l", F.lit(True)).join(
+        right.select(key, item).distinct().withColumn("r", F.lit(True)), [key, item], "full"
+    )
+    has_l, has_r = F.col("l").isNotNull(), F.col("r").isNotNull()
+    return both.groupBy(key).agg(
+        F.count_if(has_l & has_r).alias("shared"),
+        F.array_join(F.sort_array(F.collect_set(F.when(has_l & ~has_r, F.col(item)))), "|").alias("left_only"),
+        F.array_join(F.sort_array(F.collect_set(F.when(has_r & ~has_l, F.col(item)))), "|").alias("right_only"),
+    )

@@ -10,3 +10,11 @@ def with_previous_turn(turns: DataFrame, key: str, order: str, text: str, follow
     prev = F.lag(text).over(W.partitionBy(key).orderBy(order))
     joined = F.when(prev.isNotNull() & follows, F.concat(prev, F.lit("\n"), F.col(text))).otherwise(F.col(text))
     return turns.withColumn("question", joined)
+
+
+def scoped_documents(scope: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
+    """Documents each query may use: its known scope values, or all of them when none is known."""
+    inside = scope.join(catalog, key).select("query_id", "document_id")
+    known = scope.join(catalog.select(key).distinct(), key, "left_semi").select("query_id").distinct()
+    free = scope.select("query_id").distinct().join(known, "query_id", "left_anti").withColumn("k", F.lit(1))
+    return inside.unionByName(free.join(catalog.select("document_id").withColumn("k", F.lit(1)), "k").select("query_id", "document_id"))
