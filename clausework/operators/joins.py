@@ -102,3 +102,93 @@ def set_compare(left: DataFrame, right: DataFrame, key: str, item: str) -> DataF
         F.array_join(F.sort_array(F.collect_set(F.when(has_l & ~has_r, F.col(item)))), "|").alias("left_only"),
         F.array_join(F.sort_array(F.collect_set(F.when(has_r & ~has_l, F.col(item)))), "|").alias("right_only"),
     )
+
+
+def match_sources(derived: DataFrame, sources: DataFrame, size: int = 18, coverage: float = 0.22) -> DataFrame:
+    """Source units sharing a reference with a derived text and a long enough common block.
+
+    Both sides come with one row per reference; each pair is compared once.
+    """
+    from clausework.functions.similarity import longest_block
+
+    pairs = derived.join(sources, "ref").select("derived_id", "document_id", "unit_order", "derived_text", "source_text").distinct()
+    scored = pairs.withColumn("m", longest_block(T.compact("derived_text"), T.compact("source_text")))
+    keep = (F.col("m.size") >= size) & (F.col("m.coverage") >= coverage)
+    return scored.where(keep).select("derived_id", "document_id", "unit_order", F.col("m.size").alias("size"), F.round("m.coverage", 6).alias("coverage"))
+
+
+def expand_terms(hits: DataFrame, terms: list) -> DataFrame:
+    """Expansion terms of matched entries, by entry priority then term order, each once."""
+    w = W.partitionBy("query_id").orderBy(F.desc("priority"), "lexicon_id")
+    placed = hits.withColumn("pos", F.row_number().over(w))
+    rows = placed.select("query_id", "pos", F.posexplode(F.array(*terms)).alias("n", "term"))
+    first = rows.groupBy("query_id", "term").agg(F.min(F.struct("pos", "n")).alias("at"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda s: s["term"])
+    return first.groupBy("query_id").agg(F.array_join(ordered, "|").alias("expansions"))
+
+
+def amendment_parents(documents: DataFrame) -> DataFrame:
+    """Parent of each amendment: the document whose number and title without the amendment suffix agree."""
+    bare = F.regexp_replace("title", " ?第?[0-9]*号?修改单$", "")
+    keyed = documents.withColumn("key", F.concat(F.regexp_replace(bare, " ", ""), "number"))
+    parents = keyed.where("not amends").groupBy("key").agg(F.min("document_id").alias("parent_id"))
+    joined = keyed.where("amends").join(parents, "key", "left")
+    return joined.select(F.col("document_id").alias("amendment_id"), F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
+
+
+def apply_deletions(candidates: DataFrame, effects: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Candidates without and with a deletion effect on their keys."""
+    return candidates.join(effects, keys, "left_anti"), candidates.join(effects, keys, "left_semi")
+
+
+def gold_join(gold: DataFrame, leaves: DataFrame, key: str) -> DataFrame:
+    """Gold groups with the leaves holding the same source text; unresolved groups keep null ids."""
+    return gold.join(leaves, key, "left").drop(key)
+
+
+def boundary_audit(parts: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Class of the first, last, previous and next page of each part, and repeated fingerprints at its edges."""
+    doc = keys[0]
+    out = parts
+    for name, at in (("first", F.col("start")), ("last", F.col("end")), ("previous", F.col("start") - 1), ("next", F.col("end") + 1)):
+        side = pages.select(doc, F.col("page").alias("_at"), F.col("class").alias(f"{name}_class"), F.col("fp").alias(f"{name}_fp"))
+        out = out.withColumn("_at", at).join(side, [doc, "_at"], "left").drop("_at")
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    return out.select(
+        *keys, "first_class", "last_class",
+        *[F.coalesce(f"{n}_class", F.lit("outside")).alias(f"{n}_class") for n in ("previous", "next")],
+        (same("previous_fp", "first_fp") | same("next_fp", "last_fp")).alias("duplicate_edge"),
+    )
+
+
+def anchor_check(asked: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Requested numbers per query: missing, blocked, eligible; proceed only if all are eligible."""
+    joined = asked.join(catalog, "number", "left")
+    ok = F.col("can_answer")
+    return joined.groupBy("query_id").agg(
+        F.count("*").alias("requested"), F.count_if(ok.isNull()).alias("missing"), F.count_if(~ok).alias("blocked"),
+        F.count_if(ok).alias("eligible"), (F.count("*") == F.count_if(ok)).alias("proceed"),
+    )
+
+
+def finding_trace(findings: DataFrame, units: DataFrame, documents: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Findings with their unit, document and artifact list."""
+    files = artifacts.groupBy("document_id").agg(F.array_join(F.sort_array(F.collect_list("url")), "|").alias("artifacts"))
+    out = findings.join(units, ["document_id", "unit_order"], "left").join(documents, "document_id", "left").join(files, "document_id", "left")
+    return out.select(
+        "document_id", F.coalesce("unit_order", F.lit(0)).alias("unit_order"), "finding", F.coalesce("unit_chars", F.lit(0)).alias("unit_chars"),
+        "corpus", "document_type", F.coalesce("artifacts", F.lit("")).alias("artifacts"),
+    )
+
+
+def mention_slots(texts: DataFrame, dictionary: list[tuple[str, str, str]], negation: str) -> DataFrame:
+    """Slot state per text from a small rule list: the value, ``conflict`` or ``unknown``. Negated mentions do not count."""
+    states = []
+    for slot in dict.fromkeys(d[0] for d in dictionary):
+        found = F.array_compact(F.array(*[
+            F.when(F.contains(F.replace("text", F.lit(negation + p), F.lit("")), F.lit(p)), F.lit(v)) for s, p, v in dictionary if s == slot
+        ]))
+        values = F.array_distinct(found)
+        state = F.when(F.size(values) == 0, "unknown").when(F.size(values) > 1, "conflict").otherwise(F.get(values, 0))
+        states.append(F.struct(F.lit(slot).alias("slot"), state.alias("state")))
+    return texts.select("document_id", "unit_order", F.inline(F.array(*states)))

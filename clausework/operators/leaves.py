@@ -15,3 +15,134 @@ def citation_flags(units: DataFrame, text: str) -> DataFrame:
     long, enough = F.char_length(text) >= LONG_LIMIT, F.char_length(T.compact(text)) >= MIN_CITABLE
     status = F.when(long, "review_required").when(enough, "pass").otherwise("context_only")
     return units.withColumn("review_status", status).withColumn("citation_eligible", ~long & enough)
+
+
+def derive_leaves(units: DataFrame) -> DataFrame:
+    """Decision table of leaf derivation for (document_id, unit_order, unit_type, text) rows."""
+    long = F.char_length("text") >= LONG_LIMIT
+    front = F.col("unit_type") == "front_matter"
+    stream, table = T.front_matter_flag("text"), T.unstructured_table_flag("text")
+    method = (
+        F.when(F.col("unit_type") == "application_material_row", "application_material_row_linked")
+        .when(~long, "source_unit_with_context")
+        .when(front, "long_front_matter_context_only")
+        .when(stream, "long_ocr_front_matter_context_only")
+        .when(table, "unstructured_table_like_unit_retained")
+        .otherwise("long_atomic_unit_retained")
+    )
+    out = units.withColumn("derivation_method", method)
+    enough = F.char_length(T.compact("text")) >= MIN_CITABLE
+    search = ~front & (F.col("derivation_method") != "long_ocr_front_matter_context_only")
+    status = (
+        F.when(long & (front | (F.col("derivation_method") == "long_ocr_front_matter_context_only")), "context_only")
+        .when(long, "review_required")
+        .when(search & enough, "pass")
+        .otherwise("context_only")
+    )
+    return (
+        out.withColumn("search_eligible", search)
+        .withColumn("review_status", status)
+        .withColumn("citation_eligible", F.col("review_status") == "pass")
+        .withColumn("leaf_id", ids.stable_id("runit", "document_id", "derivation_method", "unit_order", "text"))
+    )
+
+
+def neighbor_context(units: DataFrame, short: int = SHORT_LIMIT) -> DataFrame:
+    """Excerpts of the previous and next unit in the same section or page, for short units."""
+    w = W.partitionBy("document_id").orderBy("unit_order")
+    out = units
+    parts = []
+    for name, label, step in (("before", "前文：", -1), ("after", "后文：", 1)):
+        near = (lambda fn: lambda c: fn(c).over(w))(F.lag if step < 0 else F.lead)
+        related = (F.col("section_path") == near("section_path")) | (F.col("page_start") == near("page_start"))
+        excerpt = F.substring(F.trim(F.regexp_replace(near("text"), "[ \\t\\r\\n]+", " ")), 1, EXCERPT)
+        out = out.withColumn(name, F.when(F.coalesce(related, F.lit(False)) & near("text").isNotNull(), F.concat(F.lit(label), excerpt)))
+        parts.append(F.col(name))
+    context = F.when(F.char_length("text") < short, F.concat_ws("\n", *parts)).otherwise("")
+    return out.withColumn("neighbor_context", context).drop("before", "after")
+
+
+def context_header(title: Column, number: Column, section: Column, clause: Column) -> Column:
+    """Labelled header lines; empty parts are left out."""
+    line = lambda label, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(label), c))
+    return F.concat_ws("\n", F.concat(F.lit("文件："), title), line("标准号：", number), line("章节：", section), line("条款：", clause))
+
+
+def parent_nodes(leaves: DataFrame) -> DataFrame:
+    """Document, section and long-source parents, one row per id. Leaves carry document_id, section_path, unit_order, is_long."""
+    docs = leaves.select(
+        ids.stable_id("rparent", "document_id", F.lit("document_parent")).alias("parent_id"), F.lit("document_parent").alias("node_type"),
+        F.lit("").alias("parent_ref"), "document_id",
+    ).distinct()
+    section_id = ids.stable_id("rparent", "document_id", F.lit("section_parent"), "section_path")
+    sections = leaves.where("section_path <> ''").select(
+        section_id.alias("parent_id"), F.lit("section_parent").alias("node_type"),
+        ids.stable_id("rparent", "document_id", F.lit("document_parent")).alias("parent_ref"), "document_id",
+    ).distinct()
+    longs = leaves.where("is_long").select(
+        ids.stable_id("rparent", "document_id", F.lit("long_source_parent"), "unit_order").alias("parent_id"), F.lit("long_source_parent").alias("node_type"),
+        F.when(F.col("section_path") == "", ids.stable_id("rparent", "document_id", F.lit("document_parent"))).otherwise(section_id).alias("parent_ref"), "document_id",
+    )
+    return docs.unionByName(sections).unionByName(longs)
+
+
+def source_leaf_map(leaves: DataFrame, units: DataFrame) -> DataFrame:
+    """Source unit → its leaves and actions; units without any leaf are marked uncovered."""
+    mapped = leaves.select(F.explode("source_unit_ids").alias("unit_id"), "leaf_id", "derivation_method").groupBy("unit_id").agg(
+        F.count_distinct("leaf_id").alias("leaves"), F.array_join(F.sort_array(F.collect_set("derivation_method")), "|").alias("actions")
+    )
+    return units.select("unit_id").join(mapped, "unit_id", "left").select(
+        "unit_id", F.coalesce("leaves", F.lit(0)).alias("leaves"), F.coalesce("actions", F.lit("")).alias("actions"), F.col("leaves").isNotNull().alias("covered")
+    )
+
+
+def cross_page_status(units: DataFrame, pages: DataFrame) -> DataFrame:
+    """Status of multi-page units by how many of their pages have text. Units: unit_id, document_id, page_start, page_end."""
+    wanted = units.where("page_end > page_start").select("unit_id", "document_id", F.explode(F.sequence("page_start", "page_end")).alias("page_no"))
+    found = wanted.join(pages.where("has_text").select("document_id", "page_no", F.lit(1).alias("ok")), ["document_id", "page_no"], "left")
+    counted = found.groupBy("unit_id").agg(F.count("*").alias("pages"), F.count("ok").alias("with_text"))
+    status = F.when(F.col("pages") == F.col("with_text"), "complete").when(F.col("with_text") == 0, "missing").otherwise("partial")
+    return counted.withColumn("status", status)
+
+
+def best_page_per_label(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """One segment per printed page: most compact text, then best score, then first source; with the candidate list."""
+    pick = F.max(F.struct(F.char_length(T.compact("text")).alias("n"), "score", (-F.col("source_ref")).alias("s"))).alias("best")
+    out = segments.groupBy(*keys).agg(pick, F.count("*").alias("candidates"), F.array_join(F.sort_array(F.collect_list("source_ref")), "|").alias("candidate_refs"))
+    return out.select(*keys, (-F.col("best.s")).alias("source_ref"), F.col("best.n").cast("long").alias("chars"), "candidates", "candidate_refs")
+
+
+def marker_views(rows: DataFrame, key: list[str], columns: list[str], marker: str = "▲") -> DataFrame:
+    """Wide marker matrix → one row per application type with a required flag."""
+    return rows.unpivot(key, columns, "application_type", "marker").select(*key, "application_type", (F.col("marker") == marker).alias("required"))
+
+
+def table_rows(tables: DataFrame) -> DataFrame:
+    """Matrix rows with merged cells carried down; ``matrix`` is array<array<string>> whose first row is the header."""
+    rows = tables.select("table_id", "caption", F.get("matrix", 0).alias("header"), F.posexplode(F.slice("matrix", 2, 100000)).alias("row_no", "cells"))
+    cells = rows.select("table_id", "caption", "header", "row_no", F.posexplode("cells").alias("col_no", "cell"))
+    w = W.partitionBy("table_id", "col_no").orderBy("row_no").rowsBetween(W.unboundedPreceding, 0)
+    filled = cells.withColumn("cell", F.last(F.nullif("cell", F.lit("")), ignorenulls=True).over(w))
+    return filled.groupBy("table_id", "caption", "header", "row_no").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("col_no", "cell"))), lambda c: F.coalesce(c["cell"], F.lit(""))).alias("cells")
+    )
+
+
+def table_row_leaves(tables: DataFrame) -> DataFrame:
+    """Text leaf per table row: caption, then ``header：value`` pairs."""
+    pair = F.zip_with("header", "cells", lambda h, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat_ws("：", F.nullif(h, F.lit("")), v)))
+    return table_rows(tables).select("table_id", "row_no", F.concat_ws("\n", F.nullif("caption", F.lit("")), F.array_join(F.array_compact(pair), "；")).alias("leaf_text"))
+
+
+def wide_page_split(ocr_lines: DataFrame) -> DataFrame:
+    """Two-column pages: lines left or right of the page middle, in reading order; page label from the column's last line."""
+    page = W.partitionBy("document_id", "page_no")
+    side = F.when(F.col("x1") + F.col("x2") < F.max("x2").over(page), "left").otherwise("right")
+    body = ocr_lines.withColumn("side", side).groupBy("document_id", "page_no", "side").agg(
+        F.sort_array(F.collect_list(F.struct("y1", "x1", "text"))).alias("ls"), F.avg("score").alias("score")
+    )
+    texts = F.transform("ls", lambda s: s["text"])
+    last = F.element_at(texts, -1)
+    label = F.when(last.rlike(T.PAGE_MARKER), F.regexp_extract(last, "[0-9]+", 0))
+    kept = F.when(label.isNotNull(), F.slice(texts, 1, F.size(texts) - 1)).otherwise(texts)
+    return body.select("document_id", "page_no", "side", label.alias("page_label"), F.array_join(kept, "\n").alias("text"), "score")
