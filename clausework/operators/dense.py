@@ -104,13 +104,17 @@ def vector_tokens(col):
     return F.flatten(F.transform(words, grams))
 
 
-def hash_vectors(units: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Sparse hashed vectors as rows (keys, idx, w): bucket weight 1 + ln(count) summed, unit length."""
+def hash_buckets(units: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Raw bucket weights (keys, idx, x): 1 + ln(count) per token, summed where tokens share a bucket."""
     counts = units.select(*keys, F.explode(vector_tokens(text)).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
     idx = (F.conv(F.substring(F.sha1("token"), 1, 8), 16, 10).cast("long") % VECTOR_DIM).alias("idx")
-    buckets = counts.select(*keys, idx, (1.0 + F.log(F.col("n").cast("double"))).alias("x")).groupBy(*keys, "idx").agg(F.sum("x").alias("x"))
+    return counts.select(*keys, idx, (1.0 + F.log(F.col("n").cast("double"))).alias("x")).groupBy(*keys, "idx").agg(F.sum("x").alias("x"))
+
+
+def hash_vectors(units: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Sparse hashed vectors as rows (keys, idx, w) of unit length."""
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(*keys)))
-    return buckets.select(*keys, "idx", (F.col("x") / norm).alias("w"))
+    return hash_buckets(units, keys, text).select(*keys, "idx", (F.col("x") / norm).alias("w"))
 
 
 def hash_knn(query_vectors: DataFrame, unit_vectors: DataFrame, unit_keys: list[str], k: int, floor: float = 0.08) -> DataFrame:

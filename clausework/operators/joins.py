@@ -70,14 +70,23 @@ def decision_join(facets: DataFrame, table: DataFrame, slots: list[str]) -> Data
     return out.withColumn("unmapped", F.col("outcome").isNull())
 
 
-def interval_gaps(ranges: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Ranges with the overlap against, or the gap after, everything that started earlier."""
-    w = W.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    return ranges.withColumn("covered_to", reach).select(
+def interval_gaps(ranges: DataFrame, key: str, bucket: int, start: str = "start", end: str = "end") -> DataFrame:
+    """Ranges with the overlap against, or the gap after, everything that started earlier.
+
+    The furthest earlier end is a running maximum. It is taken inside buckets of start values and
+    joined with the maximum of all earlier buckets, so one busy key is still many small windows.
+    """
+    cut = ranges.withColumn("_b", F.floor(F.col(start) / bucket))
+    tops = cut.groupBy(key, "_b").agg(F.max(end).alias("_top"))
+    before = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    heads = tops.select(key, "_b", F.max("_top").over(before).alias("_before"))
+    inside = W.partitionBy(key, "_b").orderBy(start, end).rowsBetween(W.unboundedPreceding, -1)
+    local = cut.withColumn("_local", F.max(end).over(inside)).join(heads, [key, "_b"])
+    reach = F.greatest("_local", "_before")  # nulls are skipped
+    return local.select(
         key, start, end,
-        F.greatest(F.lit(0), F.coalesce(F.least(F.col(end), F.col("covered_to")) - F.col(start) + 1, F.lit(0))).cast("long").alias("overlap"),
-        F.greatest(F.lit(0), F.coalesce(F.col(start) - F.col("covered_to") - 1, F.lit(0))).cast("long").alias("gap"),
+        F.greatest(F.lit(0), F.when(reach.isNotNull(), F.least(F.col(end), reach) - F.col(start) + 1).otherwise(0)).cast("long").alias("overlap"),
+        F.greatest(F.lit(0), F.when(reach.isNotNull(), F.col(start) - reach - 1).otherwise(0)).cast("long").alias("gap"),
     )
 
 
@@ -92,16 +101,12 @@ def range_owner(points: DataFrame, ranges: DataFrame, key: str, point: str, buck
 
 
 def set_compare(left: DataFrame, right: DataFrame, key: str, item: str) -> DataFrame:
-    """Per key: shared, left-only and right-only items of two lists, after normalisation by the caller."""
+    """(key, item, side): items of two normalised lists marked both, left_only or right_only."""
     both = left.select(key, item).distinct().withColumn("l", F.lit(True)).join(
         right.select(key, item).distinct().withColumn("r", F.lit(True)), [key, item], "full"
     )
     has_l, has_r = F.col("l").isNotNull(), F.col("r").isNotNull()
-    return both.groupBy(key).agg(
-        F.count_if(has_l & has_r).alias("shared"),
-        F.array_join(F.sort_array(F.collect_set(F.when(has_l & ~has_r, F.col(item)))), "|").alias("left_only"),
-        F.array_join(F.sort_array(F.collect_set(F.when(has_r & ~has_l, F.col(item)))), "|").alias("right_only"),
-    )
+    return both.select(key, item, F.when(has_l & has_r, "both").when(has_l, "left_only").otherwise("right_only").alias("side"))
 
 
 def match_sources(derived: DataFrame, sources: DataFrame, size: int = 18, coverage: float = 0.22) -> DataFrame:

@@ -106,10 +106,10 @@ def cross_page_status(units: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def best_page_per_label(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """One segment per printed page: most compact text, then best score, then first source; with the candidate list."""
+    """One segment per printed page: most compact text, then best score, then first source; with the number of candidates."""
     pick = F.max(F.struct(F.char_length(T.compact("text")).alias("n"), "score", (-F.col("source_ref")).alias("s"))).alias("best")
-    out = segments.groupBy(*keys).agg(pick, F.count("*").alias("candidates"), F.array_join(F.sort_array(F.collect_list("source_ref")), "|").alias("candidate_refs"))
-    return out.select(*keys, (-F.col("best.s")).alias("source_ref"), F.col("best.n").cast("long").alias("chars"), "candidates", "candidate_refs")
+    out = segments.groupBy(*keys).agg(pick, F.count("*").alias("candidates"))
+    return out.select(*keys, (-F.col("best.s")).alias("source_ref"), F.col("best.n").cast("long").alias("chars"), "candidates")
 
 
 def marker_views(rows: DataFrame, key: list[str], columns: list[str], marker: str = "▲") -> DataFrame:

@@ -195,7 +195,7 @@ def gold_join(spark, sf):
     "set_compare",
     """WITH a AS (SELECT DISTINCT l_suppkey AS k, l_partkey % 40 AS item FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_suppkey AS k, l_partkey % 40 AS item FROM lineitem WHERE l_returnflag = 'A'),
        f AS (SELECT coalesce(a.k, b.k) AS k, lpad(coalesce(a.item, b.item)::VARCHAR, 2, '0') AS item, a.item IS NOT NULL AS l, b.item IS NOT NULL AS r FROM a FULL JOIN b ON a.k = b.k AND a.item = b.item)
-       SELECT k AS l_suppkey, count(*) FILTER (WHERE l AND r) AS shared, coalesce(string_agg(item, '|' ORDER BY item) FILTER (WHERE l AND NOT r), '') AS left_only, coalesce(string_agg(item, '|' ORDER BY item) FILTER (WHERE r AND NOT l), '') AS right_only FROM f GROUP BY 1""",
+       SELECT k AS l_suppkey, item, CASE WHEN l AND r THEN 'both' WHEN l THEN 'left_only' ELSE 'right_only' END AS side FROM f""",
 )
 def set_compare(spark, sf):
     line = tables.load(spark, sf, "lineitem").select("l_suppkey", F.lpad((F.col("l_partkey") % 40).cast("string"), 2, "0").alias("item"), "l_returnflag")
@@ -217,7 +217,7 @@ def ranges(spark, sf):
        SELECT source, s AS start, e AS "end", CAST(greatest(0, coalesce(least(e, reach) - s + 1, 0)) AS BIGINT) AS overlap, CAST(greatest(0, coalesce(s - reach - 1, 0)) AS BIGINT) AS gap FROM w""",
 )
 def interval_coverage(spark, sf):
-    return J.interval_gaps(ranges(spark, sf), "source")
+    return J.interval_gaps(ranges(spark, sf), "source", 256)
 
 
 @query(

@@ -162,7 +162,7 @@ def cross_page_stitch(spark, sf):
 @query(
     "dedup_pages_best",
     f"""WITH s AS (SELECT n_chars AS label, doc_id AS source_ref, text, (doc_id * 37) % 100 / 100.0::DOUBLE AS score, length({compact('text')}) AS n FROM documents),
-      b AS (SELECT label, first(source_ref ORDER BY n DESC, score DESC, source_ref) AS source_ref, CAST(max(n) AS BIGINT) AS chars, count(*) AS candidates, string_agg(source_ref, '|' ORDER BY source_ref) AS candidate_refs FROM s GROUP BY 1)
+      b AS (SELECT label, first(source_ref ORDER BY n DESC, score DESC, source_ref) AS source_ref, CAST(max(n) AS BIGINT) AS chars, count(*) AS candidates FROM s GROUP BY 1)
       SELECT * FROM b""",
 )
 def dedup_pages_best(spark, sf):
