@@ -214,7 +214,7 @@ def ranges(spark, sf):
 @query(
     "interval_coverage",
     f"""WITH {RANGES_SQL}, w AS (SELECT *, max(e) OVER (PARTITION BY source ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM rg)
-       SELECT source, s AS start, e AS "end", CAST(greatest(0, coalesce(least(e, reach) - s + 1, 0)) AS BIGINT) AS overlap, CAST(greatest(0, coalesce(s - reach - 1, 0)) AS BIGINT) AS gap FROM w""",
+       SELECT source, s AS start, e AS "end", CAST(CASE WHEN reach IS NULL THEN 0 ELSE greatest(0, least(e, reach) - s + 1) END AS BIGINT) AS overlap, CAST(greatest(0, coalesce(s - reach - 1, 0)) AS BIGINT) AS gap FROM w""",
 )
 def interval_coverage(spark, sf):
     return J.interval_gaps(ranges(spark, sf), "source", 256)
