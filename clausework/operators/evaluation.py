@@ -65,3 +65,43 @@ def hit_mrr_coverage(rankings: DataFrame, gold: DataFrame, k: int = 10, depth: i
     )
     doc_hit = docs.groupBy("query_id").agg(F.coalesce(F.max("dh"), F.lit(False)).alias("doc_hit"))
     return scores.join(doc_hit, "query_id")
+
+
+def audit_gold(mapped: DataFrame) -> DataFrame:
+    """Issues of each gold case and the status that follows. ``mapped``: item_id, document_id (null = unresolved), n = source length."""
+    flags = mapped.groupBy("item_id").agg(
+        F.max(F.col("document_id").isNull()).alias("unresolved"),
+        F.coalesce(F.max(F.col("n") >= 1200), F.lit(False)).alias("oversized"),
+        F.coalesce(F.max(F.col("n") < 20), F.lit(False)).alias("short"),
+    )
+    issue = lambda c, name: F.when(F.col(c), F.lit(name))
+    status = F.when(F.col("unresolved"), "boundary_blocked").when(F.col("oversized"), "needs_preprocessing").when(F.col("short"), "needs_context").otherwise("ready")
+    return flags.select("item_id", F.concat_ws("|", issue("unresolved", "unresolved_source"), issue("oversized", "oversized_source"), issue("short", "short_source")).alias("issues"), status.alias("status"))
+
+
+def latency_percentiles(samples: DataFrame, by: str, value: str) -> DataFrame:
+    """Interpolated P50 and P95, and P95 as the sample at index floor(0.95 (n - 1))."""
+    # ``percentile`` keeps value counts, so the group is aggregated map-side; no group is sorted in one window.
+    stats = samples.groupBy(by).agg(
+        F.round(F.percentile(value, 0.5), 6).alias("p50"), F.round(F.percentile(value, 0.95), 6).alias("p95"), F.count("*").alias("n")
+    )
+    counts = samples.groupBy(by, value).agg(F.count("*").alias("c"))
+    w = W.partitionBy(by).orderBy(value)
+    upto = counts.withColumn("upto", F.sum("c").over(w)).join(stats.select(by, "n"), by)
+    wanted = F.floor(F.lit(0.95) * (F.col("n") - 1)) + 1
+    first = upto.where(F.col("upto") >= wanted).groupBy(by).agg(F.min(value).alias("p95_nearest"))
+    return stats.drop("n").join(first, by)
+
+
+def expected_found(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Share of cases per variant whose expected labels were all found."""
+    hit = expected.join(found.withColumn("ok", F.lit(True)), ["case_id", "label"], "left")
+    per_case = hit.groupBy("variant", "case_id").agg(F.min(F.coalesce("ok", F.lit(False))).alias("ok"))
+    return per_case.groupBy("variant").agg(F.count("*").alias("cases"), F.round(F.avg(F.col("ok").cast("int")), 6).alias("rate"))
+
+
+def vector_mapping(leaves: DataFrame, vectors: DataFrame, dimension: int) -> DataFrame:
+    """Leaves and vectors that do not pair up, and vectors of another dimension."""
+    both = leaves.join(vectors, leaves["leaf_id"] == vectors["vector_id"], "full")
+    lone = F.col("leaf_id").isNull() | F.col("vector_id").isNull()
+    return both.agg(F.count("leaf_id").alias("leaves"), F.count("vector_id").alias("vectors"), F.count_if(lone).alias("mismatches"), F.count_if(F.col("dim") != dimension).alias("bad_dimension"))

@@ -168,3 +168,40 @@ def rule_score(df: DataFrame, key: list[str], text: str, rules: DataFrame) -> Da
 
     hits = contains_join(df.select(*key, F.lower(text).alias("text")), rules)
     return hits.groupBy(*key).agg(F.sum("delta").alias("score"), F.count("*").alias("rules_hit"))
+
+
+def reconcile(best: DataFrame, official: Column, before: Column, floor: float = 0.72) -> DataFrame:
+    """New status from the matched registry record; too different titles are a conflict, not a match."""
+    new = F.when(F.col("registry_id").isNull(), "unverified").when(F.col("similarity") < floor, "governance_conflict").otherwise(official)
+    title = F.when(F.col("similarity") >= floor, F.col("official_title")).otherwise(F.col("title"))
+    return best.select("document_id", new.alias("new_status"), before.alias("old_status"), title.alias("corrected_title"))
+
+
+def apply_overrides(documents: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Manual status wins unless it is unsafe (answerable without being current and approved); unknown ids are reported."""
+    joined = documents.select("document_id", "effective_status", "review_status").join(overrides, "document_id", "full")
+    unknown = F.col("effective_status").isNull()
+    unsafe = F.col("can_answer") & ~can_answer(F.col("status"), F.col("review_status"))
+    rejected = F.coalesce(unknown | unsafe, F.lit(False))
+    status = F.when(unknown, "unknown_document").when(F.col("status").isNull() | rejected, F.col("effective_status")).otherwise(F.col("status"))
+    return joined.select("document_id", status.alias("effective_status"), rejected.alias("rejected"))
+
+
+CLAUSE_CODE = "(?:[A-Z][.])?[0-9]+(?:[.][0-9]+)+"  # fixed value: clause numbers in deletion orders
+
+
+def deleted_clauses(chunks: DataFrame) -> DataFrame:
+    """Clauses an amendment text deletes as a whole, with the number of evidence chunks and the shortest one's length."""
+    dense = F.regexp_replace("text", "[ \\t\\r\\n]+", "")
+    whole = F.regexp_extract_all(dense, F.lit(f"删除[“\"]?({CLAUSE_CODE}(?:[、，,]{CLAUSE_CODE})*)[”\"]?(?:[。；;]|$)"), F.lit(1))
+    body = F.regexp_extract_all(dense, F.lit(f"删除(?:正文中?|目次及正文中?)({CLAUSE_CODE})"), F.lit(1))
+    marked = F.regexp_extract_all(dense, F.lit(f"删除({CLAUSE_CODE})[^。；;]{{0,16}}整条"), F.lit(1))
+    listed = F.flatten(F.transform(whole, lambda v: F.split(v, "[、，,]")))
+    rows = chunks.select("document_id", F.char_length("text").cast("long").alias("n"), F.explode(F.array_distinct(F.concat(listed, body, marked))).alias("clause"))
+    return rows.groupBy("document_id", "clause").agg(F.count("*").alias("evidence_chunks"), F.min("n").alias("shortest"))
+
+
+def lexicon_conflicts(entries: DataFrame) -> DataFrame:
+    """Entries whose probe also belongs to an entry with another meaning; counted per probe, never paired."""
+    shared = entries.groupBy("probe").agg(F.count_distinct("canonical").alias("meanings"), F.count("*").alias("entries")).where("meanings > 1")
+    return entries.join(shared, "probe").select("lexicon_id", "probe", "meanings", "entries")

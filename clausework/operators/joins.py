@@ -197,3 +197,21 @@ def mention_slots(texts: DataFrame, dictionary: list[tuple[str, str, str]], nega
         state = F.when(F.size(values) == 0, "unknown").when(F.size(values) > 1, "conflict").otherwise(F.get(values, 0))
         states.append(F.struct(F.lit(slot).alias("slot"), state.alias("state")))
     return texts.select("document_id", "unit_order", F.inline(F.array(*states)))
+
+
+WORD_RUN = "(?<![^ \\n])(?=([^ \\n]+(?:[ \\n]+[^ \\n]+){3}))"  # four words from every word start, overlapping
+
+
+def passage_join(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """Passages of several words inside texts: inner words are whole words of the text, so a run of them is the key.
+
+    The key is the four-word run at the passage's second word; ``contains`` then decides. Passages
+    under six words take the gram join instead.
+    """
+    runs = lambda c: F.regexp_extract_all(c, F.lit(WORD_RUN), F.lit(1))
+    long_enough = F.size(F.regexp_extract_all("pattern", F.lit("[^ \\n]+"), F.lit(0))) >= 6
+    keyed = passages.where(long_enough).withColumn("_run", F.xxhash64(F.get(runs("pattern"), F.lit(1))))
+    spread_runs = texts.withColumn("_run", F.explode(F.array_distinct(runs("text")))).withColumn("_run", F.xxhash64("_run"))
+    found = spread_runs.join(keyed, "_run").where(F.contains("text", "pattern")).drop("_run").distinct()
+    short = contains_join(texts, passages.where(~long_enough))
+    return found.unionByName(short.select(*found.columns))

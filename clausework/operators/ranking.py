@@ -52,3 +52,10 @@ def positions(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     offsets = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     local = stored.withColumn("_row", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order)))
     return local.join(offsets, [*keys, "_part"]).withColumn("position", (F.col("_row") + F.col("_before")).cast("long")).drop("_part", "_row", "_before")
+
+
+def collapse_requests(requests: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Identical requests share one execution: the request key and the request that runs it."""
+    keyed = requests.select(key, F.sha2(F.concat_ws("|", *fields), 256).alias("request_key"))
+    first = keyed.groupBy("request_key").agg(F.min(key).alias("executed_by"))
+    return keyed.join(first, "request_key")
