@@ -89,12 +89,14 @@ def clean_display(col) -> Column:
 
 
 def page_artifacts(col) -> Column:
-    """Struct of page text without isolated edge markers and the removed markers in order."""
+    """Struct of page text without isolated markers in the first and last two lines, and the removed markers in order."""
     parts = lines(col)
+    n = F.size(parts)
+    head, tail = F.slice(parts, 1, 2), F.slice(parts, F.greatest(F.lit(3), n - 1), F.lit(2))
+    middle = F.slice(parts, F.lit(3), F.greatest(n - 4, F.lit(0)))
     marker = lambda x: (F.trim(x).rlike(PAGE_MARKER)) | F.trim(x).isin(*OCR_MARKERS)
-    edge = lambda i: (i < 2) | (i >= F.size(parts) - 2)
-    kept = F.filter(parts, lambda x, i: ~(edge(i) & marker(x)))
-    gone = F.transform(F.filter(parts, lambda x, i: edge(i) & marker(x)), lambda x: F.trim(x))
+    kept = F.concat(F.filter(head, lambda x: ~marker(x)), middle, F.filter(tail, lambda x: ~marker(x)))
+    gone = F.transform(F.filter(F.concat(head, tail), lambda x: marker(x)), lambda x: F.trim(x))
     return F.struct(
         F.regexp_replace(F.array_join(kept, "\n"), "^[ \n]+|[ \n]+$", "").alias("clean"), gone.alias("removed")
     )

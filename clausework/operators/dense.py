@@ -77,19 +77,20 @@ def rank_by_score(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def lsh_knn(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 8, bucket: float = 1.0) -> DataFrame:
-    """Approximate neighbours: candidates share a random-projection bucket, then are scored exactly."""
-    unit = lambda df: df.withColumn("v", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
-    normed = vectors.withColumn("embedding", V.l2_normalize("embedding", 64)).where("embedding is not null")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(unit(normed))
-    hashed = lambda df, *cols: (
-        model.transform(unit(df)).select(*cols, "embedding", F.posexplode("h").alias("table", "b")).withColumn("b", F.hash(F.col("b").cast("string")))
-    )
-    q = queries.withColumn("embedding", V.l2_normalize("embedding", 64)).where("embedding is not null")
-    left = hashed(q, "query_id").withColumnRenamed("embedding", "q")
-    pairs = left.join(hashed(normed, "unit_id", "document_id"), ["table", "b"])
-    scored = pairs.groupBy("query_id", "unit_id", "document_id").agg(F.round(F.first(V.dot("q", "embedding")), 9).alias("score"))
-    return rank_by_score(scored, k)
+def lsh_knn(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 12, width: int = 3, bucket: float = 0.5) -> DataFrame:
+    """Approximate neighbours: candidates agree on ``width`` random projections in one of ``tables`` keys.
+
+    Candidate pairs are reduced to distinct ids before vectors are attached and scored exactly.
+    """
+    normed = lambda df: df.withColumn("embedding", V.l2_normalize("embedding", 64)).where("embedding is not null").withColumn("v", array_to_vector("embedding"))
+    q, v = normed(queries), normed(vectors)
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables * width, seed=7).fit(v)
+    # ``width`` neighbouring hashes make one key.
+    keys = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.concat_ws(":", t.cast("string"), F.array_join(F.slice("f", t * width + 1, width), ",")))
+    hashed = lambda df, cols: model.transform(df).select(*cols, F.split(F.regexp_replace(F.col("h").cast("string"), "[\\[\\] ]", ""), ",").alias("f")).select(*cols, F.explode(keys).alias("key"))
+    pairs = hashed(q, ["query_id"]).join(hashed(v, ["unit_id"]), "key").select("query_id", "unit_id").distinct()
+    scored = pairs.join(q.select("query_id", F.col("embedding").alias("q")), "query_id").join(v.select("unit_id", "document_id", "embedding"), "unit_id")
+    return rank_by_score(scored.select("query_id", "unit_id", "document_id", F.round(V.dot("q", "embedding"), 9).alias("score")), k)
 
 
 def vector_tokens(col):

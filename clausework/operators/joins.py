@@ -13,15 +13,24 @@ def clause_prefix_join(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     return refs.join(keyed, "ref")
 
 
+GRAM_LIST_LIMIT = 5000
+
+
 def contains_join(texts: DataFrame, patterns: DataFrame, text: str = "text", pattern: str = "pattern") -> DataFrame:
     """Every (text, pattern) pair where the pattern is a substring, without a nested loop.
 
     A text holding a pattern holds its leading gram, so grams give an equality key; ``contains`` then
-    decides. Patterns need two characters or more.
+    decides. For dictionaries with at most 5,000 distinct leading grams (checked by reading one more)
+    each text keeps only those grams before it is exploded; larger ones join on all grams.
+    Patterns need two characters or more.
     """
     keyed = patterns.withColumn("_gram", F.substring(pattern, 1, 3))
-    grams = texts.withColumn("_gram", F.explode(F.concat(T.char_grams(text, 3), T.char_grams(text, 2))))
-    return grams.join(keyed, "_gram").where(F.contains(text, pattern)).drop("_gram")
+    wanted = [r[0] for r in keyed.select("_gram").distinct().limit(GRAM_LIST_LIMIT + 1).toLocalIterator()]
+    sizes = sorted({len(g) for g in wanted if g} | ({2, 3} if len(wanted) > GRAM_LIST_LIMIT else set()))
+    grams = F.concat(*[T.char_grams(text, n) for n in sizes or [3]])
+    if len(wanted) <= GRAM_LIST_LIMIT:
+        grams = F.array_intersect(grams, F.array(*[F.lit(g) for g in wanted]).cast("array<string>"))
+    return texts.withColumn("_gram", F.explode(grams)).join(keyed, "_gram").where(F.contains(text, pattern)).drop("_gram")
 
 
 def or_join(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -215,3 +224,9 @@ def passage_join(texts: DataFrame, passages: DataFrame) -> DataFrame:
     found = spread_runs.join(keyed, "_run").where(F.contains("text", "pattern")).drop("_run").distinct()
     short = contains_join(texts, passages.where(~long_enough))
     return found.unionByName(short.select(*found.columns))
+
+
+def reference_follow(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Tables cited by candidates, taken from the same documents."""
+    cited = candidates.select("document_id", F.explode(T.table_references("text")).alias("label")).distinct()
+    return cited.join(chunks, ["document_id", "label"])

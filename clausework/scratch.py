@@ -28,3 +28,7 @@ def spread(df: DataFrame) -> DataFrame:
     """Redistribute rows only when the scan has fewer splits than the cluster can use."""
     want = 2 * df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def unique() -> str:
+    return uuid.uuid4().hex
