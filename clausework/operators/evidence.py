@@ -168,7 +168,7 @@ def table_row_select(rows: DataFrame, targets: DataFrame, limit: int) -> DataFra
     return hit.withColumn("rendered", F.when(F.char_length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, limit), F.lit("..."))))
 
 
-SPACING = "([ⅠⅡⅢ123])[ ]*类?型?[^0-9ⅠⅡⅢ]*([0-9]+(?:[~～-][0-9]+)?)[^0-9]+([0-9]+(?:[~～-][0-9]+)?)[^0-9]+([0-9]+(?:[~～-][0-9]+)?)[^0-9]+([0-9]+(?:[~～-][0-9]+)?)"
+SPACING = "([ⅠⅡⅢ]|[123](?=[ ]*类))[ ]*类?型?[^0-9ⅠⅡⅢ]*([0-9]+(?:[~～-][0-9]+)?)[^0-9]+([0-9]+(?:[~～-][0-9]+)?)[^0-9]+([0-9]+(?:[~～-][0-9]+)?)[^0-9]+([0-9]+(?:[~～-][0-9]+)?)"
 
 
 def spacing_matrix(texts: DataFrame, text: str = "text") -> DataFrame:
