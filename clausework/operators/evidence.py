@@ -105,22 +105,24 @@ def sequence_runs(sentences: DataFrame, groups: list[tuple[str, ...]], limit: in
     Documents arrive as one row with a sentence array, so the search needs no shuffle.
     """
     n = len(groups)
+    dense = F.transform("sentences", lambda s: F.lower(T.squeeze(s)))
 
     def holds(anchors):
-        def test(s):
-            dense = F.lower(T.squeeze(s))
+        def test(d):
             cond = F.lit(True)
             for a in anchors:
-                cond = cond & F.contains(dense, F.lit(a))
+                cond = cond & F.contains(d, F.lit(a))
             return cond
 
-        return F.transform("sentences", test)
+        return F.transform(dense, test)
 
     # Element i of the running conjunction says whether groups 0..k match sentences i..i+k.
     run = holds(groups[0])
     for k, anchors in enumerate(groups[1:], 1):
         run = F.zip_with(run, F.slice(holds(anchors), k + 1, F.size("sentences")), lambda a, b: a & F.coalesce(b, F.lit(False)))
-    placed = sentences.withColumn("start", (F.nullif(F.array_position(run, F.lit(True)), F.lit(0)) - 1).cast("int")).where("start is not null")
+    # Exploding the found position keeps the search in one evaluation per document.
+    first = F.filter(F.array((F.array_position(run, F.lit(True)) - 1).cast("int")), lambda i: i >= 0)
+    placed = sentences.withColumn("start", F.explode(first))
     text = F.array_join(F.slice("sentences", F.col("start") + 1, n), "")
     cut = F.concat(F.rtrim(F.substring(text, 1, limit)), F.when(F.char_length(text) > limit, "...").otherwise(""))
     return placed.withColumn("quote", cut)
@@ -129,8 +131,8 @@ def sequence_runs(sentences: DataFrame, groups: list[tuple[str, ...]], limit: in
 def quote_windows(sentences: DataFrame, terms: list[str], limit: int, count: int) -> DataFrame:
     """Best-scoring sentence with its followers up to ``limit`` characters and ``count`` sentences; ellipses where text is left out."""
     scored = sentences.withColumn("scores", F.transform("sentences", lambda s: F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(s, t)))))
-    best = F.array_position("scores", F.array_max("scores")).cast("int")
-    picked = scored.where(F.array_max("scores") > 0).withColumn("best", best)
+    best = F.when(F.array_max("scores") > 0, F.array_position("scores", F.array_max("scores")).cast("int"))
+    picked = scored.withColumn("best", F.explode(F.array_compact(F.array(best))))
     head = F.get("sentences", F.col("best") - 1)
     lead = (F.char_length(head) < limit * 0.45) & (F.col("best") > 1)
     picked = picked.withColumn("start", F.when(lead, F.col("best") - 1).otherwise(F.col("best")))

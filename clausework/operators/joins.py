@@ -13,23 +13,33 @@ def clause_prefix_join(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     return refs.join(keyed, "ref")
 
 
-GRAM_LIST_LIMIT = 5000
+RULE_LIMIT, GRAM_LIST_LIMIT = 200, 5000
+
+
+def _distinct_values(df: DataFrame, column: str, limit: int) -> list[str] | None:
+    """The column's distinct values if there are at most ``limit`` of them, else None."""
+    values = [r[0] for r in df.select(column).distinct().limit(limit + 1).toLocalIterator()]
+    return values if len(values) <= limit else None
 
 
 def contains_join(texts: DataFrame, patterns: DataFrame, text: str = "text", pattern: str = "pattern") -> DataFrame:
     """Every (text, pattern) pair where the pattern is a substring, without a nested loop.
 
-    A text holding a pattern holds its leading gram, so grams give an equality key; ``contains`` then
-    decides. For dictionaries with at most 5,000 distinct leading grams (checked by reading one more)
-    each text keeps only those grams before it is exploded; larger ones join on all grams.
-    Patterns need two characters or more.
+    Rule tables of at most 200 patterns (checked) are tested inside the text's row. Larger
+    dictionaries use that a text holding a pattern holds its leading gram: grams are the equality key
+    and ``contains`` decides. With at most 5,000 leading grams (checked) a text's other grams are
+    dropped before it is exploded. Patterns need two characters or more.
     """
+    rules = _distinct_values(patterns, pattern, RULE_LIMIT)
+    if rules is not None:
+        listed = F.array(*[F.lit(r) for r in sorted(rules)]).cast("array<string>")
+        found = F.filter(listed, lambda r: F.contains(F.col(text), r))
+        return texts.withColumn(pattern, F.explode(found)).join(patterns, pattern)
     keyed = patterns.withColumn("_gram", F.substring(pattern, 1, 3))
-    wanted = [r[0] for r in keyed.select("_gram").distinct().limit(GRAM_LIST_LIMIT + 1).toLocalIterator()]
-    sizes = sorted({len(g) for g in wanted if g} | ({2, 3} if len(wanted) > GRAM_LIST_LIMIT else set()))
-    grams = F.concat(*[T.char_grams(text, n) for n in sizes or [3]])
-    if len(wanted) <= GRAM_LIST_LIMIT:
-        grams = F.array_intersect(grams, F.array(*[F.lit(g) for g in wanted]).cast("array<string>"))
+    wanted = _distinct_values(keyed, "_gram", GRAM_LIST_LIMIT)
+    sizes = [2, 3] if wanted is None else sorted({len(g) for g in wanted})
+    every = F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes])
+    grams = F.array_distinct(every) if wanted is None else F.array_intersect(every, F.array(*[F.lit(g) for g in wanted]))
     return texts.withColumn("_gram", F.explode(grams)).join(keyed, "_gram").where(F.contains(text, pattern)).drop("_gram")
 
 

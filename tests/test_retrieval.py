@@ -66,18 +66,16 @@ def test_query_without_candidates_scans_everything(spark):
     assert got == brute_scores("old", UNITS) and len(got) == 2
 
 
-def test_contains_join_is_exact(spark):
+def test_contains_join_is_exact(spark, monkeypatch):
     rng = random.Random(3)
     texts = [(i, "".join(rng.choice("abc ") for _ in range(rng.randint(1, 40)))) for i in range(60)]
     pats = [(i, "".join(rng.choice("abc") for _ in range(rng.randint(2, 5)))) for i in range(40)]
-    got = {(r["i"], r["p"]) for r in J.contains_join(spark.createDataFrame(texts, "i int, text string"), spark.createDataFrame(pats, "p int, pattern string")).collect()}
-    assert got == {(i, p) for i, t in texts for p, s in pats if s in t}
-    old, J.GRAM_LIST_LIMIT = J.GRAM_LIST_LIMIT, 1
-    try:
-        big = {(r["i"], r["p"]) for r in J.contains_join(spark.createDataFrame(texts, "i int, text string"), spark.createDataFrame(pats, "p int, pattern string")).collect()}
-    finally:
-        J.GRAM_LIST_LIMIT = old
-    assert big == got
+    want = {(i, p) for i, t in texts for p, s in pats if s in t}
+    left, right = spark.createDataFrame(texts, "i int, text string"), spark.createDataFrame(pats, "p int, pattern string")
+    for rules, grams in ((200, 5000), (1, 5000), (1, 1)):  # inside the row, pruned grams, all grams
+        monkeypatch.setattr(J, "RULE_LIMIT", rules)
+        monkeypatch.setattr(J, "GRAM_LIST_LIMIT", grams)
+        assert {(r["i"], r["p"]) for r in J.contains_join(left, right).collect()} == want
 
 
 def test_passage_join_is_exact(spark):
