@@ -56,3 +56,41 @@ def op9_mixing(spark, sf_dir):
 
     mixed = mix(load_documents(spark, sf_dir))
     return mixed.selectExpr("doc_id", "size", "source_size", "target", "taken", "explode(sequence(1, int(n_rows))) as copy").drop("copy")
+
+
+@registered
+def op1_langid(spark, sf_dir):
+    from clausework.llm.langid import predict, train
+
+    docs = load_documents(spark, sf_dir)
+    return predict(docs, train(docs))
+
+
+@registered
+def op3_pii(spark, sf_dir):
+    from clausework.llm.pii import KINDS, find_personal_data, train
+
+    docs = load_documents(spark, sf_dir)
+    found = find_personal_data(docs.select("doc_id", "text"), train(docs))
+    return found.selectExpr("doc_id", *[f"pii.n_{k}" for k in KINDS], "pii.base_sha256", "pii.spans")
+
+
+@registered
+def op4_passages(spark, sf_dir):
+    from clausework.llm.substring import remove_repeats
+
+    return remove_repeats(load_documents(spark, sf_dir)).drop("kept_text")
+
+
+@registered
+def op5_quality(spark, sf_dir):
+    from clausework.llm.quality import judge
+
+    return judge(load_documents(spark, sf_dir), ["doc_id"])
+
+
+@registered
+def op7_near_duplicates(spark, sf_dir):
+    from clausework.llm.neardup import near_duplicates
+
+    return near_duplicates(load_documents(spark, sf_dir)).drop("set_key")
