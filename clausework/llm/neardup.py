@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clausework.llm.common import lists, map_rows, materialize
 
@@ -71,7 +71,7 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, set_key (digest of the shingle set), n_shingles, sig (packed bits) and bands of every row, in row order."""
+    """doc_id, text_key (hash of the text), set_key (digest of the shingle set), n_shingles, sig (packed bits) and bands of every row."""
 
     def run(batch):
         words = batch.column("words")
@@ -87,11 +87,11 @@ def sketches(docs: DataFrame) -> DataFrame:
             else:
                 keys.append(None), sigs.append(np.zeros(0, np.uint64)), bands.append(np.zeros(0, np.uint64))
         flatten = lambda rows: lists(np.r_[0, np.cumsum([len(r) for r in rows])], np.concatenate(rows).view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), flatten(sigs), flatten(bands)], names=["doc_id", "set_key", "n_shingles", "sig", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), flatten(sigs), flatten(bands)], names=["doc_id", "text_key", "set_key", "n_shingles", "sig", "bands"])
 
-    rows = docs.select("doc_id", word_hashes().alias("words"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), word_hashes().alias("words"))
     kind = dict(docs.dtypes)["doc_id"]
-    return map_rows(rows, "words", run, f"doc_id {kind}, set_key string, n_shingles long, sig array<long>, bands array<long>", 1 << 19)
+    return map_rows(rows, "words", run, f"doc_id {kind}, text_key long, set_key string, n_shingles long, sig array<long>, bands array<long>", 1 << 19)
 
 
 def estimate(a: str, b: str) -> Column:
@@ -165,7 +165,7 @@ def _summary(edges: DataFrame) -> tuple:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every input row.
+    """doc_id, text_key, n_shingles, component_id and kept for every input row.
 
     Rows with equal shingle sets form one class, known by its smallest doc_id; only classes are compared.
     Documents in a band are first compared with the band's smallest document. Bands that the links so
@@ -195,4 +195,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     final = components(links.unionByName(_confirmed(more, docs)), "neardup-final")
     classed = rows.join(classes, "set_key", "left").join(final, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
-    return classed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), "set_key").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return classed.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def first_documents(docs: DataFrame) -> DataFrame:
+    """One document of each group, with its own columns: the one with the smallest id.
+
+    Rows with a null doc_id stay. Of rows that repeat an id within a group one stays: the text with the
+    smallest hash, and of equal texts any one row.
+    """
+    judged = near_duplicates(docs).where(F.col("kept") & F.col("doc_id").isNotNull())
+    chosen = judged.groupBy("doc_id").agg(F.min("text_key").alias("_key"))
+    keyed = docs.where(F.col("doc_id").isNotNull()).withColumn("_key", F.xxhash64("text"))
+    once = W.partitionBy("doc_id", "_key").orderBy("doc_id")  # the join leaves rows in this order already
+    found = keyed.join(chosen, ["doc_id", "_key"]).withColumn("_turn", F.row_number().over(once)).where("_turn = 1")
+    return found.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -93,4 +93,21 @@ def op5_quality(spark, sf_dir):
 def op7_near_duplicates(spark, sf_dir):
     from clausework.llm.neardup import near_duplicates
 
-    return near_duplicates(load_documents(spark, sf_dir)).drop("set_key")
+    return near_duplicates(load_documents(spark, sf_dir)).drop("text_key")
+
+
+@registered
+def op10_webp(spark, sf_dir):
+    from clausework.llm.webp import media_column
+
+    media = media_column(load_documents(spark, sf_dir))
+    return media.selectExpr(
+        "doc_id",
+        "n_bytes",
+        "octet_length(payload) + 0L as payload_bytes",
+        "sha2(payload, 256) as payload_sha256",
+        "crc32(substring(payload, -64, 64)) as tail_crc32",
+        "media_bytes",
+        "media_sha256",
+        "feature",
+    )
