@@ -18,6 +18,10 @@ WORDS = HASHES * BITS // 64
 LINK = 80
 #: Estimates this far below cannot belong to a link: six standard deviations at 0.8 with 128 hashes of two bits.
 LEAST_ESTIMATE = 0.55
+STAR_ROUNDS = 2
+#: Wide sketches for large divided bands: 2048 hashes put 5.5 standard deviations at 0.058.
+WIDE, LEAST_WIDE = 2048, 0.742
+SMALL, BLOCK = 16, 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -27,7 +31,7 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_KEYS = _scramble(np.arange(1, HASHES + 1, dtype=np.uint64) * _MIX) | np.uint64(1)
+_KEYS, _WIDE_KEYS = (_scramble(np.arange(1, n + 1, dtype=np.uint64) * _MIX) | np.uint64(1) for n in (HASHES, WIDE))
 
 
 def word_hashes(text: str = "text") -> Column:
@@ -47,18 +51,18 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     return np.unique(mixed)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The least value of each of 128 hash functions, in blocks of shingles."""
-    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 4096):
-        mixed = shingles[i : i + 4096, None] * _KEYS
+def minima(shingles: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The least value of the hash function of each key, in blocks of shingles."""
+    low, step = np.full(len(keys), np.iinfo(np.uint64).max, np.uint64), (1 << 19) // len(keys)
+    for i in range(0, len(shingles), step):
+        mixed = shingles[i : i + step, None] * keys
         np.minimum(low, (mixed ^ (mixed >> np.uint64(29))).min(axis=0), out=low)
     return low * _MIX
 
 
 def packed(low: np.ndarray) -> np.ndarray:
     """The two top bits of each scrambled minimum, packed into 64-bit words."""
-    bits = (low >> np.uint64(64 - BITS)).reshape(WORDS, 64 // BITS)
+    bits = (low >> np.uint64(64 - BITS)).reshape(-1, 64 // BITS)
     return (bits << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64)
 
 
@@ -81,7 +85,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             shingles = shingle_set(flat[a:b])
             sizes.append(len(shingles))
             if len(shingles):
-                low = minima(shingles)
+                low = minima(shingles, _KEYS)
                 keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).hexdigest())
                 sigs.append(packed(low)), bands.append(band_keys(low))
             else:
@@ -112,14 +116,13 @@ def _fitting() -> Column:
 
 
 def _plausible(pairs: DataFrame, first: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the signatures leave possible."""
+    """The pairs (a, b) that sizes and signatures leave possible."""
     both = pairs.join(first.alias("a"), F.col("a") == F.col("a.node")).join(first.alias("b"), F.col("b") == F.col("b.node"))
     return both.where(_fitting()).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough. Sets are made again for the documents of pairs only."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, set): the full shingle sets of the given documents, made from their texts once more and stored."""
 
     def run(batch):
         words = batch.column("words")
@@ -130,7 +133,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     needed = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").select("node", word_hashes().alias("words"))
     kind = dict(docs.dtypes)["doc_id"]
-    sets = materialize(map_rows(needed, "words", run, f"node {kind}, set array<long>", 1 << 19), "neardup-sets")
+    return materialize(map_rows(needed, "words", run, f"node {kind}, set array<long>", 1 << 19), "neardup-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -138,6 +145,81 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return counted.where(100 * F.col("common") >= LINK * (F.col("total") - F.col("common"))).select("a", "b").distinct()
 
 
+def _open_bands(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, node, component, n) of the bands of three or more documents that hold more than one component."""
+    tagged = members.select("band", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = tagged.groupBy("band").agg(F.min("component").alias("_c"), F.max("component").alias("_d"), F.count("*").alias("_n")).where("_d > _c and _n > 2").select("band", F.col("_n").alias("n"))
+    return materialize(tagged.join(split, "band"), "neardup-open")
+
+
+def _star_pairs(opened: DataFrame, turn: int) -> DataFrame:
+    """Each open band's documents with one of them, drawn by hash, where their components differ."""
+    drawn = F.xxhash64(F.lit(turn), "node")
+    leaders = opened.groupBy("band").agg(F.min(drawn).alias("_draw"))
+    leaders = opened.withColumn("_draw", drawn).join(leaders, ["band", "_draw"]).select("band", F.col("node").alias("leader"), F.col("component").alias("_c"))
+    apart = opened.join(leaders, "band").where("component <> _c")
+    return apart.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+
+def _small_pairs(opened: DataFrame, first: DataFrame) -> DataFrame:
+    """All possible pairs between components in bands of at most ``SMALL`` documents."""
+    rows = opened.where(F.col("n") <= SMALL).select("band", "node", "component").join(first, "node")
+    apart = (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
+    return rows.alias("a").join(rows.alias("b"), apart & _fitting()).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+
+def _wide_sketches(sets: DataFrame) -> DataFrame:
+    """(node, size, wide): 2048 hashes of two bits, which tell 0.8 from 0.7 for sure."""
+
+    def run(batch):
+        column = batch.column("set")
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        rows = [packed(minima(flat[a:b], _WIDE_KEYS)).view(np.int64) for a, b in zip(ends[:-1], ends[1:])]
+        wide = lists(np.arange(len(rows) + 1) * (WIDE * BITS // 64), np.concatenate(rows))
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(ends).astype(np.int64)), wide], names=["node", "size", "wide"])
+
+    return map_rows(sets, "set", run, f"node {dict(sets.dtypes)['node']}, size long, wide array<long>", 1 << 19)
+
+
+def _block_pairs(opened: DataFrame, sets: DataFrame) -> DataFrame:
+    """Likely pairs between components in larger bands, which are compared block by block.
+
+    A band's documents fall into blocks of about ``BLOCK`` by hash; each two blocks meet in one group of
+    bounded size, where wide sketches are compared by bit counts. Only pairs whose estimate is within
+    5.5 standard deviations of a link leave a group.
+    """
+    large = opened.where(F.col("n") > SMALL)
+    nodes = large.select("node").distinct()
+    wide = materialize(_wide_sketches(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])), "neardup-wide")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = large.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    met = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = met.select("band", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node", F.xxhash64("component").alias("component")).join(wide, "node")
+
+    def compare(key, group):
+        i, j = key[1].as_py(), key[2].as_py()
+        own = group.column("_own").to_numpy()
+        bits = group.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(own), -1)
+        component, size = group.column("component").to_numpy(), group.column("size").to_numpy()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found_a, found_b = [], []
+        for row in left.tolist():
+            to = right[right > row] if i == j else right
+            to = to[(component[to] != component[row]) & (100 * np.minimum(size[to], size[row]) >= LINK * np.maximum(size[to], size[row]))]
+            x = bits[to] ^ bits[row]
+            differing = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+            chance = 1 / (1 << BITS)
+            to = to[(1 - differing / WIDE - chance) / (1 - chance) >= LEAST_WIDE]
+            found_a.append(np.full(len(to), row)), found_b.append(to)
+        a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_a, found_b))
+        node = group.column("node")
+        return pa.table({"a": node.take(pa.array(a)), "b": node.take(pa.array(b))})
+
+    kind = dict(opened.dtypes)["node"]
+    pairs = met.groupBy("band", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component): the least node reachable over ``edges`` (a, b), for all nodes with an edge.
 
@@ -164,13 +246,18 @@ def _summary(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
+def _edges(found: DataFrame) -> DataFrame:
+    return found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and kept for every input row.
 
     Rows with equal shingle sets form one class, known by its smallest doc_id; only classes are compared.
-    Documents in a band are first compared with the band's smallest document. Bands that the links so
-    found do not join into one component are then compared in full, so no link between components is lost. The chance that
-    a linked pair shares none of 32 bands of four is below 5e-8. Rows without words, and rows with a
+    Documents in a band are first compared with the band's smallest document, then, in bands that hold more
+    than one component, with documents drawn by hash. Bands that are still divided are compared between
+    components in full, large ones block by block, so none of their links is lost. The chance that a linked pair shares none
+    of 32 bands of four is below 5e-8. Rows without words, and rows with a
     null doc_id, are linked with nothing (a null id has a null component and is kept). Rows that share
     an id count as one node wherever that id is their class's smallest.
     """
@@ -184,15 +271,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).where("_last > leader").select("band", "leader")
     members = materialize(bands.join(shared, "band"), "neardup-members")
     pairs = materialize(_plausible(members.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), first), "neardup-pairs")
-    links = materialize(_confirmed(pairs, docs), "neardup-links")
+    sets = _sets(members.select("node").distinct(), docs)
+    links = materialize(_confirmed(pairs, sets), "neardup-links")
     found = components(links, "neardup-components")
-    tagged = members.select("band", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = tagged.groupBy("band").agg(F.min("component").alias("_c"), F.max("component").alias("_d"), F.count("*").alias("_n")).where("_d > _c and _n > 2").select("band")
-    opened = materialize(tagged.join(split, "band", "left_semi").join(first, "node"), "neardup-open")
-    apart = (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
-    across = opened.alias("a").join(opened.alias("b"), apart & _fitting()).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    more = materialize(across.join(pairs, ["a", "b"], "left_anti"), "neardup-more")
-    final = components(links.unionByName(_confirmed(more, docs)), "neardup-final")
+    for turn in range(STAR_ROUNDS):
+        more = materialize(_plausible(_star_pairs(_open_bands(members, found), turn), first), "neardup-pairs")
+        found = components(_edges(found).unionByName(_confirmed(more, sets)), "neardup-components")
+    opened = _open_bands(members, found)
+    rest = materialize(_small_pairs(opened, first).unionByName(_block_pairs(opened, sets)).distinct(), "neardup-pairs")
+    final = components(_edges(found).unionByName(_confirmed(rest, sets)), "neardup-components")
     classed = rows.join(classes, "set_key", "left").join(final, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return classed.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
