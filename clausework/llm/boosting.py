@@ -29,6 +29,10 @@ class Trees:
         return total
 
 
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, ridge: float = 1.0) -> Trees:
     """Newton boosting on the logistic loss with histogram splits; deterministic."""
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS)[1:-1])) for c in x.T]
@@ -38,7 +42,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: fl
     margin, inner = np.full(len(y), base), 2**depth - 1
     features, cuts, leaves = [], [], []
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-margin))
+        p = logistic(margin)
         g, h = y - p, p * (1 - p)
         node, feature, cut = np.zeros(len(y), np.int64), np.zeros(inner, np.int64), np.full(inner, np.inf)
         for level in range(depth):
@@ -66,10 +70,10 @@ def calibrate(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float
     a, b = 1.0, 0.0
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(a * margin + b)))
+        p = logistic(a * margin + b)
         d, w = target - p, p * (1 - p)
         hessian = np.array([[(w * margin**2).sum(), (w * margin).sum()], [(w * margin).sum(), w.sum()]]) + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hessian, [(d * margin).sum(), d.sum()])
+        step = np.clip(np.linalg.solve(hessian, [(d * margin).sum(), d.sum()]), -1, 1)
         a, b = a + step[0], b + step[1]
         if np.abs(step).max() < 1e-9:
             break

@@ -292,8 +292,8 @@ def first_documents(docs: DataFrame) -> DataFrame:
     smallest hash, and of equal texts any one row.
     """
     judged = near_duplicates(docs).where(F.col("kept") & F.col("doc_id").isNotNull())
-    chosen = judged.groupBy("doc_id").agg(F.min("text_key").alias("_key"))
-    keyed = docs.where(F.col("doc_id").isNotNull()).withColumn("_key", F.xxhash64("text"))
-    once = W.partitionBy("doc_id", "_key").orderBy("doc_id")  # the join leaves rows in this order already
-    found = keyed.join(chosen, ["doc_id", "_key"]).withColumn("_turn", F.row_number().over(once)).where("_turn = 1")
-    return found.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    chosen = judged.groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.struct("*").alias("row"))
+    once = W.partitionBy("doc_id", "text_key").orderBy("doc_id")  # the join leaves rows in this order already
+    found = rows.join(chosen, ["doc_id", "text_key"]).withColumn("turn", F.row_number().over(once)).where("turn = 1")
+    return found.unionByName(rows.where(F.col("doc_id").isNull()), allowMissingColumns=True).select("row.*")
