@@ -6,11 +6,8 @@ Patterns avoid look-around unless a comment says otherwise.
 
 from __future__ import annotations
 
-import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 # Character classes and numerals that decide where clauses begin.
 HAN = "\\u4e00-\\u9fff"
@@ -50,15 +47,19 @@ def first_line(col) -> Column:
     return F.element_at(lines(col), 1)
 
 
-@F.pandas_udf(StringType())
-def nfkc(values: pd.Series) -> pd.Series:
-    """Unicode compatibility folding; Spark has no built-in for it."""
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+#: Full-width signs, digits and letters lie 0xFEE0 above their ASCII forms; the wide blank stands apart.
+WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000"
+NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
+
+
+def fold_wide(col) -> Column:
+    """Full-width signs, letters and digits as their ASCII forms."""
+    return F.translate(_c(col), WIDE, NARROW)
 
 
 def normalize(col) -> Column:
-    """Lower case, single spaces, trimmed: the form substring matching runs on."""
-    return F.trim(F.regexp_replace(F.lower(_c(col)), "[ \\t\\r\\n]+", " "))
+    """Full-width forms folded, lower case, single spaces, trimmed: the form substring matching runs on."""
+    return F.trim(F.regexp_replace(F.lower(fold_wide(col)), "[ \\t\\r\\n]+", " "))
 
 
 def compact(col) -> Column:
@@ -77,7 +78,7 @@ def normalize_title(col) -> Column:
 
 def normalize_number(col) -> Column:
     """Canonical document number: one bracket style, one dash, no spaces or control characters."""
-    folded = F.translate(_c(col), "【［[（(﹝】］]）)﹞—–－﹣‐", "〔〔〔〔〔〔〕〕〕〕〕〕-----")
+    folded = F.translate(fold_wide(col), "【［[（(﹝】］]）)﹞—–－﹣‐", "〔〔〔〔〔〔〕〕〕〕〕〕-----")
     return F.upper(F.regexp_replace(folded, "[\\p{Cc}\\p{Cf}\\p{Z}]+", ""))
 
 

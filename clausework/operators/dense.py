@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -10,66 +12,46 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from clausework.functions import text as T, vectors as V
 
-QUERY_BLOCK = 1024
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 16_384
 VECTOR_DIM = 512  # fixed value: hashed token buckets
 TOKEN_WORDS = f"[A-Z0-9]+(?:/[A-Z0-9]+)?(?:[-.][A-Z0-9]+)*|[{T.HAN}]{{2,}}"
 
 
-def _blocks(queries: DataFrame):
-    """Query vectors in blocks of fixed size: (ids, matrix)."""
-    ids, rows = [], []
-    for row in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator():
-        ids.append(row["query_id"])
-        rows.append(row["embedding"])
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids), np.array(rows, dtype=np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, dtype=np.float64)
-
-
 def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None, dims: slice = slice(None)) -> DataFrame:
     """Exact cosine top-k: (query_id, unit_id, document_id, score, rank).
 
-    Every Arrow batch of vectors is multiplied with a block of at most 1,024 queries and keeps its own
-    top k (ties included), so at most k rows per query and batch reach the ranking shuffle.
+    Queries and vectors fall into hashed blocks of about 1,024 and 16,384 rows. Each query block meets
+    each vector block in one group of bounded size, which multiplies the two and keeps its own top k (ties
+    included); so at most k rows per query and vector block reach the ranking shuffle. Blocks of queries
+    are copied once per vector block, a few hundredths of the vectors' own bytes.
     """
-
-    def kernel(ids, matrix):
-        q = matrix[:, dims]
-        q = q / np.linalg.norm(q, axis=1, keepdims=True)
-
-        def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                unit, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                v = np.array(batch.column(2).to_pylist(), dtype=np.float64)[:, dims]
-                scores = np.round(q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 9)
-                if threshold is not None:
-                    scores = np.where(scores > threshold, scores, -np.inf)
-                if scores.shape[1] > k:
-                    floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-                    keep = (scores >= floor) & np.isfinite(scores)
-                else:
-                    keep = np.isfinite(scores)
-                qi, ui = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[qi]), pa.array(unit[ui]), pa.array(doc[ui]), pa.array(scores[qi, ui])],
-                    names=["query_id", "unit_id", "document_id", "score"],
-                )
-
-        return run
-
-    source = vectors.select("unit_id", "document_id", "embedding")
-    parts = [
-        source.mapInArrow(kernel(ids, m), "query_id long, unit_id long, document_id long, score double")
-        for ids, m in _blocks(queries)
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return rank_by_score(out, k)
+    query_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    vector_blocks = max(1, math.ceil(vectors.count() / VECTOR_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = queries.select("query_id", F.col("embedding").alias("q"), own("query_id", query_blocks).alias("qb"), every(vector_blocks).alias("vb"))
+    right = vectors.select(F.col("unit_id").alias("unit_id"), F.col("document_id").alias("document_id"), F.col("embedding").alias("v"), own("unit_id", vector_blocks).alias("vb"), every(query_blocks).alias("qb"))
+
+    def unit_rows(table, name):
+        rows = table.column(name).combine_chunks()
+        m = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)[:, dims]
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def block(q: pa.Table, v: pa.Table) -> pa.Table:
+        names = ["query_id", "unit_id", "document_id", "score"]
+        if not q.num_rows or not v.num_rows:
+            return pa.table({n: pa.array([], pa.float64() if n == "score" else pa.int64()) for n in names})
+        scores = np.round(unit_rows(q, "q") @ unit_rows(v, "v").T, 9)
+        if threshold is not None:
+            scores = np.where(scores > threshold, scores, -np.inf)
+        keep = np.isfinite(scores)
+        if scores.shape[1] > k:
+            keep &= scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        qi, ui = np.nonzero(keep)
+        return pa.table([q.column("query_id").take(pa.array(qi)), v.column("unit_id").take(pa.array(ui)), v.column("document_id").take(pa.array(ui)), pa.array(scores[qi, ui])], names=names)
+
+    met = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb"))
+    return rank_by_score(met.applyInArrow(block, "query_id long, unit_id long, document_id long, score double"), k)
 
 
 def rank_by_score(rows: DataFrame, k: int) -> DataFrame:

@@ -28,7 +28,7 @@ def contains_join(texts: DataFrame, patterns: DataFrame, text: str = "text", pat
     Rule tables of at most 200 patterns (checked) are tested inside the text's row. Larger
     dictionaries use that a text holding a pattern holds its leading gram: grams are the equality key
     and ``contains`` decides. With at most 5,000 leading grams (checked) a text's other grams are
-    dropped before it is exploded. Patterns need two characters or more.
+    dropped before it is exploded; beyond that all grams of one to three characters are keys.
     """
     rules = _distinct_values(patterns, pattern, RULE_LIMIT)
     if rules is not None:
@@ -37,7 +37,7 @@ def contains_join(texts: DataFrame, patterns: DataFrame, text: str = "text", pat
         return texts.withColumn(pattern, F.explode(found)).join(patterns, pattern)
     keyed = patterns.withColumn("_gram", F.substring(pattern, 1, 3))
     wanted = _distinct_values(keyed, "_gram", GRAM_LIST_LIMIT)
-    sizes = [2, 3] if wanted is None else sorted({len(g) for g in wanted})
+    sizes = [1, 2, 3] if wanted is None else sorted({len(g) for g in wanted})
     every = F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes])
     grams = F.array_distinct(every) if wanted is None else F.array_intersect(every, F.array(*[F.lit(g) for g in wanted]))
     return texts.withColumn("_gram", F.explode(grams)).join(keyed, "_gram").where(F.contains(text, pattern)).drop("_gram")
@@ -225,13 +225,14 @@ def passage_join(texts: DataFrame, passages: DataFrame) -> DataFrame:
     """Passages of several words inside texts: inner words are whole words of the text, so a run of them is the key.
 
     The key is the four-word run at the passage's second word; ``contains`` then decides. Passages
-    under six words take the gram join instead.
+    under six words take the gram join instead. Either way each text row meets each passage row at most once, and
+    repeated rows stay repeated.
     """
     runs = lambda c: F.regexp_extract_all(c, F.lit(WORD_RUN), F.lit(1))
     long_enough = F.size(F.regexp_extract_all("pattern", F.lit("[^ \\n]+"), F.lit(0))) >= 6
     keyed = passages.where(long_enough).withColumn("_run", F.xxhash64(F.get(runs("pattern"), F.lit(1))))
-    spread_runs = texts.withColumn("_run", F.explode(F.array_distinct(runs("text")))).withColumn("_run", F.xxhash64("_run"))
-    found = spread_runs.join(keyed, "_run").where(F.contains("text", "pattern")).drop("_run").distinct()
+    hashes = F.array_distinct(F.transform(runs("text"), lambda r: F.xxhash64(r)))  # a text meets a passage once
+    found = texts.withColumn("_run", F.explode(hashes)).join(keyed, "_run").where(F.contains("text", "pattern")).drop("_run")
     short = contains_join(texts, passages.where(~long_enough))
     return found.unionByName(short.select(*found.columns))
 

@@ -119,7 +119,7 @@ def marker_views(rows: DataFrame, key: list[str], columns: list[str], marker: st
 
 def table_rows(tables: DataFrame) -> DataFrame:
     """Matrix rows with merged cells carried down; ``matrix`` is array<array<string>> whose first row is the header."""
-    rows = tables.select("table_id", "caption", F.get("matrix", 0).alias("header"), F.posexplode(F.slice("matrix", 2, 100000)).alias("row_no", "cells"))
+    rows = tables.select("table_id", "caption", F.get("matrix", 0).alias("header"), F.posexplode(F.slice("matrix", 2, F.greatest(F.size("matrix"), F.lit(1)))).alias("row_no", "cells"))
     cells = rows.select("table_id", "caption", "header", "row_no", F.posexplode("cells").alias("col_no", "cell"))
     w = W.partitionBy("table_id", "col_no").orderBy("row_no").rowsBetween(W.unboundedPreceding, 0)
     filled = cells.withColumn("cell", F.last(F.nullif("cell", F.lit("")), ignorenulls=True).over(w))

@@ -9,7 +9,7 @@ from clausework.functions import ids, text as T
 from clausework.operators import corpus as C, evaluation as E, evidence as V, governance as G, joins as J, lexical as L, ranking
 from clausework.operators.joins import contains_join
 from clausework.plans.filter_queries import ALLOW_SQL, ALLOWED_SQL, USER_TURNS, decided_orders, user_turns
-from clausework.plans.fusion_queries import ROUTES, routes
+from clausework.plans.fusion_queries import ROUTES, routes, vectors_as_queries
 from clausework.plans.join_queries import GOLD_SQL, LEXICON_SQL, REGISTRY_SQL, gold_groups, lexicon, lexicon_hits, registry_best
 from clausework.plans.operations_queries import FINDINGS_SQL, findings
 from clausework.plans.oracle import DOCS, LINES, RANK, TERMS, TWO_STAGE, UNITS, norm, scored
@@ -113,22 +113,22 @@ def dense_hits(spark, sf):
     "evidence_sufficiency",
     f"""WITH {HITS_SQL}, t AS (SELECT query_id, unnest([0, 1, 2]) AS target FROM (SELECT DISTINCT query_id FROM hits) s), d AS (SELECT * FROM hits WHERE clause IN (0, 1, 2)),
        a AS (SELECT query_id, count(*) AS direct, count(DISTINCT document_id) AS documents FROM d GROUP BY 1), m AS (SELECT t.query_id, count(*) FILTER (WHERE d.query_id IS NULL) AS missing FROM t LEFT JOIN (SELECT DISTINCT query_id, clause FROM d) d ON d.query_id = t.query_id AND d.clause = t.target GROUP BY 1)
-       SELECT m.query_id, coalesce(direct, 0) AS direct, coalesce(documents, 0) AS documents, missing, coalesce(direct, 0) > 0 AND missing = 0 AND (m.query_id % 2 = 0 OR coalesce(documents, 0) >= 2) AS sufficient FROM m LEFT JOIN a USING (query_id)""",
+       SELECT m.query_id, coalesce(direct, 0) AS direct, coalesce(documents, 0) AS documents, missing, coalesce(direct, 0) > 0 AND missing = 0 AND (m.query_id % 40 = 0 OR coalesce(documents, 0) >= 2) AS sufficient FROM m LEFT JOIN a USING (query_id)""",
 )
 def evidence_sufficiency(spark, sf):
     hits = dense_hits(spark, sf).where("clause in (0, 1, 2)").withColumnRenamed("clause", "target")
-    queries_ = tables.vectors(spark, sf).select(F.col("unit_id").alias("query_id"))
+    queries_ = vectors_as_queries(spark, sf)[0].select("query_id")
     targets = queries_.select("query_id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("target"))
-    return V.sufficiency(hits, targets, F.col("query_id") % 2 == 1)
+    return V.sufficiency(hits, targets, F.col("query_id") % 40 == 20)
 
 
 @query(
     "evidence_select",
-    f"""WITH {HITS_SQL}, f AS (SELECT query_id, document_id, CASE WHEN query_id % 2 = 1 THEN '' ELSE CAST(clause AS VARCHAR) END AS slot, min(rank) AS rank FROM hits GROUP BY 1, 2, 3)
+    f"""WITH {HITS_SQL}, f AS (SELECT query_id, document_id, CASE WHEN query_id % 40 = 20 THEN '' ELSE CAST(clause AS VARCHAR) END AS slot, min(rank) AS rank FROM hits GROUP BY 1, 2, 3)
        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS seat FROM f QUALIFY seat <= 4""",
 )
 def evidence_select(spark, sf):
-    return V.select_evidence(dense_hits(spark, sf), F.col("query_id") % 2 == 1)
+    return V.select_evidence(dense_hits(spark, sf), F.col("query_id") % 40 == 20)
 
 
 @query("discover_documents", f"WITH {HITS_SQL} SELECT query_id, document_id, count(DISTINCT clause) AS groups, max(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY count(DISTINCT clause) DESC, max(score) DESC, document_id) AS position FROM hits GROUP BY 1, 2 QUALIFY position <= 5")

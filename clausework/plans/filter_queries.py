@@ -296,7 +296,7 @@ STRATEGIES = [("definition", "clause", 10), ("comparison", "document", 40), ("pr
 )
 def intent_rules(spark, sf):
     q = user_turns(spark, sf).unionByName(tables.queries(spark, sf).withColumn("query_id", -1 - F.col("query_id")))
-    rules = spark.createDataFrame([r for r in INTENT_RULES if len(r[2]) > 1], "label string, priority int, pattern string")
+    rules = spark.createDataFrame(INTENT_RULES, "label string, priority int, pattern string")
     strategies = spark.createDataFrame(STRATEGIES, "label string, mode string, depth long")
     labelled = q.select("query_id").join(G.rule_labels(q, "query_id", "question", rules), "query_id", "left")
     labelled = labelled.select("query_id", F.coalesce("label", F.lit("general")).alias("label")).join(strategies, "label", "left")

@@ -1,4 +1,5 @@
-"""Dense retrieval and fusion: every vector is a query; the two vector halves stand for two search routes."""
+"""Dense retrieval and fusion: vectors with an id divisible by 20 are the queries, searched against all vectors; the two
+vector halves stand for two search routes."""
 
 from __future__ import annotations
 
@@ -9,6 +10,8 @@ from clausework.operators import dense as D, evaluation as E, fusion as X
 from clausework.plans.oracle import LINES
 from clausework.plans.registry import query
 
+#: The stated query set: every vector whose id this divides.
+QUERY_STEP = 20
 HALF_A, HALF_B = slice(0, 32), slice(32, 64)
 
 
@@ -17,7 +20,7 @@ def _knn_sql(name: str, lo: int, hi: int, k: int) -> str:
     return f"""{name}_v AS (SELECT vec_id, CAST(label AS BIGINT) AS label, list_transform(v, lambda x: x / norm)::DOUBLE[{n}] AS v FROM
      (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[])[{lo + 1}:{hi}] AS v FROM embeddings) s) t),
    {name} AS (SELECT a.vec_id AS query_id, b.vec_id AS unit_id, b.label AS document_id, round(array_inner_product(a.v, b.v), 9) AS score,
-     row_number() OVER (PARTITION BY a.vec_id ORDER BY round(array_inner_product(a.v, b.v), 9) DESC, b.vec_id) AS rank FROM {name}_v a, {name}_v b QUALIFY rank <= {k})"""
+     row_number() OVER (PARTITION BY a.vec_id ORDER BY round(array_inner_product(a.v, b.v), 9) DESC, b.vec_id) AS rank FROM {name}_v a, {name}_v b WHERE a.vec_id % {QUERY_STEP} = 0 QUALIFY rank <= {k})"""
 
 
 ROUTES = f"{_knn_sql('lex', 0, 32, 50)}, {_knn_sql('dense', 32, 64, 60)}"
@@ -33,7 +36,7 @@ ADMIT = f"""{FUSED}, heads AS (SELECT query_id, unit_id FROM lex WHERE rank <= 1
 
 def vectors_as_queries(spark, sf):
     v = tables.vectors(spark, sf)
-    return v.select(F.col("unit_id").alias("query_id"), "embedding"), v
+    return v.where(F.col("unit_id") % QUERY_STEP == 0).select(F.col("unit_id").alias("query_id"), "embedding"), v
 
 
 def routes(spark, sf):
@@ -184,21 +187,21 @@ def hits_by_clause(spark, sf):
     return a.unionByName(b)
 
 
-@query("merge_hits", f"WITH {MERGE_SQL} SELECT query_id, document_id, clause, round(score, 6) AS score, routes, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq, document_id, clause) AS rank FROM merged QUALIFY rank <= 48")
+@query("merge_hits", f"WITH {MERGE_SQL} SELECT query_id, document_id, clause, score, routes, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq, document_id, clause) AS rank FROM merged QUALIFY rank <= 48")
 def merge_hits(spark, sf):
-    return X.merge_hits(hits_by_clause(spark, sf), ["document_id", "clause"], 48).drop("seq").withColumn("score", F.round("score", 6))
+    return X.merge_hits(hits_by_clause(spark, sf), ["document_id", "clause"], 48).drop("seq")
 
 
 @query(
     "multi_query_merge",
     f"""WITH {ROUTES}, v AS (SELECT CAST(label AS BIGINT) AS parent, vec_id FROM embeddings), h AS (SELECT parent, query_id AS variant, unit_id, score, rank FROM dense JOIN v ON query_id = vec_id),
      m AS (SELECT parent, unit_id, max(score) AS score, bool_or(rank <= 3) AS target_head, count(DISTINCT variant) AS variants FROM h GROUP BY 1, 2)
-     SELECT parent AS query_id, unit_id, round(score, 6) AS score, target_head, variants, row_number() OVER (PARTITION BY parent ORDER BY target_head DESC, score DESC, unit_id) AS rank FROM m QUALIFY rank <= 14""",
+     SELECT parent AS query_id, unit_id, score, target_head, variants, row_number() OVER (PARTITION BY parent ORDER BY target_head DESC, score DESC, unit_id) AS rank FROM m QUALIFY rank <= 14""",
 )
 def multi_query_merge(spark, sf):
     _, dense = routes(spark, sf)
     parents = tables.vectors(spark, sf).select(F.col("unit_id").alias("variant"), F.col("document_id").alias("parent"))
-    return E.merge_variants(dense.withColumnRenamed("query_id", "variant").join(parents, "variant"), 3, 14).withColumn("score", F.round("score", 6))
+    return E.merge_variants(dense.withColumnRenamed("query_id", "variant").join(parents, "variant"), 3, 14)
 
 
 @query(

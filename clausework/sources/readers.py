@@ -58,7 +58,7 @@ def markdown_guides(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
         "path", F.map_from_entries(pairs).alias("metadata"), F.regexp_extract(body, "(?m)^#[ ]+(.+?)[ ]*$", 1).alias("title"), body.alias("body"),
         F.regexp_extract_all(body, F.lit("\\[[^\\]]*\\]\\(([^)]+)\\)"), F.lit(1)).alias("links"),
     )
-    parts = guides.select("path", F.posexplode(F.slice(F.split("body", "(?m)^##[ ]+"), 2, 2**20)).alias("section_no", "part"))
+    parts = guides.select("path", F.posexplode(F.slice(F.split("body", "(?m)^##[ ]+"), 2, F.char_length("body") + 1)).alias("section_no", "part"))
     sections = parts.select("path", "section_no", F.trim(F.element_at(F.split("part", "\n"), 1)).alias("name"), F.trim(F.regexp_replace("part", "^[^\n]*\n?", "")).alias("text"))
     row = F.filter(F.split("text", "\n"), lambda s: s.rlike("^[ ]*[|].*[|][ ]*$") & ~s.rlike("^[ |:-]+$"))
     cells = sections.select("path", "section_no", "name", F.posexplode(row).alias("row_no", "line"))

@@ -7,22 +7,33 @@ import numpy as np
 from clausework.operators import dense as D, dedup, fusion as X, joins as J, lexical as L
 
 
-def brute_terms(q):
-    out = {}
-    for chunk in re.findall(r"[一-鿿]+|[a-z]+(?:[/.-][a-z0-9]+)*|\d+(?:\.\d+)?", q):
-        if re.fullmatch(r"[a-z0-9./-]+", chunk):
-            parts = [(chunk, 2.5)]
-        else:
-            parts = [(chunk, 2.2)] if 2 <= len(chunk) <= 14 else []
-            parts += [(chunk[i : i + n], w) for n, w in ((4, 1.55), (3, 1.0), (2, 0.42)) for i in range(len(chunk) - n + 1)]
-        for t, w in parts:
-            if len(t) >= 2 and t not in L.NGRAM_STOP:
-                out[t] = max(w, out.get(t, 0.0))
-    return out
+#: The weighted terms of each question, by hand.
+TERMS = {
+    "岩金矿床的勘查类型": {
+        "岩金矿床的勘查类型": 2.2,
+        "岩金矿床": 1.55, "金矿床的": 1.55, "矿床的勘": 1.55, "床的勘查": 1.55, "的勘查类": 1.55, "勘查类型": 1.55,
+        "岩金矿": 1.0, "金矿床": 1.0, "矿床的": 1.0, "床的勘": 1.0, "的勘查": 1.0, "勘查类": 1.0, "查类型": 1.0,
+        "岩金": 0.42, "金矿": 0.42, "矿床": 0.42, "床的": 0.42, "的勘": 0.42, "勘查": 0.42, "查类": 0.42, "类型": 0.42,
+    },
+    "gold grade 3.5": {"gold": 2.5, "grade": 2.5, "3.5": 2.5},
+    "工程间距确定": {
+        "工程间距确定": 2.2, "工程间距": 1.55, "程间距确": 1.55, "间距确定": 1.55,
+        "工程间": 1.0, "程间距": 1.0, "间距确": 1.0, "距确定": 1.0, "工程": 0.42, "程间": 0.42, "间距": 0.42, "距确": 0.42, "确定": 0.42,
+    },
+    "old": {"old": 2.5},
+}
+
+
+def test_query_terms_by_hand(spark):
+    asked = spark.createDataFrame(list(enumerate(TERMS)), "query_id int, question string")
+    got = {}
+    for r in L.query_terms(asked).collect():
+        got.setdefault(list(TERMS)[r["query_id"]], {})[r["term"]] = r["weight"]
+    assert got == TERMS
 
 
 def brute_scores(q, units):
-    terms = brute_terms(q)
+    terms = TERMS[q]
     rows = []
     for u in units:
         tf = {t: u[2].count(t) + 1.35 * u[3].count(t) + 0.62 * u[4].count(t) for t in terms}
@@ -53,9 +64,9 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     for r in run.first_stage().collect():
         got.setdefault(r["query_id"], {})[(r["document_id"], r["unit_order"])] = round(r["score"], 6)
     for query_id, text in asked:
-        toks = {t for term in brute_terms(text) for t in re.findall("[a-z0-9]{2,}", term)} | {c[i : i + n] for c in re.findall("[一-鿿]+", text) for n in (2, 3) for i in range(len(c) - n + 1)}
+        toks = {t for term in TERMS[text] for t in re.findall("[a-z0-9]{2,}", term)} | {c[i : i + n] for c in re.findall("[一-鿿]+", text) for n in (2, 3) for i in range(len(c) - n + 1)}
         index = lambda u: {t for c in re.findall("[一-鿿]+|[a-z0-9]+", " ".join(u[4:5] + u[3:4] + u[2:3])) for t in ([c] if c.isascii() else [c[i : i + n] for n in (2, 3) for i in range(len(c) - n + 1)])}
-        kept = {t for term in brute_terms(text) for c in [term] for t in ([x for x in re.findall("[a-z0-9]{2,}", c)] if c.isascii() else [c[i : i + n] for n in (2, 3) for i in range(len(c) - n + 1)])}
+        kept = {t for term in TERMS[text] for c in [term] for t in ([x for x in re.findall("[a-z0-9]{2,}", c)] if c.isascii() else [c[i : i + n] for n in (2, 3) for i in range(len(c) - n + 1)])}
         scanned = [u for u in UNITS if index(u) & (kept & (toks | kept))]
         assert got[query_id] == brute_scores(text, scanned)
 
@@ -72,6 +83,9 @@ def test_contains_join_is_exact(spark, monkeypatch):
     pats = [(i, "".join(rng.choice("abc") for _ in range(rng.randint(2, 5)))) for i in range(40)]
     want = {(i, p) for i, t in texts for p, s in pats if s in t}
     left, right = spark.createDataFrame(texts, "i int, text string"), spark.createDataFrame(pats, "p int, pattern string")
+    pats += [(100, "a"), (101, "c")]  # one character, on both sides of every limit
+    want |= {(i, p) for i, t in texts for p, s in pats[-2:] if s in t}
+    left, right = spark.createDataFrame(texts, "i int, text string"), spark.createDataFrame(pats, "p int, pattern string")
     for rules, grams in ((200, 5000), (1, 5000), (1, 1)):  # inside the row, pruned grams, all grams
         monkeypatch.setattr(J, "RULE_LIMIT", rules)
         monkeypatch.setattr(J, "GRAM_LIST_LIMIT", grams)
@@ -92,6 +106,12 @@ def test_passage_join_is_exact(spark):
     assert got == {(i, p) for i, t in texts for p, s in pats if s in t}
 
 
+def test_passage_join_keeps_repeated_rows(spark):
+    texts = spark.createDataFrame([(1, "a b c d e f g h")] * 2, "i int, text string")
+    for pattern in ("b c d e f g", "b c d"):
+        assert J.passage_join(texts, spark.createDataFrame([(1, pattern)] * 3, "p int, pattern string")).count() == 6
+
+
 def vectors(spark, n=200):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(n // 4, 64))
@@ -101,6 +121,7 @@ def vectors(spark, n=200):
 
 def test_exact_knn_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "QUERY_BLOCK", 64)
+    monkeypatch.setattr(D, "VECTOR_BLOCK", 50)
     rows, v = vectors(spark)
     m = np.array([np.array(r[2], dtype=np.float32).astype(float) for r in rows])
     m /= np.linalg.norm(m, axis=1, keepdims=True)
@@ -129,6 +150,15 @@ def test_mmr_trigger_and_effect(spark):
     assert [r["unit_id"] for r in calm] == list(range(6)) and not calm[0]["used"]
 
 
+def test_mmr_keeps_hits_after_the_pool_and_single_missing_vectors(spark):
+    rows = [(1, i, 1 if i < 90 else i, 1.0 - i / 200, i + 1) for i in range(100)]
+    ranking = spark.createDataFrame(rows, "query_id long, unit_id long, document_id long, score double, rank long")
+    v = spark.createDataFrame([(i, [1.0 if j == i % 6 else 0.0 for j in range(6)]) for i in range(1, 100)], "unit_id long, embedding array<double>")
+    out = X.mmr(ranking, v).orderBy("mmr_rank").collect()
+    assert [r["mmr_rank"] for r in out] == list(range(1, 101)) and sorted(r["unit_id"] for r in out) == list(range(100))
+    assert [r["unit_id"] for r in out[80:]] == list(range(80, 100)) and all(r["used"] for r in out)
+
+
 def test_reserve_fill_keeps_order_and_reservations(spark):
     order = spark.createDataFrame([(1, i, i) for i in range(1, 31)], "query_id long, unit_id long, rank long")
     kept = X.reserve_fill(order, spark.createDataFrame([(1, 25), (1, 30)], "query_id long, unit_id long")).orderBy("pool_rank").collect()

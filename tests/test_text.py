@@ -26,9 +26,13 @@ def test_short_pages_keep_every_line_once(spark):
         assert one(spark, text, T.page_artifacts("t").alias("p"))["p"]["clean"] == text
 
 
-def test_nfkc_and_clean(spark):
-    row = one(spark, "Ａ　B\r\n\r\n\r\n\r\nｍ³ ", T.clean_display(T.nfkc("t")).alias("c"))
-    assert row["c"] == "A B\n\nm3"
+def test_fold_and_clean(spark):
+    row = one(spark, "Ａ　B\r\n\r\n\r\n\r\nｍ³ ", T.clean_display(T.fold_wide("t")).alias("c"))
+    assert row["c"] == "A B\n\nm³"
+
+
+def test_normalize_folds_full_width(spark):
+    assert one(spark, "ＧＢ／Ｔ　１２ ABC", T.normalize("t").alias("n"))["n"] == "gb/t 12 abc"
 
 
 def test_clause_recognition(spark):
@@ -38,7 +42,7 @@ def test_clause_recognition(spark):
 
 
 def test_number_and_dates(spark):
-    assert one(spark, "dz／t 0430—2023（试行）", T.normalize_number(T.nfkc("t")).alias("n"))["n"] == "DZ/T0430-2023〔试行〕"
+    assert one(spark, "dz／t 0430—2023（试行）", T.normalize_number("t").alias("n"))["n"] == "DZ/T0430-2023〔试行〕"
     rows = spark.createDataFrame([("2023年4月9日",), ("2023.13.1",), ("none",)], "t string").select(T.loose_date("t").cast("string").alias("d")).collect()
     assert [r["d"] for r in rows] == ["2023-04-09", None, None]
 
