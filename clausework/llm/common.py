@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from clausework.scratch import materialize
+from clausework.session import prepare
 
 #: A word is a run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +19,12 @@ SLICE_BYTES = 4 << 20
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """The package on the executors, and Arrow batches small enough for workers with little memory."""
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{2 * SLICE_BYTES}b")
+    return spark
+
+
 def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

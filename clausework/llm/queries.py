@@ -8,9 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausework.llm.common import load_documents
+from clausework.llm.common import load_documents, ready
 from clausework.scratch import shared_folder
-from clausework.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -20,7 +19,7 @@ SHARDS = 8
 
 def registered(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(prepare(spark), sf_dir)
+        return fn(ready(spark), sf_dir)
 
     QUERIES[fn.__name__] = run
     return fn

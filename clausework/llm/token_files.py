@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import os
+import re
 import zlib
 
 import numpy as np
@@ -21,16 +23,65 @@ ORC = {
 }
 
 
-@functools.lru_cache(maxsize=2)
-def tokenizer(path: str):
-    import os
+#: Blanks and what follows them: letters before an ASCII sign or digit, or all up to the next blank. A blank
+#: after a non-blank, and an ASCII sign or digit after a letter, always start a match of the byte-level
+#: pre-tokenizer, so units are encoded independently of each other.
+UNIT = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-@\[-`{-~])|\s*\S+|\s+")
+#: Characters that only one of the two pattern languages counts as blanks; texts with them are encoded whole.
+ODD_BLANKS = re.compile("[\x1c-\x1f]")
+#: Units that a line feed keeps apart when they are encoded as one text.
+PLAIN = re.compile(r"\x20?\S+")
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
+
+
+class UnitEncoder:
+    """Ids of texts as little-endian uint32 bytes; units seen before are looked up instead of encoded again."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # the names of special tokens are ordinary text
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_units(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of distinct units; plain ones go through the tokenizer as the lines of one text."""
+        plain = [u for u in units if PLAIN.fullmatch(u)]
+        other = [u for u in units if not PLAIN.fullmatch(u)]
+        found = dict(zip(other, self.encode(other))) if other else {}
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line_feed)
+            raw, starts, stops = ids.tobytes(), np.r_[0, cuts + 1].tolist(), np.r_[cuts, len(ids)].tolist()
+            if len(starts) != len(plain):
+                raise ValueError("units and their ids do not line up")
+            found.update((u, raw[4 * a : 4 * b]) for u, a, b in zip(plain, starts, stops))
+        return found
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Looked-up units move to the recent half of the cache; a full half replaces the older one."""
+        split = [None if ODD_BLANKS.search(t) else UNIT.findall(t) for t in texts]
+        wanted = set().union(*[u for u in split if u is not None])
+        codes = {u: self.recent[u] for u in wanted & self.recent.keys()}
+        missing = wanted - codes.keys()
+        again = {u: self.older[u] for u in missing & self.older.keys()}
+        again.update(self.encode_units([u for u in missing if u not in again]))
+        codes.update(again)
+        if len(self.recent) > CACHE_ENTRIES:
+            self.older, self.recent = self.recent, {}
+        self.recent.update((u, c) for u, c in again.items() if len(u) <= CACHE_CHARS)
+        return [self.encode([t])[0] if u is None else b"".join(map(codes.__getitem__, u)) for t, u in zip(texts, split)]
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
 
-    loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True  # the names of special tokens are ordinary text
-    return loaded
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> UnitEncoder:
+    return UnitEncoder(path)
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0) -> None:
@@ -42,14 +93,13 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0)
     """
 
     def encode(batches):
-        part, first = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text", 1 << 20):
-            found = tokenizer(vocabulary).encode_batch_fast([t or "" for t in batch.column("text").to_pylist()], add_special_tokens=False)
-            rows = [np.array([*e.ids, end_id], np.int32) for e in found]
-            sizes = np.array([len(r) for r in rows], np.int64)
+        part, first, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        for batch in slices(batches, "text", 2 << 20):
+            rows = [ids + end for ids in encoder(vocabulary).ids([t or "" for t in batch.column("text").to_pylist()])]
+            sizes = np.array([len(r) // 4 for r in rows], np.int64)
             ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(first + ends - sizes), pa.array(np.full(len(rows), part, np.int64)), lists(np.r_[0, ends], np.concatenate(rows))],
+                [batch.column("doc_id"), pa.array(sizes), pa.array(first + ends - sizes), pa.array(np.full(len(rows), part, np.int64)), lists(np.r_[0, ends], np.frombuffer(b"".join(rows), np.int32))],
                 names=["doc_id", "n_tokens", "first", "part", "ids"],
             )
             first += int(ends[-1])
@@ -62,13 +112,14 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0)
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """The stored rows with ``start``: the ids of all documents before each one.
 
-    The offsets come from a scan of two columns (the ids are pruned), one row per file part.
+    The offsets come from a scan of two columns (the ids are pruned). They are broadcast: one row per file part,
+    of which there are as many as shuffle partitions.
     """
     stored = spark.read.orc(folder)
     sums = stored.groupBy("part").agg(F.sum("n_tokens").alias("_sum"))
     earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select("part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
-    return stored.join(offsets, "part").select("doc_id", (F.col("first") + F.col("_offset")).alias("start"), "n_tokens", "ids")
+    return stored.join(F.broadcast(offsets), "part").select("doc_id", (F.col("first") + F.col("_offset")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
