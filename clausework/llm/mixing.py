@@ -49,12 +49,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     weighted = sizes.select("source", (F.col("size") * F.col("n_rows")).alias("size"))
     targets = materialize(source_targets(weighted, weights, share, cap), "mix-targets")
     queued = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    queued = queued.withColumn("_all", F.col("size") * F.col("n_rows")).withColumn("_turn", F.xxhash64(F.lit(seed), "doc_id", "row_key"))
-    queue = materialize(running_totals(queued, "source_rank", ["_turn", "doc_id"], "_all", "_before"), "mix-queue")
+    queued = queued.withColumn("_all", F.col("size") * F.col("n_rows")).withColumn("_turn", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+    queue = materialize(running_totals(queued, "source_rank", ["_turn", "doc_id", "row_key"], "_all", "_before"), "mix-queue")
     rounds = range(int(cap))
     finish = [(F.col("_before") + F.col("_all") + F.lit(r) * F.col("source_size")) / F.col("target") for r in rounds]
-    copies = queue.where("_all > 0 and target > 0").select(F.explode(F.array(*finish)).alias("finish"), "source_rank", "_turn", "_all").withColumn("_line", F.lit(0).cast("long"))
-    ordered = running_totals(copies, "_line", ["finish", "source_rank", "_turn"], "_all", "_total")
+    copies = queue.where("_all > 0 and target > 0").select(F.explode(F.array(*finish)).alias("finish"), "source_rank", "_turn", "row_key", "_all").withColumn("_line", F.lit(0).cast("long"))
+    ordered = running_totals(copies, "_line", ["finish", "source_rank", "_turn", "row_key"], "_all", "_total")
     budget = targets.agg(F.sum("target")).first()[0] or 0.0
     last = ordered.where(F.col("_total") + F.col("_all") <= budget * (1 + 1e-12)).agg(F.max("finish")).first()[0]
     cut = F.lit(-1.0 if last is None else last)

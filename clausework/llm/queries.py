@@ -8,11 +8,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from clausework.llm import oracle
 from clausework.llm.common import load_documents, ready
 from clausework.scratch import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_passages": oracle.PASSAGES,
+    "op5_quality": oracle.QUALITY,
+    "op7_near_duplicates": oracle.NEAR_DUPLICATES,
+    "op9_mixing": oracle.MIXING,
+}
 
 SHARDS = 8
 
@@ -78,14 +84,14 @@ def op3_pii(spark, sf_dir):
 def op4_passages(spark, sf_dir):
     from clausework.llm.substring import remove_repeats
 
-    return remove_repeats(load_documents(spark, sf_dir)).drop("kept_text")
+    return remove_repeats(load_documents(spark, sf_dir)).drop("kept_text", "n_factors")
 
 
 @registered
 def op5_quality(spark, sf_dir):
     from clausework.llm.quality import judge
 
-    return judge(load_documents(spark, sf_dir), ["doc_id"])
+    return judge(load_documents(spark, sf_dir), ["doc_id"]).drop("distance")
 
 
 @registered
