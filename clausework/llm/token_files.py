@@ -66,17 +66,19 @@ class UnitEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. Looked-up units move to the recent half of the cache; a full half replaces the older one."""
-        split = [None if ODD_BLANKS.search(t) else UNIT.findall(t) for t in texts]
-        wanted = set().union(*[u for u in split if u is not None])
-        codes = {u: self.recent[u] for u in wanted & self.recent.keys()}
-        missing = wanted - codes.keys()
-        again = {u: self.older[u] for u in missing & self.older.keys()}
-        again.update(self.encode_units([u for u in missing if u not in again]))
-        codes.update(again)
         if len(self.recent) > CACHE_ENTRIES:
             self.older, self.recent = self.recent, {}
-        self.recent.update((u, c) for u, c in again.items() if len(u) <= CACHE_CHARS)
-        return [self.encode([t])[0] if u is None else b"".join(map(codes.__getitem__, u)) for t, u in zip(texts, split)]
+        split = [None if ODD_BLANKS.search(t) else UNIT.findall(t) for t in texts]
+        missing = set().union(*[u for u in split if u is not None]).difference(self.recent)
+        again = {u: self.older[u] for u in missing if u in self.older}
+        self.recent.update(again)
+        new = self.encode_units([u for u in missing if u not in again])
+        self.recent.update(new)
+        out = [self.encode([t])[0] if u is None else b"".join(map(self.recent.__getitem__, u)) for t, u in zip(texts, split)]
+        for u in new:
+            if len(u) > CACHE_CHARS:
+                del self.recent[u]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
