@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import functools
+import operator
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from clausework.operators.ranking import positions
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:
@@ -79,18 +84,39 @@ def audit_gold(mapped: DataFrame) -> DataFrame:
     return flags.select("item_id", F.concat_ws("|", issue("unresolved", "unresolved_source"), issue("oversized", "oversized_source"), issue("short", "short_source")).alias("issues"), status.alias("status"))
 
 
+def order_statistics(samples: DataFrame, by: str, value: str, points: dict[str, Column]) -> DataFrame:
+    """Per group its size ``n`` and the values at 1-based positions, given as expressions over ``n``; nulls are left out.
+
+    Positions come from range partitions and counts, so a group that holds most of the table is spread over
+    many tasks, and only the wanted rows reach the last aggregation.
+    """
+    known = samples.select(by, value).where(F.col(value).isNotNull())
+    sizes = known.groupBy(by).agg(F.count("*").alias("n"))
+    placed = positions(known, [by], [value]).join(sizes, by)
+    wanted = placed.where(functools.reduce(operator.or_, [F.col("position") == p for p in points.values()]))
+    return wanted.groupBy(by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("position") == p, F.col(value))).alias(name) for name, p in points.items()])
+
+
+def _between(fraction: float) -> tuple[Column, Column]:
+    """The lower neighbour's position of an interpolated percentile, and the weight of the upper one."""
+    at = F.lit(fraction) * (F.col("n") - 1)
+    return F.floor(at) + 1, at - F.floor(at)
+
+
+def percentiles(samples: DataFrame, by: str, value: str, fractions: dict[str, float]) -> DataFrame:
+    """Interpolated percentiles, six places, and the lower neighbour of each as ``<name>_nearest``."""
+    points = {}
+    for name, f in fractions.items():
+        low, _ = _between(f)
+        points |= {f"{name}_nearest": low, f"{name}_up": F.least(low + 1, F.col("n"))}
+    found = order_statistics(samples, by, value, points)
+    mixed = [F.round(F.col(f"{n}_nearest") + _between(f)[1] * (F.col(f"{n}_up") - F.col(f"{n}_nearest")), 6).alias(n) for n, f in fractions.items()]
+    return found.select(by, *mixed, *[f"{n}_nearest" for n in fractions])
+
+
 def latency_percentiles(samples: DataFrame, by: str, value: str) -> DataFrame:
     """Interpolated P50 and P95, and P95 as the sample at index floor(0.95 (n - 1))."""
-    # ``percentile`` keeps value counts, so the group is aggregated map-side; no group is sorted in one window.
-    stats = samples.groupBy(by).agg(
-        F.round(F.percentile(value, 0.5), 6).alias("p50"), F.round(F.percentile(value, 0.95), 6).alias("p95"), F.count("*").alias("n")
-    )
-    counts = samples.groupBy(by, value).agg(F.count("*").alias("c"))
-    w = W.partitionBy(by).orderBy(value)
-    upto = counts.withColumn("upto", F.sum("c").over(w)).join(stats.select(by, "n"), by)
-    wanted = F.floor(F.lit(0.95) * (F.col("n") - 1)) + 1
-    first = upto.where(F.col("upto") >= wanted).groupBy(by).agg(F.min(value).alias("p95_nearest"))
-    return stats.drop("n").join(first, by)
+    return percentiles(samples, by, value, {"p50": 0.5, "p95": 0.95}).drop("p50_nearest")
 
 
 def expected_found(expected: DataFrame, found: DataFrame) -> DataFrame:
