@@ -217,6 +217,7 @@ def length_band(length: Column) -> Column:
 
 def page_class(text, ink_ratio) -> Column:
     """Physical page class by ordered rules over page text and ink ratio."""
+    # The words, the ink limit and the class names of the rules.
     t = F.trim(F.regexp_replace(_c(text), "[ \\t\\r\\n]+", " "))
     ink = _c(ink_ratio)
     has = lambda s: t.contains(s)
@@ -275,6 +276,7 @@ def front_matter_flag(col) -> Column:
     return contents | cover
 
 
+# What counts as a concrete value, a fraction and a date.
 VALUE_PATTERN = "[0-9]+(?:[.][0-9]+)?(?:%|％|万元|元|米|年|日|天)?"
 FRACTION_PATTERN = "[0-9]+/[0-9]+"
 DATE_PATTERN = "[0-9]{4}[-/.年][0-9]{1,2}[-/.月][0-9]{1,2}"

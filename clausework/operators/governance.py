@@ -56,6 +56,7 @@ def policy_level_type(level: Column) -> Column:
     )
 
 
+# Names of the flags.
 EXCLUDE_WHEN_FALSE = ("answer_evidence_eligible", "include_in_answering", "can_answer")
 EXCLUDE_WHEN_TRUE = ("exclude_from_answering", "excluded_from_answering")
 
@@ -90,6 +91,7 @@ def allowlist_decision(authority: Column, verified: Column, status: Column, publ
             .otherwise(verdict(False, unclear))
         )
 
+    # The reason codes that reports and reviews refer to.
     upper = sourced(
         "upper",
         "verified_current_upper_law_outside_departmental_allowlist_scope",

@@ -211,6 +211,7 @@ def fastpath_runs(spark, sf):
     return tables.load(spark, sf, "orders").join(src, "o_orderkey", "left").withColumn(
         "reasons",
         G.reasons(
+            # Reason codes of the gate.
             ("candidate_did_not_produce_visible_answer", F.col("o_orderstatus") != "F"),
             ("retrieval_not_allowed", F.col("o_totalprice") < 20000),
             ("unresolved_question_state", F.col("o_orderpriority") == "4-NOT SPECIFIED"),

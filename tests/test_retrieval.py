@@ -77,6 +77,14 @@ def test_query_without_candidates_scans_everything(spark):
     assert got == brute_scores("old", UNITS) and len(got) == 2
 
 
+def test_explicit_terms_with_blanks_count_in_the_whole_field(spark):
+    units = spark.createDataFrame([(1, 1, "iron ore grade and iron ore", "", ""), (1, 2, "ore", "", "")], SCHEMA)
+    asked = spark.createDataFrame([(1, "ore")], "query_id long, question string")
+    explicit = spark.createDataFrame([(1, "(Iron ore)")], "query_id long, term string")
+    got = {r["unit_order"]: r["matched_terms"] for r in L.Lexical(asked, units, explicit).first_stage().collect()}
+    assert got == {1: 2, 2: 1}
+
+
 def test_contains_join_is_exact(spark, monkeypatch):
     rng = random.Random(3)
     texts = [(i, "".join(rng.choice("abc ") for _ in range(rng.randint(1, 40)))) for i in range(60)]
