@@ -24,6 +24,24 @@ def references(units: DataFrame, pattern: str) -> DataFrame:
     )
 
 
+def typed_relations(documents: DataFrame, chunks: DataFrame, kinds: DataFrame, pattern: str) -> DataFrame:
+    """Edges with evidence and confidence: codes, replaced codes, the parts of a document, and what its parts cite.
+
+    ``documents``: document_id, number, replaces array. ``chunks``: document_id, unit_order, profile, chunk_type, name,
+    text. ``kinds``: profile, chunk_type, relation; the rule table says how a document of a profile holds a chunk. Null or
+    empty targets give no edge, and equal edges with equal evidence count once.
+    """
+    none = F.lit(None).cast("long")
+    edge = lambda relation, target, evidence, confidence: ["document_id", relation.alias("relation"), target.alias("target"), evidence.alias("evidence_unit"), F.lit(confidence).alias("confidence")]
+    codes = documents.select(*edge(F.lit("HAS_CODE"), F.col("number"), none, 1.0))
+    replaced = documents.select("document_id", F.explode("replaces").alias("code")).select(*edge(F.lit("REPLACES"), F.col("code"), none, 1.0))
+    parts = chunks.join(kinds, ["profile", "chunk_type"]).select(*edge(F.col("relation"), F.col("name"), F.col("unit_order"), 1.0))
+    cited = chunks.select("document_id", "unit_order", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("code"))
+    cites = cited.select(*edge(F.lit("REFERENCES_STANDARD"), F.col("code"), F.col("unit_order"), 0.75))
+    edges = codes.unionByName(replaced).unionByName(parts).unionByName(cites).where("target <> ''").distinct()
+    return edges.withColumn("relation_id", ids.stable_id("rel", "document_id", "relation", "target", "evidence_unit"))
+
+
 def term_mentions(units: DataFrame, terms: DataFrame) -> DataFrame:
     """Best confidence per (document, term): title, leading units, or body. ``units``: document_id, unit_order, text."""
     hits = contains_join(units.withColumn("text", F.lower("text")), terms.withColumnRenamed("term", "pattern"))

@@ -34,6 +34,33 @@ def kg_relations(spark, sf):
     return K.references(tables.line_units(spark, sf), IDENTIFIERS)
 
 
+#: How documents of a profile hold a chunk of a type.
+CHUNK_KINDS = [
+    ("standard", "text", "HAS_CLAUSE"), ("standard", "table", "HAS_TABLE"), ("attachment", "text", "HAS_SECTION"), ("attachment", "row", "HAS_REQUIREMENT"), ("attachment", "table", "HAS_TABLE"),
+]
+
+
+@query(
+    "kg_typed_relations",
+    f"""WITH {UNITS_SQL}, d AS (SELECT doc_id AS document_id, upper(source) || '-' || doc_id AS number, regexp_extract_all(string_split(text, chr(10))[1], '{IDENTIFIERS}') AS replaces, CASE WHEN lang = 'en' THEN 'standard' ELSE 'attachment' END AS profile FROM documents),
+       c AS (SELECT cut.document_id, unit_order, profile, unit_text, coalesce(nullif(section_path, ''), substr(unit_text, 1, 80)) AS name, CASE WHEN contains(unit_text, '|') THEN 'table' WHEN unit_order % 4 = 0 AND profile = 'attachment' THEN 'row' ELSE 'text' END AS chunk_type FROM cut JOIN d USING (document_id)),
+       k AS (SELECT * FROM (VALUES {', '.join(str(k) for k in CHUNK_KINDS)}) k(profile, chunk_type, relation)),
+       e AS (SELECT document_id, 'HAS_CODE' AS relation, number AS target, NULL::BIGINT AS evidence_unit, 1.0::DOUBLE AS confidence FROM d UNION SELECT document_id, 'REPLACES', unnest(replaces), NULL, 1.0 FROM d
+         UNION SELECT document_id, relation, name, unit_order, 1.0 FROM c JOIN k USING (profile, chunk_type) UNION SELECT document_id, 'REFERENCES_STANDARD', unnest(regexp_extract_all(unit_text, '{IDENTIFIERS}')), unit_order, 0.75 FROM c)
+       SELECT *, 'rel-' || substr(sha1(document_id || chr(10) || relation || chr(10) || target || chr(10) || coalesce(evidence_unit::VARCHAR, '')), 1, 16) AS relation_id FROM e WHERE target <> ''""",
+)
+def kg_typed_relations(spark, sf):
+    profile = F.when(F.col("lang") == "en", "standard").otherwise("attachment")
+    documents = tables.load(spark, sf, "documents").select(
+        F.col("doc_id").alias("document_id"), F.concat_ws("-", F.upper("source"), "doc_id").alias("number"), F.regexp_extract_all(T.first_line("text"), F.lit(IDENTIFIERS), F.lit(0)).alias("replaces"), profile.alias("profile")
+    )
+    table = F.when(F.contains("unit_text", F.lit("|")), "table").when((F.col("unit_order") % 4 == 0) & (F.col("profile") == "attachment"), "row").otherwise("text")
+    name = F.coalesce(F.nullif("section_path", F.lit("")), F.substring("unit_text", 1, 80))
+    chunks = short_line_units(spark, sf).join(documents.select("document_id", "profile"), "document_id").select("document_id", "unit_order", "profile", table.alias("chunk_type"), name.alias("name"), F.col("unit_text").alias("text"))
+    kinds = spark.createDataFrame(CHUNK_KINDS, "profile string, chunk_type string, relation string")
+    return K.typed_relations(documents, chunks, kinds, IDENTIFIERS)
+
+
 @query(
     "term_mentions",
     f"""WITH {LINES}, t AS (SELECT DISTINCT unnest(regexp_extract_all({norm('text')}, '[a-z]{{10,}}')) AS term FROM benchmark)
