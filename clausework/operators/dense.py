@@ -88,8 +88,11 @@ def vector_tokens(col):
 
 
 def hash_buckets(units: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Raw bucket weights (keys, idx, x): 1 + ln(count) per token, summed where tokens share a bucket."""
-    counts = units.select(*keys, F.explode(vector_tokens(text)).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
+    """Raw bucket weights (keys, idx, x): 1 + ln(count) per token, summed where tokens share a bucket.
+
+    Texts are dealt out by key once; counting, bucket sums and the norm then need no further exchange.
+    """
+    counts = units.select(*keys, T._c(text).alias("_text")).repartition(*keys).select(*keys, F.explode(vector_tokens("_text")).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
     idx = (F.conv(F.substring(F.sha1("token"), 1, 8), 16, 10).cast("long") % VECTOR_DIM).alias("idx")
     return counts.select(*keys, idx, (1.0 + F.log(F.col("n").cast("double"))).alias("x")).groupBy(*keys, "idx").agg(F.sum("x").alias("x"))
 
