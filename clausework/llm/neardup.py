@@ -18,7 +18,7 @@ WORDS = HASHES * BITS // 64
 LINK = 80
 #: Estimates this far below cannot belong to a link: six standard deviations at 0.8 with 128 hashes of two bits.
 LEAST_ESTIMATE = 0.55
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 #: Wide sketches for large divided bands: 2048 hashes put 5.5 standard deviations at 0.058.
 WIDE, LEAST_WIDE = 2048, 0.742
 SMALL, BLOCK = 16, 512
@@ -181,12 +181,14 @@ def _wide_sketches(sets: DataFrame) -> DataFrame:
     return map_rows(sets, "set", run, f"node {dict(sets.dtypes)['node']}, size long, wide array<long>", 1 << 19)
 
 
-def _block_pairs(opened: DataFrame, sets: DataFrame) -> DataFrame:
+def _block_pairs(opened: DataFrame, sets: DataFrame, bands: DataFrame) -> DataFrame:
     """Likely pairs between components in larger bands, which are compared block by block.
 
     A band's documents fall into blocks of about ``BLOCK`` by hash; each two blocks meet in one group of
     bounded size, where wide sketches are compared by bit counts. Only pairs whose estimate is within
-    5.5 standard deviations of a link leave a group.
+    5.5 standard deviations of a link leave a group, and only the group of the first band they share:
+    other bands they share hold both documents too, so that one is compared here, as a small
+    band, or was its leader's comparison.
     """
     large = opened.where(F.col("n") > SMALL)
     nodes = large.select("node").distinct()
@@ -194,12 +196,13 @@ def _block_pairs(opened: DataFrame, sets: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = large.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     met = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    met = met.select("band", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node", F.xxhash64("component").alias("component")).join(wide, "node")
+    met = met.select("band", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node", F.xxhash64("component").alias("component")).join(wide, "node").join(bands, "node")
 
     def compare(key, group):
-        i, j = key[1].as_py(), key[2].as_py()
+        band, i, j = (k.as_py() for k in key)
         own = group.column("_own").to_numpy()
         bits = group.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(own), -1)
+        shared = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(own), -1)
         component, size = group.column("component").to_numpy(), group.column("size").to_numpy()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         found_a, found_b = [], []
@@ -210,6 +213,7 @@ def _block_pairs(opened: DataFrame, sets: DataFrame) -> DataFrame:
             differing = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
             chance = 1 / (1 << BITS)
             to = to[(1 - differing / WIDE - chance) / (1 - chance) >= LEAST_WIDE]
+            to = to[shared[row][(shared[to] == shared[row]).argmax(axis=1)] == band]
             found_a.append(np.full(len(to), row)), found_b.append(to)
         a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_a, found_b))
         node = group.column("node")
@@ -232,7 +236,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         ways = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large.where("u <> v"), name)
+        large = large.where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         current, old = materialize(small, name), total
@@ -246,8 +250,16 @@ def _summary(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
-def _edges(found: DataFrame) -> DataFrame:
-    return found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, component): the least document within two links of each linked one.
+
+    Equal labels mean connected documents; connected ones farther apart may differ, which costs comparisons
+    and loses nothing.
+    """
+    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    reached = ways.join(near.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("low").alias("_low"))
+    return reached.join(near, "a").select(F.col("a").alias("node"), F.least("_low", "low").alias("component"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -255,7 +267,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows with equal shingle sets form one class, known by its smallest doc_id; only classes are compared.
     Documents in a band are first compared with the band's smallest document, then, in bands that hold more
-    than one component, with documents drawn by hash. Bands that are still divided are compared between
+    than one group of documents linked so far, with one drawn by hash. Bands that are still divided are compared between
     components in full, large ones block by block, so none of their links is lost. The chance that a linked pair shares none
     of 32 bands of four is below 5e-8. Rows without words, and rows with a
     null doc_id, are linked with nothing (a null id has a null component and is kept). Rows that share
@@ -266,20 +278,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     first = known.join(classes, "set_key").where(F.col("doc_id") == F.col("node"))
     first = materialize(first.dropDuplicates(["node", "set_key"]).select("node", "n_shingles", "sig", "bands"), "neardup-first")
-    bands = first.select("node", F.explode("bands").alias("band"))
-    first = first.drop("bands")
+    keys, first = first.select("node", "bands"), first.drop("bands")
+    bands = keys.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).where("_last > leader").select("band", "leader")
     members = materialize(bands.join(shared, "band"), "neardup-members")
     pairs = materialize(_plausible(members.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), first), "neardup-pairs")
     sets = _sets(members.select("node").distinct(), docs)
     links = materialize(_confirmed(pairs, sets), "neardup-links")
-    found = components(links, "neardup-components")
     for turn in range(STAR_ROUNDS):
-        more = materialize(_plausible(_star_pairs(_open_bands(members, found), turn), first), "neardup-pairs")
-        found = components(_edges(found).unionByName(_confirmed(more, sets)), "neardup-components")
-    opened = _open_bands(members, found)
-    rest = materialize(_small_pairs(opened, first).unionByName(_block_pairs(opened, sets)).distinct(), "neardup-pairs")
-    final = components(_edges(found).unionByName(_confirmed(rest, sets)), "neardup-components")
+        more = _plausible(_star_pairs(_open_bands(members, _labels(links)), turn), first)
+        links = materialize(links.unionByName(_confirmed(more, sets)), "neardup-links")
+    opened = _open_bands(members, _labels(links))
+    rest = materialize(_small_pairs(opened, first).unionByName(_block_pairs(opened, sets, keys)).distinct(), "neardup-pairs")
+    final = components(links.unionByName(_confirmed(rest, sets)), "neardup-components")
     classed = rows.join(classes, "set_key", "left").join(final, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return classed.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
