@@ -21,7 +21,7 @@ LEAST_ESTIMATE = 0.55
 STAR_ROUNDS = 1
 #: Wide sketches for large divided bands: 2048 hashes put 5.5 standard deviations at 0.058.
 WIDE, LEAST_WIDE = 2048, 0.742
-SMALL, BLOCK = 16, 512
+SMALL, BLOCK = 16, 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
