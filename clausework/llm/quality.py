@@ -13,7 +13,10 @@ WINDOW = 5
 #: The transformed statistics are whole numbers of thousandths, so sums are exact in any order.
 SCALE = 1000
 #: Least standard deviations, in logarithms: a fleet of spotless documents must not make one blot an outlier.
-FLOORS = (0.35, 0.15, 0.8, 1.0)
+#: A statistic alone can be rejected only if its range exceeds its floor times the root of the cutoff.
+FLOORS = (0.35, 0.15, 0.4, 0.4)
+#: Those of the SQL of op5_quality; repeated words or lines alone stay below the cutoff with them.
+SQL_FLOORS = (0.35, 0.15, 0.8, 1.0)
 DIMS = len(FLOORS)
 #: Share of a cell's rows that the determinant is taken over; the factor makes it consistent for normal data in four dimensions.
 COVERAGE, CONSISTENCY = 0.75, 1.49
@@ -111,7 +114,7 @@ def squared_distance() -> Column:
     return sum((y * y for y in ys[1:]), ys[0] * ys[0])
 
 
-def _cholesky(moments: DataFrame) -> DataFrame:
+def _cholesky(moments: DataFrame, floors: tuple[float, ...]) -> DataFrame:
     """Centre m<i> and factor l<i><j> of each cell's scaled covariance with the least deviations added; one row per cell."""
     out = moments
     for i in range(DIMS):
@@ -119,14 +122,14 @@ def _cholesky(moments: DataFrame) -> DataFrame:
     for i in range(DIMS):
         for j in range(i + 1):
             cov = CONSISTENCY * (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
-            value = cov + (FLOORS[i] * SCALE) ** 2 if i == j else cov
+            value = cov + (floors[i] * SCALE) ** 2 if i == j else cov
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(value) if i == j else value / F.col(f"l{j}{j}"))
     return out.select("cell", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)])
 
 
-def minimum_determinant(points: DataFrame) -> DataFrame:
+def minimum_determinant(points: DataFrame, floors: tuple[float, ...] = FLOORS) -> DataFrame:
     """Centre and covariance factor per cell of ``points`` (cell, x0..x3 long) by concentration steps.
 
     The start is the coordinate-wise median with the least deviations; each step keeps the three quarters
@@ -136,7 +139,7 @@ def minimum_determinant(points: DataFrame) -> DataFrame:
     """
     dims = points.select("cell", F.posexplode(F.array(*[f"x{i}" for i in range(DIMS)])).alias("dim", "bin"))
     medians = _quantile_bins(dims, ["cell", "dim"], 0.5, "median").groupBy("cell").pivot("dim", list(range(DIMS))).agg(F.first("median"))
-    start = medians.select("cell", *[F.col(str(i)).cast("double").alias(f"m{i}") for i in range(DIMS)], *[F.lit(FLOORS[i] * SCALE if i == j else 0.0).alias(f"l{i}{j}") for i in range(DIMS) for j in range(i + 1)])
+    start = medians.select("cell", *[F.col(str(i)).cast("double").alias(f"m{i}") for i in range(DIMS)], *[F.lit(floors[i] * SCALE if i == j else 0.0).alias(f"l{i}{j}") for i in range(DIMS) for j in range(i + 1)])
     estimate = materialize(start, "mcd-start")
     for _ in range(C_STEPS):
         near = points.join(estimate, "cell").select("cell", *[f"x{i}" for i in range(DIMS)], F.floor(F.log1p(squared_distance()) * SCALE).alias("bin"))
@@ -144,11 +147,11 @@ def minimum_determinant(points: DataFrame) -> DataFrame:
         kept = near.join(border, "cell").where(F.col("bin") <= F.col("border"))
         products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)]
         moments = kept.groupBy("cell").agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)], *products)
-        estimate = materialize(_cholesky(moments), "mcd-step")
+        estimate = materialize(_cholesky(moments, floors), "mcd-step")
     return estimate
 
 
-def with_verdict(table: DataFrame, least: int = 50, cutoff: float = 25.0) -> DataFrame:
+def with_verdict(table: DataFrame, least: int = 50, cutoff: float = 25.0, floors: tuple[float, ...] = FLOORS) -> DataFrame:
     """Add base_failed, distance and kept to a stored table that has lang, source and stats.
 
     Rejected are rows that fail the base rule and rows whose squared distance from their cell's estimate
@@ -164,19 +167,19 @@ def with_verdict(table: DataFrame, least: int = 50, cutoff: float = 25.0) -> Dat
         narrow.join(lookup, narrow["_lang"].eqNullSafe(F.col("lang")) & narrow["_source"].eqNullSafe(F.col("source"))).where(F.col("cell").isNotNull()).select("cell", *[f"x{i}" for i in range(DIMS)]),
         "mcd-points",
     )
-    estimate = minimum_determinant(points)
+    estimate = minimum_determinant(points, floors)
     judged = tagged.withColumns({f"x{i}": x for i, x in enumerate(vector())}).join(estimate, "cell", "left")
     kept = ~F.col("_failed") & (F.coalesce(F.col("_distance"), F.lit(0.0)) <= cutoff)
     judged = judged.select(*[F.col(c) for c in table.columns], base_failed().alias("_failed"), squared_distance().alias("_distance"))
     return judged.select(*[F.col(c) for c in table.columns], F.col("_failed").alias("base_failed"), F.round("_distance", 6).alias("distance"), kept.alias("kept"))
 
 
-def judge(docs: DataFrame, keep: list[str], least: int = 50, cutoff: float = 25.0) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str], least: int = 50, cutoff: float = 25.0, floors: tuple[float, ...] = FLOORS) -> DataFrame:
     """The columns ``keep`` of every row with stats, base_failed, distance and kept.
 
     The statistics are computed once and stored with ``keep``; the estimates read four numbers a row.
     """
     named = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), "text", "lang", "source")
     stored = materialize(with_statistics(named).drop("text"), "quality")
-    judged = with_verdict(stored, least, cutoff)
+    judged = with_verdict(stored, least, cutoff, floors)
     return judged.select(*[F.col(f"row.{c}").alias(c) for c in keep], *[F.col(f"stats.{c}").alias(c) for c in STATISTICS], "base_failed", "distance", "kept")

@@ -89,9 +89,9 @@ def op4_passages(spark, sf_dir):
 
 @registered
 def op5_quality(spark, sf_dir):
-    from clausework.llm.quality import judge
+    from clausework.llm.quality import SQL_FLOORS, judge
 
-    return judge(load_documents(spark, sf_dir), ["doc_id"]).drop("distance")
+    return judge(load_documents(spark, sf_dir), ["doc_id"], floors=SQL_FLOORS).drop("distance")
 
 
 @registered

@@ -114,6 +114,26 @@ def test_robust_estimate_rejects_symbol_soup_and_keeps_clean_documents(spark):
     assert all(kept[i] for i in range(150)) and not any(kept[i] for i in range(150, 180))
 
 
+def test_each_statistic_alone_rejects_a_planted_outlier(spark):
+    from clausework.llm.stages import quality_rules
+
+    rng = np.random.default_rng(7)
+    clean = ["\n".join(" ".join("".join(rng.choice(list("aeioustrn"), int(rng.integers(3, 8)))) for _ in range(8)) for _ in range(int(rng.integers(20, 40)))) for _ in range(150)]
+    phrase = "one two three four five"
+    symbols = " ".join(w + "%$#" for w in clean[0].split())
+    long_words = " ".join(w * 6 for w in clean[1].split())
+    repeated = clean[2] + f"\n{phrase} once\n{phrase} twice\n{phrase} thrice\n{phrase} again\n{phrase} still\n{phrase} more\n{phrase} here"
+    lines = "\n".join(f"{line}\nMenu" for line in (clean[3] + "\n" + clean[4]).split("\n"))
+    docs = docs_of(spark, [*clean, symbols, long_words, repeated, lines])
+    kept = {r["doc_id"] for r in quality_rules(spark, docs, SF_DIR).collect()}
+    assert kept == set(range(150))
+    from clausework.llm.quality import judge
+
+    last = {r["doc_id"]: r for r in judge(docs, ["doc_id"]).where("doc_id >= 150").collect()}
+    assert not any(r["base_failed"] for r in last.values())
+    assert [[last[i][c] > 0 for c in ("n_symbols", "n_repeat_words", "n_dup_lines")] for i in range(150, 154)] == [[True, False, False], [False, False, False], [False, True, False], [False, False, True]]
+
+
 def test_estimate_equals_plain_concentration_steps(spark):
     from clausework.llm import quality
 
