@@ -80,19 +80,26 @@ def vector() -> list[Column]:
 
 
 def cells(rows: DataFrame, least: int) -> DataFrame:
-    """The cell each (lang, source) is estimated in: itself, else the small sources of its language, else all that is left.
+    """The cell each (lang, source) is judged in, and the cells that its rows are points of.
 
-    One row per pair; a cell with fewer than ``least`` rows has a null name, and no estimate.
+    Judged in itself, else with the small sources of its language, else with all that is left; where these
+    are fewer than ``least`` rows, with all rows of its language, else with all rows. One row per pair. Only
+    a table of fewer than ``least`` rows has pairs with a null cell, and no estimate. Rows of other cells
+    are also points of their language or of the whole table where some pair falls back to it.
     """
     counts = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
     small = F.when(F.col("n") < least, F.col("n")).otherwise(0)
-    pooled = counts.withColumn("_lang_n", F.sum(small).over(W.partitionBy("lang")))
+    pooled = counts.withColumns({"_lang_n": F.sum(small).over(W.partitionBy("lang")), "_lang_all": F.sum("n").over(W.partitionBy("lang"))})
     left = F.when((F.col("n") < least) & (F.col("_lang_n") < least), F.col("n")).otherwise(0)
-    rest = pooled.agg(F.sum(left).alias("_rest_n"))
+    rest = pooled.agg(F.sum(left).alias("_rest_n"), F.sum("n").alias("_n"), F.coalesce(F.max((left > 0) & (F.col("_lang_all") < least)), F.lit(False)).alias("_far"))
     name = lambda *c: F.to_json(F.struct(*c))
     own, lang, everything = name(F.lit(1).alias("level"), "lang", "source"), name(F.lit(2).alias("level"), "lang"), name(F.lit(3).alias("level"))
-    cell = F.when(F.col("n") >= least, own).when(F.col("_lang_n") >= least, lang).when(F.col("_rest_n") >= least, everything)
-    return pooled.crossJoin(rest).select("lang", "source", cell.alias("cell"))
+    whole_lang, whole = name(F.lit(4).alias("level"), "lang"), name(F.lit(5).alias("level"))
+    cell = F.when(F.col("n") >= least, own).when(F.col("_lang_n") >= least, lang).when(F.col("_rest_n") >= least, everything).when(F.col("_lang_all") >= least, whole_lang).when(F.col("_n") >= least, whole)
+    short = F.col("_rest_n") < least
+    in_lang = short & (F.col("_lang_all") >= least) & F.col("_lang_n").between(1, least - 1)
+    points = F.array_distinct(F.array_compact(F.array(cell, F.when(in_lang, whole_lang), F.when(short & F.col("_far") & (F.col("_n") >= least), whole))))
+    return pooled.crossJoin(rest).select("lang", "source", cell.alias("cell"), points.alias("points"))
 
 
 def _quantile_bins(binned: DataFrame, keys: list[str], share: float, name: str) -> DataFrame:
@@ -157,14 +164,15 @@ def with_verdict(table: DataFrame, least: int = 50, cutoff: float = 25.0, floors
     Rejected are rows that fail the base rule and rows whose squared distance from their cell's estimate
     exceeds ``cutoff`` (about 5e-5 of normal data in four dimensions). Estimates use every row that the base
     rule passes. Nulls in lang or source form cells of their own; cells of fewer than ``least`` rows are
-    pooled by language, then over all; where even that is too small, only the base rule decides.
+    pooled by language, then over all that is left, and else judged by all rows of their language or of the
+    table; where even the table is too small, only the base rule decides.
     """
     lookup = cells(table.where(~base_failed()), least)
     tagged = table.join(lookup.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "cell"), table["lang"].eqNullSafe(F.col("_l")) & table["source"].eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
     xs = [x.alias(f"x{i}") for i, x in enumerate(vector())]
     narrow = table.where(~base_failed()).select("lang", "source", *xs).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     points = materialize(
-        narrow.join(lookup, narrow["_lang"].eqNullSafe(F.col("lang")) & narrow["_source"].eqNullSafe(F.col("source"))).where(F.col("cell").isNotNull()).select("cell", *[f"x{i}" for i in range(DIMS)]),
+        narrow.join(lookup, narrow["_lang"].eqNullSafe(F.col("lang")) & narrow["_source"].eqNullSafe(F.col("source"))).select(F.explode("points").alias("cell"), *[f"x{i}" for i in range(DIMS)]),
         "mcd-points",
     )
     estimate = minimum_determinant(points, floors)

@@ -134,6 +134,26 @@ def test_each_statistic_alone_rejects_a_planted_outlier(spark):
     assert [[last[i][c] > 0 for c in ("n_symbols", "n_repeat_words", "n_dup_lines")] for i in range(150, 154)] == [[True, False, False], [False, False, False], [False, True, False], [False, False, True]]
 
 
+def test_rare_pairs_are_judged_beside_large_cells(spark):
+    rng = np.random.default_rng(9)
+    clean = [" ".join("".join(rng.choice(list("aeioustrn"), int(rng.integers(3, 8)))) for _ in range(int(rng.integers(30, 200)))) for _ in range(130)]
+    soup = [" ".join(w + "%$#" for w in t.split()) for t in clean[:24]]
+    places = [("en", "s"), ("fr", "s")]
+    rows = [(i, t, *places[i % 2], len(t)) for i, t in enumerate(clean[:120])]
+    rare = [("en", "rare"), (None, None), ("xx", "s")]
+    rows += [(200 + i, t, *rare[i % 3], len(t)) for i, t in enumerate(clean[120:])]
+    rows += [(300 + i, t, *rare[i % 3], len(t)) for i, t in enumerate(soup)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    from clausework.llm import quality
+
+    got = quality.judge(docs, ["doc_id"]).collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == {r[0] for r in rows if r[0] < 300} and all(r["distance"] is not None for r in got)
+    named = {(r["lang"], r["source"]): (r["cell"], set(r["points"])) for r in quality.cells(docs, 50).collect()}
+    en, whole = '{"level":4,"lang":"en"}', '{"level":5}'
+    assert named[("en", "rare")] == (en, {en, whole}) and named[("xx", "s")] == named[(None, None)] == (whole, {whole})
+    assert named[("en", "s")][1] == {named[("en", "s")][0], en, whole} and named[("fr", "s")][1] == {named[("fr", "s")][0], whole}
+
+
 def test_estimate_equals_plain_concentration_steps(spark):
     from clausework.llm import quality
 
