@@ -156,6 +156,44 @@ def test_boosted_trees_add_other_spellings_and_leave_lookalikes():
     assert ((model.probability(x) > 0.5) == (y > 0)).mean() > 0.97
 
 
+def test_candidates_between_base_spans_overlap():
+    from clausework.llm.pii import base_spans, candidates
+
+    for text, want in [("(030) 1234567 192.168.0.1", "(030) 1234567"), ("4111 1111 1111 1111 (030) 1234567 2024", "(030) 1234567"), ("joe [at] mail.example.org.uk", "joe [at] mail.example.org")]:
+        base = base_spans(text)
+        found = list(candidates(text, base))
+        assert want in {text[a:b] for _, a, b in found} and len(set(found)) == len(found)
+        assert not any(a < e and s < b for _, a, b in found for _, s, e in base)
+
+
+def test_numbers_beside_base_spans_are_redacted():
+    from clausework.llm.pii import KINDS, all_spans, redacted
+
+    class Phones:
+        trees, slope, offset = None, 1.0, 0.0
+        thresholds = (1.1, 1.1, 1.1, 0.9)
+        probability = staticmethod(lambda x: np.where((x[:, 0] == KINDS.index("phone")) & (x[:, 2] == 10) & (x[:, 10] > 0), 0.95, 0.1))
+
+    text = "(030) 1234567 192.168.0.1"
+    base, added = all_spans([text], Phones)[0]
+    assert redacted(text, base + added) == "[PHONE] [IP]"
+
+
+def test_rare_kinds_have_held_out_rows(spark):
+    from clausework.llm.pii import KINDS, train, training_rows
+
+    rng = np.random.default_rng(12)
+    texts = [f"item {rng.integers(10**9, 10**10)} and {rng.integers(10**11, 10**12)} u{i}@mail.example.org 10.{i % 256}.3.4 +1 ({100 + i % 800}) 555-{1000 + i} end" for i in range(1500)]
+    for i in (17, 800, 1300):
+        texts[i] += " pay by card 4111 1111 1111 1111 now" if i == 17 else f" card {['5500 0000 0000 0004', '4012 8888 8888 1881'][i == 1300]} now"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, kind, y, held, weight = training_rows(docs, 100, 800)
+    card = (kind == KINDS.index("card")) & (y == 1)
+    assert (card & held).any() and (card & ~held).any() and len(y) <= 800
+    assert all(((kind == k) & (y == 1) & held).any() for k in range(len(KINDS))) and weight[card].sum() == 6
+    assert all(t <= 1 for t in train(docs, 100, 800).thresholds[:2])
+
+
 # Byte-pair encoding.
 
 
