@@ -94,3 +94,28 @@ QUALITY = f"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {
   {_step(2)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(distance, 0) <= 25 AS kept
 FROM (SELECT t.*, {_distance()} FROM tagged t LEFT JOIN est3 ON t.cell = est3.cell) d"""
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws)) AS n FROM lists GROUP BY 1),
+runs AS (
+  SELECT lang, m, array_to_string(ws[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM lists, range(1, 6) t(m)) s),
+grams AS (SELECT lang, m, phrase, count(*) AS times FROM runs GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+parts AS (SELECT lang, m, phrase, times, string_split(phrase, ' ') AS ws FROM grams),
+inner_runs AS (
+  SELECT lang, array_to_string(ws[i : i + k - 1], ' ') AS phrase, times
+  FROM (SELECT lang, ws, times, k, unnest(range(1, m - k + 2)) AS i FROM parts, range(2, 5) t(k) WHERE k < m) s),
+dropped AS (SELECT DISTINCT g.lang, g.phrase FROM grams g JOIN inner_runs i ON g.lang = i.lang AND g.phrase = i.phrase AND 100 * i.times >= 100 * g.times),
+cuts AS (
+  SELECT lang, phrase, times AS a, k, array_to_string(ws[1 : k], ' ') AS head, array_to_string(ws[k + 1 : m], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM parts WHERE m > 1) s),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, l.times AS l, r.times AS r, n, (1000::HUGEINT * c.a * n) // (l.times::HUGEINT * r.times) AS score
+  FROM cuts c JOIN grams l ON l.lang = c.lang AND l.phrase = c.head JOIN grams r ON r.lang = c.lang AND r.phrase = c.tail JOIN totals t ON t.lang = c.lang),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM weakest ANTI JOIN dropped USING (lang, phrase) QUALIFY rank <= 2000
+"""

@@ -18,6 +18,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality": oracle.QUALITY,
     "op7_near_duplicates": oracle.NEAR_DUPLICATES,
     "op9_mixing": oracle.MIXING,
+    "op12_phrases": oracle.COLLOCATIONS,
 }
 
 SHARDS = 8
@@ -116,3 +117,17 @@ def op10_webp(spark, sf_dir):
         "media_sha256",
         "feature",
     )
+
+
+@registered
+def op11_lexicon(spark, sf_dir):
+    from clausework.llm.lexicon import encode_documents
+
+    return encode_documents(load_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
+@registered
+def op12_phrases(spark, sf_dir):
+    from clausework.llm.phrases import collocations
+
+    return collocations(load_documents(spark, sf_dir))
