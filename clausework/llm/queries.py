@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clausework.llm import oracle
 from clausework.llm.common import load_documents, ready
@@ -19,6 +19,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_near_duplicates": oracle.NEAR_DUPLICATES,
     "op9_mixing": oracle.MIXING,
     "op12_phrases": oracle.COLLOCATIONS,
+    "op13_hard_negatives": oracle.HARD_NEGATIVES,
 }
 
 SHARDS = 8
@@ -131,3 +132,12 @@ def op12_phrases(spark, sf_dir):
     from clausework.llm.phrases import collocations
 
     return collocations(load_documents(spark, sf_dir))
+
+
+@registered
+def op13_hard_negatives(spark, sf_dir):
+    from clausework.llm.rtree import hard_negatives
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved))
