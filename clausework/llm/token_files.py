@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from clausework.llm.common import lists, map_rows, slices
+from clausework.llm.pretokens import BLANK, character_classes, cut_texts, flat
 
 ORC = {
     "compression": "zstd",
@@ -23,71 +23,57 @@ ORC = {
 }
 
 
-#: Blanks and what follows them: letters before an ASCII sign or digit, or all up to the next blank. A blank
-#: after a non-blank, and an ASCII sign or digit after a letter, always start a match of the byte-level
-#: pre-tokenizer, so units are encoded independently of each other.
-UNIT = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-@\[-`{-~])|\s*\S+|\s+")
-#: Characters that only one of the two pattern languages counts as blanks; texts with them are encoded whole.
-ODD_BLANKS = re.compile("[\x1c-\x1f]")
-#: Units that a line feed keeps apart when they are encoded as one text.
-PLAIN = re.compile(r"\x20?\S+")
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
-
-
-class UnitEncoder:
-    """Ids of texts as little-endian uint32 bytes; units seen before are looked up instead of encoded again."""
+class PieceEncoder:
+    """Ids of all texts of a slice: texts are cut into pre-tokenizer matches, and the library encodes each distinct one once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the names of special tokens are ordinary text
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.classes = character_classes(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        if len(added) > 1:
+            raise ValueError("more than one added token")
+        self.special = next((t.content.encode() for t in added.values()), b"")
         (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_units(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of distinct units; plain ones go through the tokenizer as the lines of one text."""
-        plain = [u for u in units if PLAIN.fullmatch(u)]
-        other = [u for u in units if not PLAIN.fullmatch(u)]
-        found = dict(zip(other, self.encode(other))) if other else {}
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.line_feed)
-            raw, starts, stops = ids.tobytes(), np.r_[0, cuts + 1].tolist(), np.r_[cuts, len(ids)].tolist()
-            if len(starts) != len(plain):
-                raise ValueError("units and their ids do not line up")
-            found.update((u, raw[4 * a : 4 * b]) for u, a, b in zip(plain, starts, stops))
-        return found
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Looked-up units move to the recent half of the cache; a full half replaces the older one."""
-        if len(self.recent) > CACHE_ENTRIES:
-            self.older, self.recent = self.recent, {}
-        split = [None if ODD_BLANKS.search(t) else UNIT.findall(t) for t in texts]
-        missing = set().union(*[u for u in split if u is not None]).difference(self.recent)
-        again = {u: self.older[u] for u in missing if u in self.older}
-        self.recent.update(again)
-        new = self.encode_units([u for u in missing if u not in again])
-        self.recent.update(new)
-        out = [self.encode([t])[0] if u is None else b"".join(map(self.recent.__getitem__, u)) for t, u in zip(texts, split)]
-        for u in new:
-            if len(u) > CACHE_CHARS:
-                del self.recent[u]
-        return out
+    def distinct(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece). Pieces that are not blank are encoded as the lines of one text."""
+        text = [p.decode() for p in pieces]
+        blank = np.array([self.classes[ord(t[-1])] == BLANK for t in text], bool)
+        lines = [t for t, b in zip(text, blank) if not b]
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, np.int32)
+        cuts = np.flatnonzero(ids == self.line_feed)
+        if len(lines) != len(cuts) + 1 and lines:
+            raise ValueError("pieces and their ids do not line up")
+        sizes = np.zeros(len(pieces), np.int64)
+        sizes[~blank] = np.diff(np.r_[-1, cuts, len(ids)]) - 1 if lines else 0
+        odd = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) for t, b in zip(text, blank) if b]
+        sizes[blank] = [len(x) for x in odd]
+        out = np.zeros(sizes.sum(), np.int32)
+        starts = np.cumsum(sizes) - sizes
+        out[flat(starts[~blank], sizes[~blank])] = ids[ids != self.line_feed]
+        out[flat(starts[blank], sizes[blank])] = np.concatenate(odd) if odd else []
+        return out, sizes
+
+    def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        pieces = cut_texts(texts, self.classes, self.special)
+        coded = pieces.values.dictionary_encode()
+        pool, size = self.distinct(coded.dictionary.to_pylist())
+        which = coded.indices.to_numpy()
+        totals = np.r_[0, np.cumsum(size[which])]
+        return pool[flat((np.cumsum(size) - size)[which], size[which])], np.diff(totals[np.r_[0, np.cumsum(pieces.per_text)]])
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(path)
+def encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0) -> None:
-    """Encode texts (null: empty), append ``end_id`` to each, write ORC in ascending order of doc_id.
+    """Encode texts (null: empty; the added token's name in a text is that token), append ``end_id`` to each, write ORC in ascending order of doc_id.
 
     Documents are range-partitioned by doc_id before encoding, so ids are never shuffled. Null ids come
     first; repeated ids are ordered by text. Rows: doc_id, n_tokens, first (ids of the same file part
@@ -95,13 +81,13 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0)
     """
 
     def encode(batches):
-        part, first, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text", 2 << 20):
-            rows = [ids + end for ids in encoder(vocabulary).ids([t or "" for t in batch.column("text").to_pylist()])]
-            sizes = np.array([len(r) // 4 for r in rows], np.int64)
+        part, first = TaskContext.get().partitionId(), 0
+        for batch in slices(batches, "text"):
+            ids, sizes = encoder(vocabulary).ids(batch.column("text").fill_null(""))
+            ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
             ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(first + ends - sizes), pa.array(np.full(len(rows), part, np.int64)), lists(np.r_[0, ends], np.frombuffer(b"".join(rows), np.int32))],
+                [batch.column("doc_id"), pa.array(sizes), pa.array(first + ends - sizes), pa.array(np.full(len(sizes), part, np.int64)), lists(np.r_[0, ends], ids)],
                 names=["doc_id", "n_tokens", "first", "part", "ids"],
             )
             first += int(ends[-1])

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from clausework.llm import queries
@@ -259,18 +260,18 @@ def test_units_encode_as_whole_texts():
 
     tool = encoder(public_tokenizers.path("byte_bpe_50k.json"))
     rng = np.random.default_rng(11)
-    texts = [t or "" for _, t, *_ in AWKWARD] + ["", " ", "a's b'll ", "x²y 3½4 a²,b", "l'été, c'est.", "a\xa0b \xa0 c ", "x\n\n y", "<|endoftext|>.", "ł, łódź."]
+    texts = [t or "" for _, t, *_ in AWKWARD] + ["", " ", "a's b'll ", "x²y 3½4 a²,b", "l'été, c'est.", "a\xa0b \xa0 c ", "x\n\n y", "<|endoftext|>.", "a <|endoftext|> b<|endof", "ł, łódź."]
     for alphabet in ("ab ',.\n", "é1 .'s", " \t\r\nx,", "²3a. "):
         texts += ["".join(rng.choice(list(alphabet), int(rng.integers(1, 60)))) for _ in range(200)]
-    want = [np.array(e.ids, "<u4").tobytes() for e in tool.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert tool.ids(texts) == want
+    want = [e.ids for e in tool.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ids, sizes = tool.ids(pa.array(texts))
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
 
 
 def test_token_files_query(spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     out, at = by_id(queries.QUERIES["op8_token_files"](spark, SF_DIR)), 0
     for i, text in sorted((i, t) for i, t, *_ in stored_rows()):
         ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
