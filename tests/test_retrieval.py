@@ -59,7 +59,7 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(L, "QUERY_BLOCK", 1)  # several blocks give the same result as one
     asked = [(1, "岩金矿床的勘查类型"), (2, "gold grade 3.5"), (3, "工程间距确定")]
     run = L.Lexical(spark.createDataFrame(asked, "query_id long, question string"), spark.createDataFrame(UNITS, SCHEMA))
-    assert len(run.blocks) == 3
+    assert run.asked.select("block").distinct().count() > 1
     got = {}
     for r in run.first_stage().collect():
         got.setdefault(r["query_id"], {})[(r["document_id"], r["unit_order"])] = round(r["score"], 6)
