@@ -10,48 +10,80 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from clausework import scratch
 from clausework.functions import text as T, vectors as V
 
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 16_384
+QUERY_BLOCK, VECTOR_BLOCK, SPARSE_BLOCK = 1024, 16_384, 4096
 VECTOR_DIM = 512  # fixed value: hashed token buckets
 TOKEN_WORDS = f"[A-Z0-9]+(?:/[A-Z0-9]+)?(?:[-.][A-Z0-9]+)*|[{T.HAN}]{{2,}}"
 
 
-def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None, dims: slice = slice(None)) -> DataFrame:
-    """Exact cosine top-k: (query_id, unit_id, document_id, score, rank).
+def dense_rows(dims: slice):
+    """Rows of a list column as unit vectors."""
+
+    def rows(table: pa.Table, name: str) -> np.ndarray:
+        column = table.column(name).combine_chunks()
+        m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)[:, dims]
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    return rows
+
 
-    Queries and vectors fall into hashed blocks of about 1,024 and 16,384 rows. Each query block meets
+def sparse_rows(table: pa.Table, name: str) -> np.ndarray:
+    """Rows of a column of (idx, w) lists as full vectors of ``VECTOR_DIM`` components."""
+    column = table.column(name).combine_chunks()
+    cells = column.flatten()
+    out = np.zeros((len(column), VECTOR_DIM))
+    out[np.repeat(np.arange(len(column)), column.value_lengths().to_numpy()), cells.field("idx").to_numpy()] = cells.field("w").to_numpy()
+    return out
+
+
+def blocked_product(queries: DataFrame, vectors: DataFrame, keys: list[str], rows, k: int, above: float | None, block: int) -> DataFrame:
+    """Best ``k`` rows of ``vectors`` (``keys``, v) for each query (query_id, q) by inner product: (query_id, keys, score), ties included per block.
+
+    Queries and vectors fall into hashed blocks of about 1,024 and ``block`` rows. Each query block meets
     each vector block in one group of bounded size, which multiplies the two and keeps its own top k (ties
     included); so at most k rows per query and vector block reach the ranking shuffle. Blocks of queries
-    are copied once per vector block, a few hundredths of the vectors' own bytes.
+    are copied once per vector block, a few hundredths of the vectors' own bytes. If ``vectors`` has a column ``scope``,
+    only the queries listed there may find the row.
     """
     query_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    vector_blocks = max(1, math.ceil(vectors.count() / VECTOR_BLOCK))
+    vector_blocks = max(1, math.ceil(vectors.count() / block))
+    scoped = "scope" in vectors.columns
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    left = queries.select("query_id", F.col("embedding").alias("q"), own("query_id", query_blocks).alias("qb"), every(vector_blocks).alias("vb"))
-    right = vectors.select(F.col("unit_id").alias("unit_id"), F.col("document_id").alias("document_id"), F.col("embedding").alias("v"), own("unit_id", vector_blocks).alias("vb"), every(query_blocks).alias("qb"))
+    own = lambda names, n: F.pmod(F.xxhash64(*names), F.lit(n)).cast("int")
+    left = queries.select("query_id", "q", own(["query_id"], query_blocks).alias("qb"), every(vector_blocks).alias("vb"))
+    right = vectors.select(*keys, "v", *["scope"] * scoped, own(keys, vector_blocks).alias("vb"), every(query_blocks).alias("qb"))
+    kinds = dict(vectors.dtypes)
+    names = ["query_id", *keys, "score"]
 
-    def unit_rows(table, name):
-        rows = table.column(name).combine_chunks()
-        m = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)[:, dims]
-        return m / np.linalg.norm(m, axis=1, keepdims=True)
-
-    def block(q: pa.Table, v: pa.Table) -> pa.Table:
-        names = ["query_id", "unit_id", "document_id", "score"]
+    def best(q: pa.Table, v: pa.Table) -> pa.Table:
         if not q.num_rows or not v.num_rows:
-            return pa.table({n: pa.array([], pa.float64() if n == "score" else pa.int64()) for n in names})
-        scores = np.round(unit_rows(q, "q") @ unit_rows(v, "v").T, 9)
-        if threshold is not None:
-            scores = np.where(scores > threshold, scores, -np.inf)
+            return pa.table([q.column("query_id").slice(0, 0), *[v.column(c).slice(0, 0) for c in keys], pa.array([], pa.float64())], names=names)
+        scores = np.round(rows(q, "q") @ rows(v, "v").T, 9)
+        if above is not None:
+            scores = np.where(scores > above, scores, -np.inf)
+        if scoped:
+            place = {query_id: i for i, query_id in enumerate(q.column("query_id").to_pylist())}
+            allowed = np.zeros(scores.shape, bool)
+            for u, wanted in enumerate(v.column("scope").to_pylist()):
+                allowed[[place[w] for w in wanted if w in place], u] = True
+            scores = np.where(allowed, scores, -np.inf)
         keep = np.isfinite(scores)
         if scores.shape[1] > k:
             keep &= scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
         qi, ui = np.nonzero(keep)
-        return pa.table([q.column("query_id").take(pa.array(qi)), v.column("unit_id").take(pa.array(ui)), v.column("document_id").take(pa.array(ui)), pa.array(scores[qi, ui])], names=names)
+        return pa.table([q.column("query_id").take(pa.array(qi)), *[v.column(c).take(pa.array(ui)) for c in keys], pa.array(scores[qi, ui])], names=names)
 
     met = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb"))
-    return rank_by_score(met.applyInArrow(block, "query_id long, unit_id long, document_id long, score double"), k)
+    return met.applyInArrow(best, ", ".join(["query_id long", *[f"{c} {kinds[c]}" for c in keys], "score double"]))
+
+
+def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None, dims: slice = slice(None)) -> DataFrame:
+    """Exact cosine top-k: (query_id, unit_id, document_id, score, rank)."""
+    q = queries.select("query_id", F.col("embedding").alias("q"))
+    v = vectors.select("unit_id", "document_id", F.col("embedding").alias("v"))
+    return rank_by_score(blocked_product(q, v, ["unit_id", "document_id"], dense_rows(dims), k, threshold, VECTOR_BLOCK), k)
 
 
 def rank_by_score(rows: DataFrame, k: int) -> DataFrame:
@@ -103,9 +135,20 @@ def hash_vectors(units: DataFrame, keys: list[str], text: str) -> DataFrame:
     return hash_buckets(units, keys, text).select(*keys, "idx", (F.col("x") / norm).alias("w"))
 
 
-def hash_knn(query_vectors: DataFrame, unit_vectors: DataFrame, unit_keys: list[str], k: int, floor: float = 0.08) -> DataFrame:
-    """Sparse dot products over shared buckets, above ``floor``, best ``k`` per query."""
-    q = query_vectors.select("query_id", "idx", F.col("w").alias("qw"))
-    dots = unit_vectors.join(q, "idx").groupBy("query_id", *unit_keys).agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("score"))
+def packed(vectors: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Hashed vectors as one row per key with a list of (idx, w). They are dealt out by key already, so nothing is shuffled."""
+    return vectors.groupBy(*keys).agg(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "w")).alias(name))
+
+
+def hash_knn(query_vectors: DataFrame, unit_vectors: DataFrame, unit_keys: list[str], k: int, floor: float = 0.08, scope: DataFrame | None = None) -> DataFrame:
+    """Inner products of hashed vectors, above ``floor``, best ``k`` per query: a blocked product, so no pair is emitted per shared bucket.
+
+    ``scope`` (query_id, document_id) restricts the units of each query; units of no scope are dropped before the product.
+    """
+    v = packed(unit_vectors, unit_keys, "v")
+    if scope is not None:
+        v = v.join(scope.groupBy("document_id").agg(F.collect_set("query_id").alias("scope")), "document_id")
+    q = scratch.materialize(packed(query_vectors, ["query_id"], "q"), "hashed")
+    dots = blocked_product(q, scratch.materialize(v, "hashed"), unit_keys, sparse_rows, k, floor, SPARSE_BLOCK)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), *unit_keys)
-    return dots.where(F.col("score") > floor).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return dots.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)

@@ -403,15 +403,44 @@ def rule_routes(spark, sf):
     return hits.withColumn("position", F.row_number().over(w).cast("long")).where(F.col("position") <= F.col("lim")).select(F.col("pattern").alias("rule"), "document_id", "unit_order", "position")
 
 
-SCOPE_SQL = f"{UNITS}, {TERMS}, scope AS (SELECT item_id AS query_id, document_id, unit_order FROM benchmark JOIN (SELECT doc_id, source FROM documents) d ON source = 'src' || (length(text) % 20) JOIN units ON document_id = doc_id), {scored('scoped', 'scope')}"
+SCOPE = "scope AS (SELECT item_id AS query_id, document_id, unit_order FROM benchmark JOIN (SELECT doc_id, source FROM documents) d ON source = 'src' || (length(text) % 20) JOIN units ON document_id = doc_id)"
+SCOPE_SQL = f"{UNITS}, {TERMS}, {SCOPE}, {scored('scoped', 'scope')}, lexical AS (SELECT query_id, document_id, unit_order, {RANK} AS rank FROM scoped QUALIFY rank <= 50)"
+
+
+def frontier_sql(pairs: str) -> str:
+    """Dense route over units (hashed tokens), fusion and head admission; ``pairs`` says which units a query may find."""
+    return f"""src AS (SELECT document_id, unit_order, upper(replace(search_text, 'ß', 'SS')) AS text FROM units UNION ALL SELECT -1 - item_id, 0, upper(replace(text, 'ß', 'SS')) FROM benchmark),
+       counts AS (SELECT document_id, unit_order, token, count(*) AS n FROM (SELECT document_id, unit_order, unnest(regexp_extract_all(text, '[A-Z0-9]+(?:/[A-Z0-9]+)?(?:[-.][A-Z0-9]+)*')) AS token FROM src) s GROUP BY 1, 2, 3),
+       b AS (SELECT document_id, unit_order, CAST(('0x' || substr(sha1(token), 1, 8)) AS BIGINT) % 512 AS idx, sum(1 + ln(n::DOUBLE)) AS x FROM counts GROUP BY 1, 2, 3),
+       vec AS (SELECT document_id, unit_order, idx, x / sqrt(sum(x * x) OVER (PARTITION BY document_id, unit_order)) AS w FROM b),
+       dots AS (SELECT -1 - q.document_id AS query_id, d.document_id, d.unit_order, round(sum(q.w * d.w), 9) AS score FROM vec q JOIN vec d USING (idx) WHERE q.document_id < 0 AND d.document_id >= 0 GROUP BY 1, 2, 3),
+       near AS (SELECT query_id, document_id, unit_order, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, unit_order) AS rank FROM dots {pairs} WHERE score > 0 QUALIFY rank <= 60),
+       both_routes AS (SELECT *, 1 AS l FROM lexical UNION ALL SELECT *, 0 FROM near),
+       f AS (SELECT query_id, document_id, document_id || ':' || unit_order AS unit_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, count(*) AS rc, min(rank) AS br, min(CASE WHEN l = 1 THEN rank END) AS lexical_rank, min(CASE WHEN l = 0 THEN rank END) AS dense_rank FROM both_routes GROUP BY 1, 2, 3),
+       base AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rc DESC, br, document_id, unit_id) AS rank, coalesce(lexical_rank <= 1, false) OR coalesce(dense_rank <= 4, false) AS prot FROM f),
+       fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY prot DESC, rank) <= 20 AS final FROM base)
+       SELECT query_id, unit_id, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(dense_rank, 0) AS dense_rank, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, rank) AS final_rank,
+         CASE WHEN prot AND rank > 20 THEN 'promoted' WHEN NOT final AND rank <= 20 THEN 'displaced' ELSE 'kept' END AS trace FROM fin"""
+
+
+def unit_frontier(spark, sf, lexical, scope=None):
+    from clausework.operators import dense as D, fusion as X
+
+    units = tables.retrieval_units(spark, sf)
+    vectors = D.hash_vectors(units, ["document_id", "unit_order"], "search_text")
+    near = D.hash_knn(D.hash_vectors(tables.queries(spark, sf), ["query_id"], "question"), vectors, ["document_id", "unit_order"], 60, 0.0, scope)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return X.hybrid_frontier(lexical, near).select("query_id", "unit_id", zero("lexical_rank"), zero("dense_rank"), "final_rank", "trace")
 
 
-@query("scoped_frontier", f"WITH {SCOPE_SQL} SELECT query_id, document_id, unit_order, round(score, 6) AS score, matched_terms, {RANK} AS rank FROM scoped QUALIFY rank <= 20")
+@query("scoped_frontier", f"WITH {SCOPE_SQL}, {frontier_sql('SEMI JOIN scope USING (query_id, document_id, unit_order)')}")
 def scoped_frontier(spark, sf):
-    scope = tables.queries(spark, sf).select("query_id", F.concat(F.lit("src"), F.char_length("question") % 20).alias("source"))
+    """Both routes see only units of the query's scope: the documents of one source."""
+    sources = tables.queries(spark, sf).select("query_id", F.concat(F.lit("src"), F.char_length("question") % 20).alias("source"))
     docs = tables.load(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "source")
+    scope = sources.join(docs, "source").select("query_id", "document_id")
     run = L.Lexical(tables.queries(spark, sf), tables.retrieval_units(spark, sf))
-    return L.top(run.scoped_scores(scope.join(docs, "source").select("query_id", "document_id"), 20), 20).withColumn("score", F.round("score", 6))
+    return unit_frontier(spark, sf, L.top(run.scoped_scores(scope, 50), 50), scope)
 
 
 @query(
@@ -427,26 +456,7 @@ def fts_strict(spark, sf):
     return L.tiered_match(toks, tables.retrieval_units(spark, sf), 40)
 
 
-@query(
-    "candidate_frontier",
-    f"""WITH {TWO_STAGE}, src AS (SELECT doc_id AS doc, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark), counts AS (SELECT doc, token, count(*) AS n FROM (SELECT doc, unnest(regexp_extract_all(upper(replace(text, 'ß', 'SS')), '[A-Z0-9]+(?:/[A-Z0-9]+)?(?:[-.][A-Z0-9]+)*')) AS token FROM src) s GROUP BY 1, 2),
-       b AS (SELECT doc, CAST(('0x' || substr(sha1(token), 1, 8)) AS BIGINT) % 512 AS idx, sum(1 + ln(n::DOUBLE)) AS x FROM counts GROUP BY 1, 2), vec AS (SELECT doc, idx, x / sqrt(sum(x * x) OVER (PARTITION BY doc)) AS w FROM b),
-       dots AS (SELECT -1 - q.doc AS query_id, d.doc AS document_id, round(sum(q.w * d.w), 9) AS score FROM vec q JOIN vec d USING (idx) WHERE q.doc < 0 AND d.doc >= 0 GROUP BY 1, 2),
-       ldoc AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS rank FROM lexical GROUP BY 1, 2), ddoc AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM dots WHERE score > 0.08::DOUBLE QUALIFY rank <= 60),
-       f AS (SELECT query_id, document_id AS unit_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, count(*) AS rc, min(rank) AS br FROM (SELECT * FROM ldoc UNION ALL SELECT * FROM ddoc) u GROUP BY 1, 2),
-       base AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rc DESC, br, unit_id) AS rank FROM f), heads AS (SELECT query_id, document_id AS unit_id FROM ldoc WHERE rank <= 1 UNION SELECT query_id, document_id FROM ddoc WHERE rank <= 4),
-       p AS (SELECT b.*, h.unit_id IS NOT NULL AS prot FROM base b LEFT JOIN heads h ON h.query_id = b.query_id AND h.unit_id = b.unit_id), fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY prot DESC, rank) <= 20 AS final FROM p)
-       SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, rank) AS final_rank FROM fin""",
-)
+@query("candidate_frontier", f"WITH {TWO_STAGE.replace('score, matched_terms, ' + RANK, RANK)}, {frontier_sql('')}")
 def candidate_frontier(spark, sf):
-    """Lexical two-stage and hashed-vector routes over documents, fused with protected heads."""
-    from clausework.operators import dense as D, fusion as X
-
-    asked = tables.queries(spark, sf)
-    lexical = L.Lexical(asked, tables.retrieval_units(spark, sf)).two_stage()
-    lex = X.ordered_documents(lexical, 50).select("query_id", F.col("document_id").alias("unit_id"), "document_id", F.col("document_rank").alias("rank"))
-    docs = tables.load(spark, sf, "documents").withColumnRenamed("doc_id", "document_id")
-    near = D.hash_knn(D.hash_vectors(asked, ["query_id"], "question"), D.hash_vectors(docs, ["document_id"], "text"), ["document_id"], 60)
-    dense = near.select("query_id", F.col("document_id").alias("unit_id"), "document_id", "rank")
-    placed = X.head_admission(X.rrf({"lexical": lex, "dense": dense}), lex, dense)
-    return placed.select("query_id", "unit_id", "final_rank")
+    """Two-stage lexical route and dense route over all units, fused with protected heads."""
+    return unit_frontier(spark, sf, L.Lexical(tables.queries(spark, sf), tables.retrieval_units(spark, sf)).two_stage())
