@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -23,6 +24,10 @@ ORC = {
 }
 
 
+#: Matches that are remembered, and the longest of them.
+CACHE_ENTRIES, CACHE_BYTES = 400_000, 48
+
+
 class PieceEncoder:
     """Ids of all texts of a slice: texts are cut into pre-tokenizer matches, and the library encodes each distinct one once."""
 
@@ -36,6 +41,7 @@ class PieceEncoder:
         if len(added) > 1:
             raise ValueError("more than one added token")
         self.special = next((t.content.encode() for t in added.values()), b"")
+        self.known, self.pool, self.sizes = pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(0, np.int64)
         (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def distinct(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,13 +64,32 @@ class PieceEncoder:
         return out, sizes
 
     def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each)."""
+        """(ids of all texts, number of ids of each). Matches of earlier slices are looked up, new short ones are remembered."""
         pieces = cut_texts(texts, self.classes, self.special)
         coded = pieces.values.dictionary_encode()
-        pool, size = self.distinct(coded.dictionary.to_pylist())
-        which = coded.indices.to_numpy()
-        totals = np.r_[0, np.cumsum(size[which])]
-        return pool[flat((np.cumsum(size) - size)[which], size[which])], np.diff(totals[np.r_[0, np.cumsum(pieces.per_text)]])
+        seen = pc.index_in(coded.dictionary, self.known)
+        missing = coded.dictionary.filter(pc.is_null(seen))
+        ids, size = self.distinct(missing.to_pylist())
+        pool, sizes = np.concatenate([self.pool, ids]), np.r_[self.sizes, size]
+        slot = seen.to_numpy(zero_copy_only=False)
+        new = np.isnan(slot) if slot.dtype.kind == "f" else np.zeros(len(slot), bool)
+        slot = np.where(new, len(self.known) + np.cumsum(new) - 1, slot).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        which = slot[coded.indices.to_numpy()]
+        per_piece = sizes[which]
+        out = pool[flat(starts[which], per_piece)], np.diff(np.r_[0, np.cumsum(per_piece)][np.r_[0, np.cumsum(pieces.per_text)]])
+        self._remember(missing, starts[len(self.known) :], size, pool)
+        return out
+
+    def _remember(self, pieces: pa.BinaryArray, starts: np.ndarray, sizes: np.ndarray, pool: np.ndarray) -> None:
+        if len(self.known) > CACHE_ENTRIES:
+            half = len(self.known) // 2
+            self.pool = self.pool[self.sizes[:half].sum() :]
+            self.known, self.sizes = self.known.slice(half), self.sizes[half:]
+        short = pc.binary_length(pieces).to_numpy(zero_copy_only=False) <= CACHE_BYTES
+        self.known = pa.concat_arrays([self.known, pieces.filter(pa.array(short))])
+        self.pool = np.concatenate([self.pool, pool[flat(starts[short], sizes[short])]])
+        self.sizes = np.r_[self.sizes, sizes[short]]
 
 
 @functools.lru_cache(maxsize=2)
