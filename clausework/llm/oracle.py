@@ -41,7 +41,7 @@ SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS
 # Quality rules: the statistics, the cells, and three concentration steps, each a group of common table expressions.
 
 _DIMS = range(4)
-_FLOORS = (350.0, 150.0, 800.0, 1000.0)
+_FLOORS = (350.0, 150.0, 400.0, 400.0)
 _TRIANGLE = [(i, j) for i in _DIMS for j in range(i + 1)]
 
 
@@ -81,11 +81,12 @@ QUALITY = f"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {
     CAST(round(ln(1 + 100 * n_symbols / (word_chars + 50)::DOUBLE) * 1000) AS BIGINT) AS x0, CAST(round(ln((word_chars + 100) / (n_words + 20)::DOUBLE) * 1000) AS BIGINT) AS x1,
     CAST(round(ln(1 + 100 * n_repeat_words / (n_words + 20)::DOUBLE) * 1000) AS BIGINT) AS x2, CAST(round(ln(1 + 100 * n_dup_lines / (n_lines + 5)::DOUBLE) * 1000) AS BIGINT) AS x3 FROM stats),
   pairs AS (SELECT lang, source, count(*) AS n FROM base WHERE NOT base_failed GROUP BY 1, 2),
-  pooled AS (SELECT *, sum(CASE WHEN n < 50 THEN n ELSE 0 END) OVER (PARTITION BY lang) AS lang_n FROM pairs),
-  cells AS (SELECT lang, source, CASE WHEN n >= 50 THEN '1:' || coalesce(lang, chr(1)) || chr(0) || coalesce(source, chr(1)) WHEN lang_n >= 50 THEN '2:' || coalesce(lang, chr(1))
-    WHEN sum(CASE WHEN n < 50 AND lang_n < 50 THEN n ELSE 0 END) OVER () >= 50 THEN '3' END AS cell FROM pooled),
-  tagged AS (SELECT b.*, cell FROM base b LEFT JOIN cells c ON b.lang IS NOT DISTINCT FROM c.lang AND b.source IS NOT DISTINCT FROM c.source),
-  points AS (SELECT cell, x0, x1, x2, x3 FROM tagged WHERE NOT base_failed AND cell IS NOT NULL),
+  pooled AS (SELECT *, sum(CASE WHEN n < 50 THEN n ELSE 0 END) OVER (PARTITION BY lang) AS lang_n, sum(n) OVER (PARTITION BY lang) AS lang_all FROM pairs),
+  rest AS (SELECT *, sum(CASE WHEN n < 50 AND lang_n < 50 THEN n ELSE 0 END) OVER () AS rest_n, sum(n) OVER () AS all_n, bool_or(n < 50 AND lang_n < 50 AND lang_all < 50) OVER () AS far, coalesce(lang, chr(1)) AS l FROM pooled),
+  named AS (SELECT *, CASE WHEN n >= 50 THEN '1:' || l || chr(0) || coalesce(source, chr(1)) WHEN lang_n >= 50 THEN '2:' || l WHEN rest_n >= 50 THEN '3' WHEN lang_all >= 50 THEN '4:' || l WHEN all_n >= 50 THEN '5' END AS cell FROM rest),
+  cells AS (SELECT lang, source, cell, list_distinct([cell, CASE WHEN rest_n < 50 AND lang_all >= 50 AND lang_n BETWEEN 1 AND 49 THEN '4:' || l END, CASE WHEN rest_n < 50 AND far AND all_n >= 50 THEN '5' END]) AS of_cells FROM named),
+  tagged AS (SELECT b.*, cell, of_cells FROM base b LEFT JOIN cells c ON b.lang IS NOT DISTINCT FROM c.lang AND b.source IS NOT DISTINCT FROM c.source),
+  points AS (SELECT cell, x0, x1, x2, x3 FROM (SELECT unnest(of_cells) AS cell, x0, x1, x2, x3 FROM tagged WHERE NOT base_failed) p WHERE cell IS NOT NULL),
   dims AS (SELECT cell, 0 AS dim, x0 AS bin FROM points UNION ALL SELECT cell, 1, x1 FROM points UNION ALL SELECT cell, 2, x2 FROM points UNION ALL SELECT cell, 3, x3 FROM points),
   medians AS ({_least_bin("dims", "cell, dim", "0.5", "median")}),
   est0 AS (SELECT cell, {", ".join(f"max(median) FILTER (WHERE dim = {i})::DOUBLE AS m{i}" for i in _DIMS)}, {", ".join(f"{_FLOORS[i] if i == j else 0.0}::DOUBLE AS l{i}{j}" for i, j in _TRIANGLE)} FROM medians GROUP BY 1),
@@ -93,7 +94,7 @@ QUALITY = f"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {
   {_step(1)},
   {_step(2)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(distance, 0) <= 25 AS kept
-FROM (SELECT t.*, {_distance()} FROM tagged t LEFT JOIN est3 ON t.cell = est3.cell) d"""
+FROM (SELECT t.* EXCLUDE (of_cells), {_distance()} FROM tagged t LEFT JOIN est3 ON t.cell = est3.cell) d"""
 
 COLLOCATIONS = r"""
 WITH pieces AS (

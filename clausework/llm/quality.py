@@ -12,11 +12,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 5
 #: The transformed statistics are whole numbers of thousandths, so sums are exact in any order.
 SCALE = 1000
-#: Least standard deviations, in logarithms: a fleet of spotless documents must not make one blot an outlier.
+#: Least standard deviations, in logarithms, added in squares (so that no cell's matrix is singular): a fleet of spotless documents must not make one blot an outlier.
 #: A statistic alone can be rejected only if its range exceeds its floor times the root of the cutoff.
 FLOORS = (0.35, 0.15, 0.4, 0.4)
-#: Those of the SQL of op5_quality; repeated words or lines alone stay below the cutoff with them.
-SQL_FLOORS = (0.35, 0.15, 0.8, 1.0)
 DIMS = len(FLOORS)
 #: Share of a cell's rows that the determinant is taken over; the factor makes it consistent for normal data in four dimensions.
 COVERAGE, CONSISTENCY = 0.75, 1.49
@@ -150,7 +148,7 @@ def minimum_determinant(points: DataFrame, floors: tuple[float, ...] = FLOORS) -
     estimate = materialize(start, "mcd-start")
     for _ in range(C_STEPS):
         near = points.join(estimate, "cell").select("cell", *[f"x{i}" for i in range(DIMS)], F.floor(F.log1p(squared_distance()) * SCALE).alias("bin"))
-        border = _quantile_bins(near, ["cell"], COVERAGE, "border")
+        border = materialize(_quantile_bins(near, ["cell"], COVERAGE, "border"), "mcd-border")  # one row a cell, so its size is known when it is joined
         kept = near.join(border, "cell").where(F.col("bin") <= F.col("border"))
         products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)]
         moments = kept.groupBy("cell").agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)], *products)

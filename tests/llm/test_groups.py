@@ -114,7 +114,7 @@ def test_robust_estimate_rejects_symbol_soup_and_keeps_clean_documents(spark):
     assert all(kept[i] for i in range(150)) and not any(kept[i] for i in range(150, 180))
 
 
-def test_each_statistic_alone_rejects_a_planted_outlier(spark):
+def test_each_statistic_alone_rejects_a_planted_outlier(spark, folder):
     from clausework.llm.stages import quality_rules
 
     rng = np.random.default_rng(7)
@@ -127,6 +127,7 @@ def test_each_statistic_alone_rejects_a_planted_outlier(spark):
     docs = docs_of(spark, [*clean, symbols, long_words, repeated, lines])
     kept = {r["doc_id"] for r in quality_rules(spark, docs, SF_DIR).collect()}
     assert kept == set(range(150))
+    assert check_against_sql(spark, [tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for r in docs.collect()], folder) == kept
     from clausework.llm.quality import judge
 
     last = {r["doc_id"]: r for r in judge(docs, ["doc_id"]).where("doc_id >= 150").collect()}
@@ -134,7 +135,20 @@ def test_each_statistic_alone_rejects_a_planted_outlier(spark):
     assert [[last[i][c] > 0 for c in ("n_symbols", "n_repeat_words", "n_dup_lines")] for i in range(150, 154)] == [[True, False, False], [False, False, False], [False, True, False], [False, False, True]]
 
 
-def test_rare_pairs_are_judged_beside_large_cells(spark):
+def check_against_sql(spark, rows, folder):
+    """op5_quality over ``rows`` equals its SQL; the ids it keeps."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tests.oracle_check import compare, duck
+
+    pq.write_table(pa.table(dict(zip(("doc_id", "text", "lang", "source", "n_chars"), zip(*rows)))), f"{folder}/documents.parquet")
+    ok, message = compare(queries.QUERIES["op5_quality"](spark, folder), duck(folder), queries.ORACLE_SQL["op5_quality"])
+    assert ok, message
+    return {r["doc_id"] for r in queries.QUERIES["op5_quality"](spark, folder).where("kept").collect()}
+
+
+def test_rare_pairs_are_judged_beside_large_cells(spark, folder):
     rng = np.random.default_rng(9)
     clean = [" ".join("".join(rng.choice(list("aeioustrn"), int(rng.integers(3, 8)))) for _ in range(int(rng.integers(30, 200)))) for _ in range(130)]
     soup = [" ".join(w + "%$#" for w in t.split()) for t in clean[:24]]
@@ -148,6 +162,7 @@ def test_rare_pairs_are_judged_beside_large_cells(spark):
 
     got = quality.judge(docs, ["doc_id"]).collect()
     assert {r["doc_id"] for r in got if r["kept"]} == {r[0] for r in rows if r[0] < 300} and all(r["distance"] is not None for r in got)
+    assert check_against_sql(spark, rows, folder) == {r[0] for r in rows if r[0] < 300}
     named = {(r["lang"], r["source"]): (r["cell"], set(r["points"])) for r in quality.cells(docs, 50).collect()}
     en, whole = '{"level":4,"lang":"en"}', '{"level":5}'
     assert named[("en", "rare")] == (en, {en, whole}) and named[("xx", "s")] == named[(None, None)] == (whole, {whole})
