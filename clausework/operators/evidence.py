@@ -51,6 +51,15 @@ def unsupported_values(claims: DataFrame, evidence: DataFrame, values: Column) -
     return found.groupBy("key", "value").agg(F.max(held).alias("held")).where("not held").select("key", "value")
 
 
+def unverified_references(answers: DataFrame, sources: DataFrame, pattern: str) -> DataFrame:
+    """(key, ref): references an answer states that its own sources do not. Both sides: key, text; compared in lower case.
+
+    References are distinct per key before they meet, and the key is part of the join, so a common word is no hot key.
+    """
+    refs = lambda df: df.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)))).alias("ref")).distinct()
+    return refs(answers).join(refs(sources), ["key", "ref"], "left_anti")
+
+
 def bigram_support(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """Share of a claim's character bigrams (not all digits) that its evidence holds; below 0.38 it is unsupported.
 

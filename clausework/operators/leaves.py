@@ -47,6 +47,113 @@ def derive_leaves(units: DataFrame) -> DataFrame:
     )
 
 
+LEAF = "struct<derivation_method:string,piece:int,clause_no:string,citation_text:string,local_heading:string,search_eligible:boolean,citation_eligible:boolean,review_status:string>"
+
+
+def table_scope(section: Column) -> Column:
+    """Section a table or material row belongs to, without the parts that name the table or the material."""
+    return F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(section, F.lit(""))), "\\s*>\\s*申请资料表$", ""), "\\s*>\\s*材料\\s*[0-9]+.*$", "")
+
+
+def leaf_branches(units: DataFrame) -> DataFrame:
+    """Every unit with its ``leaves`` (array), its ``parent_id`` and what was done to it (``action``).
+
+    Units: document_id, unit_order, unit_type, title, section_path, clause_no, validation_status, wide_layout, text, caption, matrix
+    (rows of cells, header first; null without structure). Tables give one leaf per row, or none where material rows of the same
+    scope stand for them; those rows hang below the scope's last table. Long units are cut at visible numbering into ``clause#n``;
+    front matter, merged cover pages and unmarked table streams are kept whole. Apart from the two joins on (document, scope) a unit is handled
+    inside its row.
+    """
+    from clausework.operators.segment import block_list
+
+    scoped = units.withColumn("scope", table_scope(F.col("section_path")))
+    tables = scoped.where("unit_type = 'table'").groupBy("document_id", "scope").agg(F.max("unit_order").alias("table_order"))
+    rows = scoped.where("unit_type = 'application_material_row'").select("document_id", "scope", F.lit(True).alias("has_rows")).distinct()
+    scoped = scoped.join(tables, ["document_id", "scope"], "left").join(rows, ["document_id", "scope"], "left")
+
+    kind, text = F.col("unit_type"), F.col("text")
+    long = F.char_length("text") >= LONG_LIMIT
+    amendment = (kind == "front_matter") & F.coalesce(F.col("title").contains("修改单"), F.lit(False))
+    front = (kind == "front_matter") & ~amendment
+    enough = F.char_length(T.compact("text")) >= MIN_CITABLE
+
+    def leaf(method, search, citation, status, piece=None, clause=None, body=None, heading=None):
+        lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.struct(
+            lit(method).alias("derivation_method"), (F.lit(0) if piece is None else piece).cast("int").alias("piece"), (F.col("clause_no") if clause is None else clause).alias("clause_no"),
+            (text if body is None else body).alias("citation_text"), (F.lit("") if heading is None else heading).alias("local_heading"), lit(search).alias("search_eligible"),
+            (lit(citation) & (lit(status) != "review_required")).alias("citation_eligible"), lit(status).alias("review_status"),
+        )
+
+    one = lambda *args: F.array(leaf(*args)).cast(f"array<{LEAF}>")
+    none = F.array().cast(f"array<{LEAF}>")
+
+    header = F.transform(F.get("matrix", 0), lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    caption = F.coalesce(F.nullif(F.col("caption"), F.lit("")), F.nullif(F.col("section_path"), F.lit("")), F.lit("表格"))
+    curated = F.col("validation_status").isin("manually_curated_table", "governed_source")
+
+    def row_leaf(cells, i):
+        filled = F.transform(cells, lambda c: F.trim(F.coalesce(c, F.lit(""))))
+        named = F.transform(filled, lambda c, j: F.when(c != "", F.concat(F.coalesce(F.nullif(F.get(header, j), F.lit("")), F.concat(F.lit("列"), (j + 1).cast("string"))), F.lit("："), c)))
+        status = F.when(curated, "pass").otherwise("review_required")
+        return leaf("structured_table_row", True, curated, status, i + 1, F.concat(F.lit("row-"), (i + 1).cast("string")), F.array_join(F.concat(F.array(caption), F.array_compact(named)), "\n"))
+
+    structured = F.coalesce(F.size("matrix") >= 2, F.lit(False))
+    table_rows_ = F.filter(F.transform(F.slice("matrix", 2, F.greatest(F.size("matrix"), F.lit(1))), row_leaf), lambda x: x["citation_text"] != caption)
+    table = F.when(F.coalesce("has_rows", F.lit(False)), none).when(structured, table_rows_.cast(f"array<{LEAF}>")).otherwise(one("table_without_structured_rows_retained", True, F.col("validation_status") != "parsed_from_ocr", "review_required"))
+
+    blocks = block_list("text", kind == "policy_clause")
+    stream, like_table = T.front_matter_flag("text"), T.unstructured_table_flag("text")
+    safe_cut = ~front & ~stream & ~like_table & (F.size(blocks) > 0)
+    size_ok = lambda b: F.char_length(b["block_text"]) < LONG_LIMIT
+    pieces = F.transform(
+        blocks,
+        lambda b, j: leaf(
+            "explicit_numbered_subclause_split", True, size_ok(b) & ~front, F.when(size_ok(b), "pass").otherwise("review_required"), j + 1,
+            F.concat(F.coalesce(F.nullif(F.col("clause_no"), F.lit("")), F.lit("part")), F.lit("#"), (j + 1).cast("string")), b["block_text"], b["local_heading"],
+        ),
+    ).cast(f"array<{LEAF}>")
+    kept = F.when(front, "long_front_matter_context_only").when(stream, "long_ocr_front_matter_context_only").when(like_table, "unstructured_table_like_unit_retained").otherwise("long_atomic_unit_retained")
+    context_only = (kind == "front_matter") | (~front & stream)
+    whole = one(kept, ~front & ~stream, False, F.when(context_only, "context_only").otherwise("review_required"))
+    short = one("source_unit_with_context", ~front, ~front & enough, F.when(~front & enough, "pass").otherwise("context_only"))
+
+    is_table, material, wide = kind == "table", kind == "application_material_row", F.coalesce(F.col("wide_layout"), F.lit(False))
+    leaves = (
+        F.when(is_table, table)
+        .when(wide, one("wide_layout_legacy_fallback", False, False, "replaced_by_layout_reconstruction"))
+        .when(material, one("application_material_row_linked", True, True, "pass"))
+        .when(long, F.when(safe_cut, pieces).otherwise(whole))
+        .otherwise(short)
+    )
+    action = (
+        F.when(is_table & F.coalesce("has_rows", F.lit(False)), "existing_application_rows_linked")
+        .when(is_table & structured, F.concat(F.lit("structured_table_rows_emitted:"), F.size("leaves").cast("string")))
+        .when(is_table, F.when(long, "long_table_retained_for_review").otherwise("table_parent_created"))
+        .when(wide, "wide_layout_reconstructed")
+        .when(material, "application_row_retained")
+        .when(long & safe_cut, F.concat(F.lit("split_at_explicit_boundaries:"), F.size("leaves").cast("string")))
+        .when(long, F.when(front, "front_matter_retained_as_context_only").when(stream, "ocr_front_matter_retained_as_context_only").when(like_table, "table_like_source_retained_for_review").otherwise("retained_no_safe_explicit_boundary"))
+        .otherwise("")
+    )
+    document = ids.stable_id("rparent", "document_id", F.lit("document_parent"))
+    section = lambda c: F.when(F.coalesce(c, F.lit("")) == "", document).otherwise(ids.stable_id("rparent", "document_id", F.lit("section_parent"), c))
+    own = lambda node, order: ids.stable_id("rparent", "document_id", F.lit(node), order)
+    parent = (
+        F.when(is_table, own("table_parent", "unit_order"))
+        .when(material & ~wide, F.when(F.col("table_order").isNotNull(), own("table_parent", "table_order")).otherwise(section(F.col("scope"))))
+        .when(long & safe_cut & ~wide, own("long_source_parent", "unit_order"))
+        .otherwise(section(F.col("section_path")))
+    )
+    return scoped.withColumn("leaves", leaves).withColumn("action", action).withColumn("parent_id", parent)
+
+
+def branch_leaves(branches: DataFrame) -> DataFrame:
+    """One row per leaf of ``leaf_branches`` with its id."""
+    rows = branches.select("document_id", "unit_order", "parent_id", F.inline("leaves"))
+    return rows.withColumn("leaf_id", ids.stable_id("runit", "document_id", "derivation_method", "unit_order", "piece", "citation_text"))
+
+
 def neighbor_context(units: DataFrame, short: int = SHORT_LIMIT) -> DataFrame:
     """Excerpts of the previous and next unit in the same section or page, for short units."""
     w = W.partitionBy("document_id").orderBy("unit_order")

@@ -6,40 +6,42 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clausework.functions import spans, text as T
 
-# Fixed value: visible list and group numbering that may split a long unit.
-BLOCK_START = f"^(?:[0-9]+[.、）)]|[（(][0-9{T.CN_NUMERALS}]+[）)]|[{T.CN_NUMERALS}]+、|[a-zA-Z][)）]|[0-9]+(?:[.][0-9]+)+[ \\t{T.HAN}])"
-GROUP_HEADING = f"^(?:[{T.CN_NUMERALS}]+、|[（(][{T.CN_NUMERALS}]+[）)])"
+# Where blocks of policy clauses and of other units may start, hierarchical numbers, and group headings.
+POLICY_START = f"(?:[{T.CN_NUMERALS}]+、|[（(][{T.CN_NUMERALS}0-9]+[）)]|[0-9]+[.、]|[a-zA-Z][）)])"
+LIST_START = f"(?:[（(][{T.CN_NUMERALS}0-9]+[）)]|[0-9]+[.、）)]|[a-zA-Z][）)])"
+HIERARCHY = "(?:[0-9]+(?:\\s*\\.\\s*[0-9]+){1,6}|[A-Za-z]\\s*\\.\\s*[0-9]+(?:\\s*\\.\\s*[0-9]+)*)\\s+"
+GROUP_START = f"[{T.CN_NUMERALS}]+、|[（(][{T.CN_NUMERALS}]+[）)]"
 
 
 def structural_units(documents: DataFrame, starts, sections, text: str = "text", key: str = "document_id") -> DataFrame:
     """New unit at every heading line; the active section and all following lines are carried.
 
-    ``starts`` and ``sections`` map a line Column to a boolean. Work is linear in the lines: boundary
-    positions are listed once, units are slices between neighbouring boundaries.
+    ``starts`` and ``sections`` map a line Column to a boolean; a section line always starts a unit. Work is linear in the lines:
+    the lines are cut at section lines first and inside each section at the other headings, so no unit searches for its section.
     """
     cut = documents.select(key, F.filter(F.transform(T.lines(text), lambda s: F.trim(s)), lambda s: s != "").alias("ls")).where(F.size("ls") > 0)
     at = F.sequence(F.lit(1), F.size("ls"))
-    cut = cut.select(
-        key, "ls",
-        F.filter(at, lambda i: (i == 1) | starts(F.get("ls", i - 1))).alias("starts"),
-        F.filter(at, lambda i: sections(F.get("ls", i - 1))).alias("heads"),
+    cut = cut.select(key, "ls", F.filter(at, lambda i: (i == 1) | sections(F.get("ls", i - 1))).alias("heads"))
+
+    def section(first, n):
+        end = F.coalesce(F.get("heads", n + 1), F.size("ls") + 1)
+        head = F.get("ls", first - 1)
+        path = F.when(sections(head), F.substring(head, 1, 160))
+        begins = F.filter(F.sequence(first, end - 1), lambda i: (i == first) | starts(F.get("ls", i - 1)))
+        # a unit ends where the next of its section begins
+        return F.zip_with(begins, F.concat(F.slice(begins, 2, F.size(begins)), F.array(end)), lambda x, y: F.struct(x.alias("b"), y.alias("e"), path.alias("path")))
+
+    units = cut.select(key, "ls", F.posexplode(F.flatten(F.transform("heads", section))).alias("n", "u"))
+    return units.select(
+        key,
+        (F.col("n") + 1).cast("long").alias("unit_order"),
+        F.array_join(F.slice("ls", F.col("u.b"), F.col("u.e") - F.col("u.b")), "\n").alias("unit_text"),
+        F.get("ls", F.col("u.b") - 1).alias("first_line"),
+        F.col("u.b").cast("long").alias("line_start"),
+        (F.col("u.e") - 1).cast("long").alias("line_end"),
+        F.col("u.path").alias("section_path"),
     )
 
-    def unit(b, j):
-        end = F.coalesce(F.get("starts", j + 1), F.size("ls") + 1)
-        body = F.slice("ls", b, end - b)
-        head = F.array_max(F.filter("heads", lambda h: h <= b))
-        return F.struct(
-            (j + 1).cast("long").alias("unit_order"),
-            F.array_join(body, "\n").alias("unit_text"),
-            F.get("ls", b - 1).alias("first_line"),
-            b.cast("long").alias("line_start"),
-            (end - 1).cast("long").alias("line_end"),
-            F.substring(F.get("ls", head - 1), 1, 160).alias("section_path"),
-        )
-
-    return cut.select(key, F.inline(F.transform("starts", unit)))
-
 
 def clause_units(documents: DataFrame, text: str = "text", key: str = "document_id") -> DataFrame:
     """Structural units by section and clause headings, with clause number and unit kind."""
@@ -73,31 +75,28 @@ def clause_chunks(documents: DataFrame, limit: int = 1800, text: str = "text", k
     return cut.withColumn("chunk_no", F.when(F.col("pieces") > 1, numbered).otherwise(F.col("clause_no"))).drop("unit_text", "pieces")
 
 
-def explicit_blocks(units: DataFrame, text: str, key: list[str]) -> DataFrame:
-    """Blocks of units cut at visible numbering only: at least two meaningful and at most 50 blocks.
+def explicit_blocks(units: DataFrame, text: str, key: list[str], policy: Column | None = None) -> DataFrame:
+    """One row per block of ``block_list``; units that cannot be cut safely give no rows."""
+    blocks = block_list(text, F.lit(True) if policy is None else policy)
+    rows = units.select(*key, F.posexplode(blocks).alias("n", "b"))
+    return rows.select(*key, (F.col("n") + 1).alias("block_no"), "b.block_text", "b.local_heading")
 
-    Joining the blocks gives back the source lines; units that cannot be cut safely give no rows.
-    """
-    rows = units.select(*key, F.filter(F.transform(T.lines(text), lambda s: F.trim(s)), lambda s: s != "").alias("ls")).where(F.size("ls") > 1)
-    at = F.sequence(F.lit(1), F.size("ls"))
-    rows = rows.select(
-        *key, "ls",
-        F.filter(at, lambda i: (i == 1) | F.get("ls", i - 1).rlike(BLOCK_START)).alias("starts"),
-        F.filter(at, lambda i: F.get("ls", i - 1).rlike(GROUP_HEADING)).alias("heads"),
-    )
 
-    def block(b, j):
-        end = F.coalesce(F.get("starts", j + 1), F.size("ls") + 1)
-        head = F.array_max(F.filter("heads", lambda h: h < end))
-        return F.struct(
-            (j + 1).alias("block_no"), F.array_join(F.slice("ls", b, end - b), "\n").alias("block_text"),
-            F.coalesce(F.substring(F.get("ls", head - 1), 1, 160), F.lit("")).alias("local_heading"),
-        )
+def block_list(text, policy: Column) -> Column:
+    """Array of struct(block_text, local_heading): the text cut at visible numbering, empty where it cannot be cut safely.
 
-    cut = rows.withColumn("blocks", F.transform("starts", block))
-    meaningful = F.size(F.filter("blocks", lambda b: F.char_length(T.compact(b["block_text"])) >= 8))
-    safe = (meaningful >= 2) & (F.size("blocks") <= 50) & (F.array_join(F.transform("blocks", lambda b: b["block_text"]), "\n") == F.array_join("ls", "\n"))
-    return cut.where(safe).select(*key, F.inline("blocks"))
+    Policy clauses also start at Han-numbered headings. One split cuts the lines, so the work is linear; a block's heading is the
+    last group heading up to its end. At least two meaningful and at most 50 blocks.
+    """
+    body = F.array_join(F.filter(F.transform(T.lines(text), lambda s: F.trim(s)), lambda s: s != ""), "\n")
+    cut = lambda start: F.split(body, f"\n(?={start}|{HIERARCHY})")
+    blocks = F.when(policy, cut(POLICY_START)).otherwise(cut(LIST_START))
+    last = lambda b: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(b, F.lit(f"(?m)^(?:{GROUP_START}).*$"), F.lit(0))), -1)
+    heads = F.transform(blocks, last)
+    carried = lambda j: F.coalesce(F.element_at(F.concat(F.array(F.lit("")), F.array_compact(F.slice(heads, F.lit(1), j + 1))), -1), F.lit(""))
+    out = F.transform(blocks, lambda b, j: F.struct(b.alias("block_text"), F.substring(carried(j), 1, 160).alias("local_heading")))
+    meaningful = F.size(F.filter(blocks, lambda b: F.char_length(T.compact(b)) >= 8))
+    return F.when((F.size(blocks) <= 50) & (meaningful >= 2), out).otherwise(F.array().cast("array<struct<block_text:string,local_heading:string>>"))
 
 
 def measurement_rows(units: DataFrame, key: list[str], text: str, pattern: str) -> DataFrame:

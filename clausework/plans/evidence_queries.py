@@ -161,25 +161,29 @@ def claim_grounding(spark, sf):
     return V.bigram_support(claims, asked)
 
 
+#: Document numbers, else whole words of any script.
+REFERENCES = "[a-z]+-[0-9]+|[0-9]+(?:[.][0-9]+)+|[\\p{L}\\p{N}]+"
+
+
 @query(
     "unverified_references",
-    f"""WITH r AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{{12,}}')) AS ref FROM benchmark), s AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{{12,}}')) AS ref FROM conversations)
-       SELECT item_id AS answer_id, ref FROM r WHERE ref NOT IN (SELECT ref FROM s)""",
+    f"""WITH {TURNS_SQL}, r AS (SELECT DISTINCT key, unnest(regexp_extract_all(lower(text), '{REFERENCES}')) AS ref FROM a), s AS (SELECT DISTINCT key, unnest(regexp_extract_all(lower(text), '{REFERENCES}')) AS ref FROM e)
+       SELECT key AS answer_id, ref FROM r ANTI JOIN s USING (key, ref)""",
 )
 def unverified_references(spark, sf):
-    refs = lambda df, *keys: df.select(*keys, F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{12,}"), F.lit(0))).alias("ref")).distinct()
-    stated = refs(tables.load(spark, sf, "benchmark").withColumnRenamed("item_id", "answer_id"), "answer_id")
-    return stated.join(refs(tables.load(spark, sf, "conversations")), "ref", "left_anti").select("answer_id", "ref")
+    """Document numbers and words of an answer that its own sources (the turn before) do not hold, of any length and script."""
+    mine, asked = answers(spark, sf)
+    return V.unverified_references(mine, asked, REFERENCES).withColumnRenamed("key", "answer_id")
 
 
 @query(
     "ungrounded_facts",
-    f"""WITH {TURNS_SQL}, f AS (SELECT DISTINCT key, unnest(regexp_extract_all(text, '[A-Za-z]{{8,}}')) AS value FROM a), s AS (SELECT key, {GROUND_SQL.format('text')} AS support FROM e)
+    f"""WITH {TURNS_SQL}, f AS (SELECT DISTINCT key, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS value FROM a), s AS (SELECT key, {GROUND_SQL.format('text')} AS support FROM e)
        SELECT f.key, value FROM f LEFT JOIN s USING (key) WHERE NOT coalesce(contains(support, {GROUND_SQL.format('value')}), false)""",
 )
 def ungrounded_facts(spark, sf):
     mine, asked = answers(spark, sf)
-    return V.unsupported_values(mine, asked, F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0))))
+    return V.unsupported_values(mine, asked, F.array_distinct(F.regexp_extract_all("text", F.lit("[\\p{L}\\p{N}]+"), F.lit(0))))
 
 
 @query(
@@ -213,12 +217,12 @@ def gold_case_audit(spark, sf):
 
 @query(
     "per_document_evidence",
-    f"""WITH {UNITS}, t AS (SELECT DISTINCT item_id AS target, unnest(regexp_extract_all({norm('text')}, '[a-z]{{8,}}')) AS word FROM benchmark),
-       w AS (SELECT DISTINCT document_id, unit_order, unnest(regexp_extract_all(search_text, '[a-z]{{8,}}')) AS word FROM units), s AS (SELECT target, document_id, unit_order, count(*) AS score FROM t JOIN w USING (word) GROUP BY 1, 2, 3)
+    f"""WITH {UNITS}, t AS (SELECT DISTINCT item_id AS target, unnest(regexp_extract_all({norm('text')}, '[\\p{{L}}\\p{{N}}]+')) AS word FROM benchmark),
+       w AS (SELECT DISTINCT document_id, unit_order, unnest(regexp_extract_all(search_text, '[\\p{{L}}\\p{{N}}]+')) AS word FROM units), s AS (SELECT target, document_id, unit_order, count(*) AS score FROM t JOIN w USING (word) GROUP BY 1, 2, 3)
        SELECT *, row_number() OVER (PARTITION BY target, document_id ORDER BY score DESC, unit_order) AS rank FROM s QUALIFY rank <= 3""",
 )
 def per_document_evidence(spark, sf):
-    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit("[a-z]{8,}"), F.lit(0)))).alias("word")
+    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit("[\\p{L}\\p{N}]+"), F.lit(0)))).alias("word")
     targets = tables.queries(spark, sf).select(F.col("query_id").alias("target"), words(T.normalize("question")))
     units = tables.retrieval_units(spark, sf).select("document_id", "unit_order", words(F.col("search_text")))
     hits = targets.join(units, "word").groupBy("target", "document_id", "unit_order").agg(F.count("*").alias("score"))
@@ -362,21 +366,28 @@ def scope_fallback(spark, sf):
     return scoped.unionByName(rest)
 
 
+#: Words that must stand in a document if the question has them, and words that ask for a table.
+CRITICAL, TABLE_WORDS = ("license", "tion"), "table|list|of the"
+
+
 @query(
     "field_heuristic_score",
-    f"""WITH {UNITS}, {TERMS}, m AS (SELECT DISTINCT document_id, heading_text, document_text, query_id, term, contains(document_text, term) AS t, contains(heading_text, term) AS h, false AS n FROM (SELECT DISTINCT document_id, heading_text, document_text FROM units) d JOIN terms ON length(term) >= 6 AND (contains(document_text, term) OR contains(heading_text, term)))
-       SELECT query_id, document_id, round(sum(CASE WHEN t THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN h THEN 2.5::DOUBLE ELSE 0.0::DOUBLE END), 6) AS score FROM m GROUP BY 1, 2""",
+    f"""WITH {UNITS}, {TERMS}, d AS (SELECT doc_id AS document_id, lower(source) || '-' || doc_id AS number, {norm("string_split(text, chr(10))[1]")} AS title, {norm("lang || ' ' || source")} AS section, {norm('text')} AS body, contains(text, '|') AS tabular FROM documents),
+       q AS (SELECT item_id AS query_id, {norm('text')} AS question FROM benchmark),
+       h AS (SELECT query_id, document_id, sum(5.0::DOUBLE * contains(number, term)::INT + 4.0::DOUBLE * contains(title, term)::INT + 2.5::DOUBLE * contains(section, term)::INT + 1.0::DOUBLE * contains(body, term)::INT) AS hits
+         FROM d JOIN terms ON contains(number, term) OR contains(title, term) OR contains(section, term) OR contains(body, term) GROUP BY 1, 2)
+       SELECT query_id, document_id, round(hits + CASE WHEN NOT tabular THEN 0.0::DOUBLE WHEN regexp_matches(question, '{TABLE_WORDS}') THEN 0.5::DOUBLE ELSE 0.5::DOUBLE - 1.2::DOUBLE END
+         {" ".join(f"+ CASE WHEN NOT contains(question, '{c}') THEN 0.0::DOUBLE WHEN contains(body, '{c}') THEN 3.0::DOUBLE ELSE -3.0::DOUBLE END" for c in CRITICAL)}, 6) AS score FROM h JOIN d USING (document_id) JOIN q USING (query_id)""",
 )
 def field_heuristic_score(spark, sf):
-    terms = L.query_terms(tables.queries(spark, sf)).where(F.char_length("term") >= 6).select("query_id", F.col("term").alias("pattern"))
+    """All terms over number, title, section and whole text, with the table and critical-word rules."""
     docs = tables.load(spark, sf, "documents")
-    fields = docs.select(F.col("doc_id").alias("document_id"), F.inline(F.array(
-        F.struct(F.lit(4.0).alias("weight"), T.normalize(T.first_line("text")).alias("text")),
-        F.struct(F.lit(2.5).alias("weight"), T.normalize(F.concat_ws(" ", "lang", "source")).alias("text")),
-    )))
-    patterns = terms.select("pattern").distinct()
-    hits = contains_join(fields, patterns).select("document_id", "weight", "pattern").join(terms, "pattern")
-    return hits.groupBy("query_id", "document_id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    rows = docs.select(
+        F.col("doc_id").alias("document_id"), F.concat_ws("-", F.lower("source"), "doc_id").alias("number"), T.normalize(T.first_line("text")).alias("title"),
+        T.normalize(F.concat_ws(" ", "lang", "source")).alias("section"), T.normalize("text").alias("body"), F.contains("text", F.lit("|")).alias("tabular"),
+    )
+    asked = tables.queries(spark, sf).withColumn("question", T.normalize("question"))
+    return L.field_score(asked, L.query_terms(tables.queries(spark, sf)), rows, CRITICAL, TABLE_WORDS).withColumn("score", F.round("score", 6))
 
 
 SCORE_RULES = [("tion", 2.0), ("ing ", 1.5), ("license", -4.5), ("eau", 1.0), ("###", -3.0)]

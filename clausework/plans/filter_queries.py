@@ -253,10 +253,10 @@ def sensitive_scan(spark, sf):
 @query(
     "safe_log_projection",
     f"""SELECT query_id, sha256(question) AS question_hash, CAST(length(question) AS BIGINT) AS chars, CAST(len(string_split_regex(trim(question), '[ \\t\\r\\n]+')) AS BIGINT) AS words,
-       array_to_string(list_sort(list_distinct(regexp_extract_all(lower(question), '[a-z]{{9,}}'))), '|') AS topics FROM ({USER_TURNS}) q""",
+       array_to_string(list_sort(list_distinct(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}]+'))), '|') AS topics FROM ({USER_TURNS}) q""",
 )
 def safe_log_projection(spark, sf):
-    topics = F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[a-z]{9,}"), F.lit(0))))
+    topics = F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))))
     return user_turns(spark, sf).select(
         "query_id", ids.sha256("question").alias("question_hash"), F.char_length("question").cast("long").alias("chars"),
         F.size(F.split(F.trim("question"), "[ \\t\\r\\n]+")).cast("long").alias("words"), F.array_join(topics, "|").alias("topics"),

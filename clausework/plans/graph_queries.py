@@ -63,11 +63,11 @@ def kg_typed_relations(spark, sf):
 
 @query(
     "term_mentions",
-    f"""WITH {LINES}, t AS (SELECT DISTINCT unnest(regexp_extract_all({norm('text')}, '[a-z]{{10,}}')) AS term FROM benchmark)
+    f"""WITH {LINES}, t AS (SELECT DISTINCT unnest(regexp_extract_all({norm('text')}, '[\\p{{L}}\\p{{N}}]{{2,}}')) AS term FROM benchmark)
        SELECT document_id, term, max(CASE WHEN unit_order = 1 THEN 0.9::DOUBLE WHEN unit_order <= 3 THEN 0.8::DOUBLE ELSE 0.55::DOUBLE END) AS confidence, count(*) AS units FROM lines JOIN t ON contains(lower(text), term) GROUP BY 1, 2""",
 )
 def term_mentions(spark, sf):
-    words = tables.load(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(T.normalize("text"), F.lit("[a-z]{10,}"), F.lit(0))).alias("term")).distinct()
+    words = tables.load(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(T.normalize("text"), F.lit("[\\p{L}\\p{N}]{2,}"), F.lit(0))).alias("term")).distinct()
     return K.term_mentions(tables.line_units(spark, sf), words)
 
 
@@ -146,7 +146,7 @@ def gap_completion(spark, sf):
     return gaps(spark, sf)
 
 
-RESERVE_SQL = f"""{LINES}, heads AS (SELECT document_id, unit_order AS parent, regexp_extract(lower(text), '^[a-z]{{6,}}') AS heading FROM lines),
+RESERVE_SQL = f"""{LINES}, heads AS (SELECT document_id, unit_order AS parent, regexp_extract(lower(text), '^[\\p{{L}}\\p{{N}}]+') AS heading FROM lines),
   named AS (SELECT item_id AS query_id, document_id, parent FROM heads JOIN benchmark b ON heading <> '' AND contains(lower(b.text), heading)),
   enough AS (SELECT query_id, document_id FROM named GROUP BY 1, 2 HAVING count(DISTINCT parent) >= 2),
   reserved AS (SELECT DISTINCT n.query_id, n.document_id, n.parent, l.unit_order AS unit_id FROM named n JOIN enough USING (query_id, document_id) JOIN lines l ON l.document_id = n.document_id AND l.unit_order BETWEEN n.parent + 1 AND n.parent + 2)"""
@@ -154,7 +154,7 @@ RESERVE_SQL = f"""{LINES}, heads AS (SELECT document_id, unit_order AS parent, r
 
 def reservations(spark, sf):
     lines = tables.line_units(spark, sf)
-    heads = lines.select("document_id", F.col("unit_order").alias("parent"), F.regexp_extract(F.lower("text"), "^[a-z]{6,}", 0).alias("pattern")).where("pattern <> ''")
+    heads = lines.select("document_id", F.col("unit_order").alias("parent"), F.regexp_extract(F.lower("text"), "^[\\p{L}\\p{N}]+", 0).alias("pattern")).where("pattern <> ''")
     asked = tables.queries(spark, sf).withColumn("question", F.lower("question"))
     named = contains_join(asked, heads.select("pattern").distinct(), "question").select("query_id", "pattern").distinct().join(heads, "pattern")
     children = lines.select("document_id", F.col("unit_order").alias("unit_id"), F.explode(F.array(F.col("unit_order") - 1, F.col("unit_order") - 2)).alias("parent"))
@@ -185,16 +185,16 @@ def list_package(spark, sf):
 @query(
     "appendix_package",
     f"""WITH {LINES}, fam AS (SELECT document_id, (unit_order - 1) // 10 AS family, bool_or(contains(lower(text), 'tion')) AND bool_or(contains(lower(text), 'the')) AS complete FROM lines GROUP BY 1, 2),
-       w AS (SELECT DISTINCT document_id, (unit_order - 1) // 10 AS family, unnest(regexp_extract_all(lower(text), '[a-z]{{11,}}')) AS term FROM lines), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{11,}}')) AS term FROM benchmark)
+       w AS (SELECT DISTINCT document_id, (unit_order - 1) // 10 AS family, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM lines), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark)
        SELECT item_id AS query_id, document_id, family, count(*) AS shared_terms FROM q JOIN w USING (term) JOIN fam USING (document_id, family) WHERE complete GROUP BY 1, 2, 3""",
 )
 def appendix_package(spark, sf):
-    long_words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{11,}"), F.lit(0)))).alias("term")
+    all_words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)))).alias("term")
     rows = tables.line_units(spark, sf).withColumn("family", F.floor((F.col("unit_order") - 1) / 10))
     has = lambda w: F.contains(F.lower("text"), F.lit(w))
     complete = S.paired_families(rows, ["document_id", "family"], has("tion"), has("the")).drop("members")
-    terms = rows.select("document_id", "family", long_words("text")).distinct()
-    asked = tables.queries(spark, sf).select("query_id", long_words("question"))
+    terms = rows.select("document_id", "family", all_words("text")).distinct()
+    asked = tables.queries(spark, sf).select("query_id", all_words("question"))
     return asked.join(terms, "term").join(complete, ["document_id", "family"]).groupBy("query_id", "document_id", "family").agg(F.count("*").alias("shared_terms"))
 
 

@@ -68,14 +68,14 @@ def graph_or_join(spark, sf):
 
 LEXICON_SQL = f"""lex AS (SELECT DISTINCT word AS pattern, 'lex-' || word AS lexicon_id, substr(word, 1, 3) AS canonical, CASE WHEN length(word) >= 14 THEN 'exact' ELSE 'contains' END AS match_type,
       length(word) % 3 AS priority, CASE WHEN length(word) % 2 = 0 THEN 'en' ELSE '' END AS required, CASE WHEN length(word) % 5 = 0 THEN 'ing' ELSE '~' END AS forbidden
-    FROM (SELECT unnest(regexp_extract_all({norm('text')}, '[a-z]{{7,}}')) AS word FROM benchmark) s),
+    FROM (SELECT unnest(regexp_extract_all({norm('text')}, '[\\p{{L}}\\p{{N}}]+')) AS word FROM benchmark) s),
    asked AS (SELECT query_id, {norm('question')} AS question FROM ({USER_TURNS}) t),
    hit AS (SELECT query_id, lexicon_id, priority, pattern, canonical FROM asked JOIN lex ON contains(question, pattern)
       WHERE (required = '' OR contains(question, required)) AND NOT contains(question, forbidden) AND (match_type <> 'exact' OR question = pattern))"""
 
 
 def lexicon(spark, sf):
-    words = F.explode(F.regexp_extract_all(T.normalize("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("pattern")
+    words = F.explode(F.regexp_extract_all(T.normalize("text"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))).alias("pattern")
     size = F.char_length("pattern")
     return tables.load(spark, sf, "benchmark").select(words).distinct().select(
         "pattern",

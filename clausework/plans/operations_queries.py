@@ -391,11 +391,18 @@ def usage_stream(spark, sf):
     return jobs.usage_by_window(stamped, "1 hour").withColumn("mean_latency", F.round(F.col("latency_sum") / F.col("calls"), 6)).drop("latency_sum")
 
 
-@query("gap_task_queue", f"WITH {LINES}, c AS (SELECT item_id, count(document_id) AS n FROM benchmark LEFT JOIN lines ON trim(lines.text) = trim(string_split(benchmark.text, chr(10))[1]) GROUP BY 1) SELECT item_id AS query_id, 'gap-' || substr(sha1(CAST(item_id AS VARCHAR)), 1, 16) AS task_id, 'queued' AS status FROM c WHERE n < 1")
+@query(
+    "gap_task_queue",
+    f"""WITH {LINES}, q AS (SELECT item_id, trim(unnest(string_split(text, chr(10)))) AS part FROM benchmark), have AS (SELECT DISTINCT trim(text) AS part FROM lines),
+       c AS (SELECT item_id, count(*) AS lines_asked, count(*) FILTER (WHERE h.part IS NULL) AS missing FROM q LEFT JOIN have h USING (part) WHERE part <> '' GROUP BY 1)
+     SELECT item_id AS query_id, 'gap-' || substr(sha1(CAST(item_id AS VARCHAR)), 1, 16) AS task_id, 'queued' AS status, lines_asked, missing FROM c WHERE missing > 0""",
+)
 def gap_task_queue(spark, sf):
-    first = tables.queries(spark, sf).select("query_id", F.trim(T.first_line("question")).alias("part"))
-    found = tables.line_units(spark, sf).select(F.trim("text").alias("part"))
-    return first.join(found, "part", "left_anti").select("query_id", ids.stable_id("gap", "query_id").alias("task_id"), F.lit("queued").alias("status"))
+    """A question is queued if any of its lines has no evidence; the task says how many of how many."""
+    asked = tables.queries(spark, sf).select("query_id", F.explode(T.lines("question")).alias("part")).select("query_id", F.trim("part").alias("part")).where("part <> ''")
+    found = tables.line_units(spark, sf).select(F.trim("text").alias("part")).where("part <> ''").distinct().withColumn("found", F.lit(True))
+    counted = asked.join(found, "part", "left").groupBy("query_id").agg(F.count("*").alias("lines_asked"), F.count_if(F.col("found").isNull()).alias("missing"))
+    return counted.where("missing > 0").select("query_id", ids.stable_id("gap", "query_id").alias("task_id"), F.lit("queued").alias("status"), "lines_asked", "missing")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from clausework import tables
 from clausework.functions import ids, text as T
@@ -65,11 +65,6 @@ def measurement_rows(spark, sf):
     return S.measurement_rows(docs(spark, sf), ["document_id"], "text", SPAN_PATTERN)
 
 
-@query("explicit_block_split")
-def explicit_block_split(spark, sf):
-    return S.explicit_blocks(docs(spark, sf), "text", ["document_id"])
-
-
 LEAF_SQL = f"""leaf AS (SELECT document_id, unit_order, text, length(text) >= 1200 AS is_long,
    CASE WHEN unit_order = 1 THEN 'front_matter' ELSE 'clause' END AS unit_type, length({compact('text')}) >= 8 AS enough FROM lines),
   leaves AS (SELECT *, CASE WHEN NOT is_long THEN 'source_unit_with_context' WHEN unit_type = 'front_matter' THEN 'long_front_matter_context_only' ELSE 'long_atomic_unit_retained' END AS derivation_method,
@@ -210,3 +205,106 @@ def match_derived_sources(spark, sf):
     sources = tables.line_units(spark, sf)
     source_refs = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0)))).alias("ref")
     return joins.match_sources(derived.select("derived_id", "derived_text", refs), sources.select("document_id", "unit_order", F.col("text").alias("source_text"), source_refs))
+
+
+PAD = "grade and depth of the ore body along the line " * 9
+#: Units of every kind from line items: twelve neighbouring orders are the units of one document.
+BRANCH_UNITS = f"""li AS (SELECT l_orderkey // 12 AS document_id, l_orderkey % 12 AS kind, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i,
+     'part ' || l_partkey || ' from supplier ' || l_suppkey AS line, l_returnflag, l_linestatus, l_linenumber FROM lineitem),
+  pre AS (SELECT *, CASE WHEN kind IN (1, 4, 5) THEN i || '. ' WHEN kind = 3 THEN CASE WHEN i % 3 = 1 THEN '一、' ELSE '（' || i || '）' END WHEN kind = 2 THEN 'also '
+     WHEN kind = 10 THEN CASE i WHEN 1 THEN '中华人民共和国标准发布 ' WHEN 2 THEN '前言 ' ELSE '' END WHEN kind = 11 AND i = 1 THEN '表 1 ' ELSE '' END || line || CASE WHEN kind IN (1, 2, 3, 4, 5, 10, 11) THEN ' {PAD.strip()}' ELSE '' END AS t FROM li),
+  units AS (SELECT document_id, kind, kind + 1 AS unit_order, string_agg(t, chr(10) ORDER BY i) AS text, count(*) AS n,
+     CASE WHEN document_id % 50 = 0 THEN true ELSE false END AS wide, CASE document_id % 3 WHEN 0 THEN 'governed_source' WHEN 1 THEN 'parsed_from_ocr' ELSE 'manually_curated_table' END AS validation,
+     CASE WHEN kind IN (6, 7, 8) THEN 'table' WHEN kind = 9 THEN 'application_material_row' WHEN kind IN (4, 5) THEN 'front_matter' WHEN kind = 3 THEN 'policy_clause' ELSE 'clause' END AS unit_type,
+     CASE kind WHEN 8 THEN 'S8 > 申请资料表' WHEN 9 THEN 'S8 > 材料 1 form' WHEN 0 THEN '' ELSE 'S' || kind END AS section_path, CASE WHEN kind % 2 = 1 THEN '5.' || kind ELSE '' END AS clause_no FROM pre GROUP BY 1, 2)"""
+
+
+def branch_units(spark, sf):
+    line = tables.load(spark, sf, "lineitem")
+    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    rows = line.select((F.floor(F.col("l_orderkey") / 12)).alias("document_id"), (F.col("l_orderkey") % 12).alias("kind"), i.alias("i"), F.concat_ws("", F.lit("part "), "l_partkey", F.lit(" from supplier "), "l_suppkey").alias("line"), "l_returnflag", "l_linestatus", "l_linenumber")
+    kind, pos = F.col("kind"), F.col("i").cast("string")
+    prefix = (
+        F.when(kind.isin(1, 4, 5), F.concat(pos, F.lit(". ")))
+        .when(kind == 3, F.when(F.col("i") % 3 == 1, "一、").otherwise(F.concat(F.lit("（"), pos, F.lit("）"))))
+        .when(kind == 2, "also ")
+        .when(kind == 10, F.when(F.col("i") == 1, "中华人民共和国标准发布 ").when(F.col("i") == 2, "前言 ").otherwise(""))
+        .when((kind == 11) & (F.col("i") == 1), "表 1 ")
+        .otherwise("")
+    )
+    body = F.concat(prefix, "line", F.when(kind.isin(1, 2, 3, 4, 5, 10, 11), F.lit(" " + PAD.strip())).otherwise(""))
+    cells = F.array(F.col("l_returnflag"), F.when(F.col("l_linestatus") == "O", "").otherwise(F.col("l_linestatus")), F.col("l_linenumber").cast("string"))
+    units = rows.groupBy("document_id", "kind").agg(F.sort_array(F.collect_list(F.struct("i", body.alias("t"), cells.alias("c")))).alias("ls"))
+    doc = F.col("document_id")
+    return units.select(
+        "document_id", (kind + 1).alias("unit_order"), "kind",
+        F.when(kind.isin(6, 7, 8), "table").when(kind == 9, "application_material_row").when(kind.isin(4, 5), "front_matter").when(kind == 3, "policy_clause").otherwise("clause").alias("unit_type"),
+        F.when(kind == 5, "第1号修改单").otherwise("standard").alias("title"),
+        F.when(kind == 8, "S8 > 申请资料表").when(kind == 9, "S8 > 材料 1 form").when(kind == 0, "").otherwise(F.concat(F.lit("S"), kind.cast("string"))).alias("section_path"),
+        F.when(kind % 2 == 1, F.concat(F.lit("5."), kind.cast("string"))).otherwise("").alias("clause_no"),
+        F.when(doc % 3 == 0, "governed_source").when(doc % 3 == 1, "parsed_from_ocr").otherwise("manually_curated_table").alias("validation_status"),
+        (doc % 50 == 0).alias("wide_layout"),
+        F.array_join(F.transform("ls", lambda x: x["t"]), "\n").alias("text"),
+        F.lit("").alias("caption"),
+        F.when(kind.isin(6, 8), F.concat(F.array(F.array(F.lit("flag"), F.lit(""), F.lit("line"))), F.transform("ls", lambda x: x["c"]))).alias("matrix"),
+    )
+
+
+BRANCHES = f"""{BRANCH_UNITS}, flags AS (SELECT *, length(text) >= 1200 AS long, kind = 4 AS front, unit_type <> 'table' AND wide AS replaced,
+     kind = 10 AND n >= 2 AS stream, EXISTS (SELECT 1 FROM units r WHERE r.document_id = units.document_id AND r.kind = 9) AS has_rows, EXISTS (SELECT 1 FROM units r WHERE r.document_id = units.document_id AND r.kind = 8) AS has_table FROM units),
+  cut_lines AS (SELECT p.document_id, p.kind, p.i, p.t, f.n, p.i = 1 OR p.kind IN (1, 3, 5) AS starts, CASE WHEN p.kind = 3 AND p.i % 3 = 1 THEN p.t END AS head
+     FROM pre p JOIN flags f ON f.document_id = p.document_id AND f.kind = p.kind WHERE long AND NOT replaced AND p.kind IN (1, 3, 5)),
+  blocks AS (SELECT document_id, kind, i AS piece, t AS citation_text, coalesce(substr(last_value(head IGNORE NULLS) OVER (PARTITION BY document_id, kind ORDER BY i), 1, 160), '') AS local_heading, n FROM cut_lines),
+  rows_of AS (SELECT p.document_id, p.kind, p.i AS piece, 'S' || p.kind || chr(10) || 'flag：' || l_returnflag || CASE WHEN l_linestatus = 'O' THEN '' ELSE chr(10) || '列2：' || l_linestatus END || chr(10) || 'line：' || l_linenumber AS citation_text
+     FROM pre p WHERE p.kind = 6),
+  out AS (
+    SELECT f.document_id, f.unit_order, f.kind, 'explicit_numbered_subclause_split' AS derivation_method, b.piece, CASE WHEN clause_no = '' THEN 'part' ELSE clause_no END || '#' || b.piece AS clause_no, b.citation_text, b.local_heading, true AS search_eligible,
+      true AS citation_eligible, 'pass' AS review_status FROM flags f JOIN blocks b ON b.document_id = f.document_id AND b.kind = f.kind
+    UNION ALL SELECT f.document_id, f.unit_order, f.kind, 'structured_table_row', r.piece, 'row-' || r.piece, r.citation_text, '', true, validation <> 'parsed_from_ocr', CASE WHEN validation <> 'parsed_from_ocr' THEN 'pass' ELSE 'review_required' END FROM flags f JOIN rows_of r ON r.document_id = f.document_id AND r.kind = f.kind
+    UNION ALL SELECT document_id, unit_order, kind, 'structured_table_row', u.i, 'row-' || u.i, section_path || chr(10) || 'flag：' || l_returnflag || CASE WHEN l_linestatus = 'O' THEN '' ELSE chr(10) || '列2：' || l_linestatus END || chr(10) || 'line：' || l_linenumber, '', true, validation <> 'parsed_from_ocr', CASE WHEN validation <> 'parsed_from_ocr' THEN 'pass' ELSE 'review_required' END
+      FROM flags JOIN pre u USING (document_id, kind) WHERE kind = 8 AND NOT has_rows
+    UNION ALL SELECT document_id, unit_order, kind, CASE WHEN kind = 7 THEN 'table_without_structured_rows_retained' WHEN replaced THEN 'wide_layout_legacy_fallback' WHEN kind = 9 THEN 'application_material_row_linked' WHEN NOT long THEN 'source_unit_with_context'
+        WHEN front THEN 'long_front_matter_context_only' WHEN stream THEN 'long_ocr_front_matter_context_only' WHEN kind = 11 THEN 'unstructured_table_like_unit_retained' ELSE 'long_atomic_unit_retained' END,
+      0, clause_no, text, '', CASE WHEN kind IN (7, 9) THEN NOT replaced ELSE NOT replaced AND NOT front AND NOT (long AND stream) END,
+      CASE WHEN kind = 7 OR replaced THEN false WHEN kind = 9 THEN true ELSE NOT long AND NOT front END,
+      CASE WHEN kind = 7 THEN 'review_required' WHEN replaced THEN 'replaced_by_layout_reconstruction' WHEN kind = 9 THEN 'pass' WHEN NOT long THEN CASE WHEN front THEN 'context_only' ELSE 'pass' END WHEN front OR stream THEN 'context_only' ELSE 'review_required' END
+      FROM flags WHERE kind NOT IN (6, 8) AND (replaced OR NOT (long AND kind IN (1, 3, 5)))),
+  parents AS (SELECT f.document_id, f.kind, CASE WHEN unit_type = 'table' THEN 'table_parent' || chr(10) || unit_order WHEN kind = 9 AND NOT replaced THEN CASE WHEN has_table THEN 'table_parent' || chr(10) || 9 ELSE 'section_parent' || chr(10) || 'S8' END
+      WHEN long AND NOT replaced AND kind IN (1, 3, 5) THEN 'long_source_parent' || chr(10) || unit_order WHEN section_path = '' THEN 'document_parent' ELSE 'section_parent' || chr(10) || section_path END AS node FROM flags f)"""
+
+
+@query(
+    "leaf_branches",
+    f"""WITH {BRANCHES} SELECT o.document_id, unit_order, 'rparent-' || substr(sha1(o.document_id || chr(10) || node), 1, 16) AS parent_id, derivation_method, CAST(piece AS INTEGER) AS piece, clause_no, sha256(citation_text) AS text_hash, local_heading,
+       search_eligible, citation_eligible, review_status, 'runit-' || substr(sha1(o.document_id || chr(10) || derivation_method || chr(10) || unit_order || chr(10) || piece || chr(10) || citation_text), 1, 16) AS leaf_id
+     FROM out o JOIN parents p ON p.document_id = o.document_id AND p.kind = o.kind""",
+)
+def leaf_branches(spark, sf):
+    """Leaves of every branch: cut clauses, table rows, linked material rows, front matter, streams and replaced layouts."""
+    rows = V.branch_leaves(V.leaf_branches(branch_units(spark, sf)))
+    return rows.withColumn("text_hash", ids.sha256("citation_text")).drop("citation_text")
+
+
+@query(
+    "leaf_actions",
+    f"""WITH {BRANCHES}, made AS (SELECT document_id, kind, count(*) AS leaves FROM out GROUP BY 1, 2)
+     SELECT f.document_id, f.unit_order, CASE WHEN f.kind = 8 AND has_rows THEN 'existing_application_rows_linked' WHEN f.kind IN (6, 8) THEN 'structured_table_rows_emitted:' || leaves WHEN f.kind = 7 THEN CASE WHEN long THEN 'long_table_retained_for_review' ELSE 'table_parent_created' END
+       WHEN replaced THEN 'wide_layout_reconstructed' WHEN f.kind = 9 THEN 'application_row_retained' WHEN NOT long THEN '' WHEN f.kind IN (1, 3, 5) THEN 'split_at_explicit_boundaries:' || leaves
+       WHEN front THEN 'front_matter_retained_as_context_only' WHEN stream THEN 'ocr_front_matter_retained_as_context_only' WHEN f.kind = 11 THEN 'table_like_source_retained_for_review' ELSE 'retained_no_safe_explicit_boundary' END AS action
+     FROM flags f LEFT JOIN made m ON m.document_id = f.document_id AND m.kind = f.kind""",
+)
+def leaf_actions(spark, sf):
+    return V.leaf_branches(branch_units(spark, sf)).select("document_id", "unit_order", "action")
+
+
+@query(
+    "explicit_block_split",
+    f"""WITH {BRANCH_UNITS}, marked AS (SELECT document_id, kind, i, t, i = 1 OR kind IN (1, 3, 4, 5) AS starts, CASE WHEN kind = 3 AND i % 3 = 1 THEN t END AS head FROM pre),
+       placed AS (SELECT document_id, kind, t, i, sum(starts::INT) OVER (PARTITION BY document_id, kind ORDER BY i) AS block_no, last_value(head IGNORE NULLS) OVER (PARTITION BY document_id, kind ORDER BY i) AS h FROM marked),
+       cut AS (SELECT document_id, kind, block_no, string_agg(t, chr(10) ORDER BY i) AS block_text, substr(coalesce(arg_max(h, i), ''), 1, 160) AS local_heading, count(*) OVER (PARTITION BY document_id, kind) AS n FROM placed GROUP BY 1, 2, 3)
+     SELECT document_id, kind + 1 AS unit_order, CAST(block_no AS INTEGER) AS block_no, sha256(block_text) AS text_hash, local_heading FROM cut WHERE n >= 2 AND n <= 50""",
+)
+def explicit_block_split(spark, sf):
+    """Numbered units of every length, cut at their numbering."""
+    units = branch_units(spark, sf)
+    return S.explicit_blocks(units, "text", ["document_id", "unit_order"], F.col("unit_type") == "policy_clause").withColumn("text_hash", ids.sha256("block_text")).drop("block_text")
