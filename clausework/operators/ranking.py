@@ -43,8 +43,7 @@ def positions(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """
     from clausework.scratch import materialize
 
-    parts = df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id())
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
     stored = materialize(ranged, "positions")
     # One row per key and partition; a key spans only the partitions its range touches.
     sizes = stored.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))

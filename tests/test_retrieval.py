@@ -189,3 +189,33 @@ def test_ttl_chain_over_batches(spark):
                 want.add((k, t))
                 until = t + 50
     assert got == want
+
+
+def test_ttl_of_one_busy_key_over_many_blocks(spark):
+    """Five keys, one with most rows; some times lie a time-to-live apart to the microsecond."""
+    rng = random.Random(6)
+    rows = [("busy", rng.randint(0, 4000)) for _ in range(3000)] + [(rng.choice("abcd"), 10 * rng.randint(0, 50)) for _ in range(300)] + [(None, 5), (None, 5)]
+    for ttl in (1, 10, 700, 10_000):
+        got = sorted((r["k"] or "", r["at"]) for r in dedup.ttl_first_sightings(spark.createDataFrame(rows, "key string, at long"), "key", ttl).collect())
+        want = []
+        for k in {k for k, _ in rows}:
+            until = -1
+            for t in sorted({t for key, t in rows if key == k}):
+                if t >= until:
+                    want.append((k or "", t))
+                    until = t + ttl
+        assert got == sorted(want)
+
+
+def test_exit_times_equal_the_chain():
+    rng = random.Random(7)
+    for _ in range(200):
+        at = np.array(sorted(rng.sample(range(60), rng.randint(1, 20))))
+        breaks, exits = dedup.exit_times(at, 7)
+        for entry in range(-1, 75):
+            until = entry
+            for t in at:
+                if t >= until:
+                    until = t + 7
+            i = int((breaks < entry).sum())
+            assert (exits[i] if i < len(exits) else entry) == until
