@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clausework.functions import ids, text as T
 from clausework.operators.joins import contains_join
+from clausework.scratch import materialize
 
 TITLE_CONFIDENCE, LEAD_CONFIDENCE, BODY_CONFIDENCE = 0.9, 0.8, 0.55  # fixed values
 
@@ -61,11 +64,50 @@ def attachment_links(rows: DataFrame, trace: str, schema: str, target: str) -> D
     return rows.withColumn("target_id", parsed[target]).where("target_id is not null")
 
 
-def graph_candidates(terms: DataFrame, nodes: DataFrame, relations: DataFrame) -> DataFrame:
-    """Chunks reached from query terms: exact names first, containing names only for queries without an exact hit."""
-    exact = terms.join(nodes, terms["term"] == nodes["name"]).select("query_id", "entity_id", F.lit("exact").alias("tier"))
-    rest = terms.join(exact.select("query_id").distinct(), "query_id", "left_anti")
-    names = nodes.select("entity_id", F.col("name").alias("text"))
-    fuzzy = contains_join(names, rest.withColumnRenamed("term", "pattern")).select("query_id", "entity_id", F.lit("fuzzy").alias("tier")).distinct()
-    hits = exact.unionByName(fuzzy).join(relations, "entity_id")
-    return hits.groupBy("query_id", "chunk_id").agg(F.max("confidence").alias("confidence"), F.min("tier").alias("tier"))
+def normalized_name(col) -> Column:
+    """Name for exact look-ups: upper case, one kind of dash, no blanks."""
+    return F.regexp_replace(F.regexp_replace(F.upper(col), "[—–－]", "-"), "\\s+", "")
+
+
+# Terms of a query that may look up entities, exactly and inside names, and shortest and longest of them.
+EXACT_TERMS, FUZZY_TERMS, TERM_SIZES = 12, 8, (2, 80)
+
+
+def graph_candidates(asked: DataFrame, entities: DataFrame, relations: DataFrame, chunks: DataFrame, intents: DataFrame, fuzzy_types: list[str], limit: int) -> DataFrame:
+    """Chunks that stand as evidence for relations of the entities a query names: (query_id, chunk_id, confidence, tier, rank).
+
+    ``asked``: query_id, intent, terms (array, in order). ``entities``: entity_id, entity_type, name. ``relations``: source_id, target_id,
+    relation, chunk_id, confidence. ``chunks``: the chunk_ids that may be answered with. ``intents``: intent, relation; an intent without
+    rows accepts every relation. Three tiers, each only for queries without a row above: exact names with the intent's relations, names
+    of ``fuzzy_types`` that hold a term with those relations, and the same names with any relation where the intent had restricted them. A
+    chunk counts once, with its best confidence; the best ``limit`` per query stay, as do the first 2 or 3 times as many entities (80 and 120 at least).
+    """
+    low, high = TERM_SIZES
+    usable = F.slice(F.array_distinct(F.filter("terms", lambda t: F.char_length(t).between(low, high))), 1, EXACT_TERMS)
+    terms = asked.select("query_id", "intent", F.posexplode(usable).alias("n", "term"))
+    restricted = asked.select("query_id", "intent").join(intents.select("intent").distinct(), "intent", "left_semi").select("query_id")
+    wanted = asked.select("query_id", "intent").join(intents, "intent").select("query_id", "relation").distinct()
+    ends = relations.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    ends = ends.select(F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("entity_id"), "relation", "chunk_id", "confidence")
+
+    def evidence(named: DataFrame, most: int, any_relation: bool, tier: int) -> DataFrame:
+        """Best chunks of the first ``most`` entities of each query."""
+        first = named.select("query_id", "entity_id").distinct().withColumn("e", F.row_number().over(W.partitionBy("query_id").orderBy("entity_id"))).where(F.col("e") <= most)
+        hits = first.join(ends, "entity_id")
+        if not any_relation:
+            free = hits.join(restricted, "query_id", "left_anti")
+            hits = free.unionByName(hits.join(wanted, ["query_id", "relation"], "left_semi"))
+        best = hits.groupBy("query_id", "chunk_id").agg(F.max("confidence").alias("confidence"))
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("confidence"), "chunk_id"))
+        return best.withColumn("tier", F.lit(tier)).withColumn("rank", rank.cast("long")).where(F.col("rank") <= limit).select("query_id", "chunk_id", "confidence", "tier", "rank")
+
+    without = lambda df, *done: reduce(lambda x, y: x.join(y.select("query_id").distinct(), "query_id", "left_anti"), done, df)
+    keyed = entities.withColumn("key", normalized_name("name"))
+    exact = materialize(evidence(terms.withColumn("key", normalized_name("term")).join(keyed, "key"), max(80, 2 * limit), False, 1), "graph")
+    names = entities.where(F.col("entity_type").isin(*fuzzy_types)).select("entity_id", F.lower("name").alias("text"))
+    open_terms = without(terms.where(F.col("n") < FUZZY_TERMS), exact).select("query_id", F.lower("term").alias("pattern"))
+    holds = contains_join(names, open_terms.select("pattern").distinct()).select("entity_id", "pattern").join(open_terms, "pattern")
+    holds = materialize(holds.select("query_id", "entity_id").distinct(), "graph")
+    fuzzy = materialize(evidence(holds, max(120, 3 * limit), False, 2), "graph")
+    loose = evidence(without(holds, fuzzy).join(restricted, "query_id", "left_semi"), max(120, 3 * limit), True, 3)
+    return exact.unionByName(fuzzy).unionByName(loose)

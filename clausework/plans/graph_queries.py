@@ -90,19 +90,55 @@ def attachment_links(spark, sf):
     return K.attachment_links(rows, "props", "k long", "k").join(docs, "target_id").select("source_id", "target_id", "relation")
 
 
+#: Relations an intent accepts, and entity types that may be found by a part of their name.
+INTENTS = [("authority", "RESPONSIBLE_FOR"), ("selection", "APPLIES_TO"), ("selection", "HAS_CODE")]
+FUZZY_TYPES = ["nation", "kind"]
+GRAPH_SQL = f"""ent AS (SELECT 'n' || n_nationkey AS entity_id, 'nation' AS entity_type, n_name AS name FROM nation UNION ALL SELECT 's' || s_suppkey, 'supplier', s_name FROM supplier
+     UNION ALL SELECT DISTINCT 'b' || p_brand, 'brand', p_brand FROM part UNION ALL SELECT DISTINCT 'k' || p_type, 'kind', p_type FROM part),
+   rel AS (SELECT 's' || s_suppkey AS source_id, 'n' || s_nationkey AS target_id, 'RESPONSIBLE_FOR' AS relation, s_suppkey::BIGINT AS chunk_id, round(0.5 + (s_suppkey % 97) / 200.0::DOUBLE, 6) AS confidence FROM supplier
+     UNION ALL SELECT 'b' || p_brand, 'k' || p_type, CASE WHEN p_partkey % 3 = 0 THEN 'APPLIES_TO' ELSE 'HAS_TABLE' END, 1000000 + p_partkey, round((p_partkey % 89) / 100.0::DOUBLE, 6) FROM part),
+   ok AS (SELECT chunk_id FROM rel WHERE chunk_id % 5 <> 0),
+   ask AS (SELECT c_custkey AS query_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'authority' WHEN 'MACHINERY' THEN 'selection' ELSE 'open' END AS intent, lower(n_name) AS nation, c_custkey % 4 AS way, (SELECT min(p_brand) FROM part) AS brand FROM customer JOIN nation ON n_nationkey = c_nationkey),
+   term AS (SELECT query_id, intent, unnest(CASE way WHEN 0 THEN [nation, 'x'] WHEN 1 THEN [substr(nation, 1, 4)] WHEN 2 THEN [brand, substr(nation, 2, 3)] ELSE ['zz', substr(nation, 1, 2)] END) AS term FROM ask),
+   names AS (SELECT DISTINCT query_id, entity_id FROM term JOIN ent ON length(term) >= 2 AND upper(regexp_replace(term, '\\s+', '', 'g')) = upper(regexp_replace(name, '\\s+', '', 'g'))),
+   ends AS (SELECT DISTINCT unnest([source_id, target_id]) AS entity_id, relation, chunk_id, confidence FROM rel SEMI JOIN ok USING (chunk_id)),
+   intents AS (SELECT * FROM (VALUES {', '.join(str(i) for i in INTENTS)}) i(intent, relation)), kinds AS (SELECT DISTINCT query_id, relation FROM ask JOIN intents USING (intent)),
+   accepted AS (SELECT query_id, entity_id, relation, chunk_id, confidence, 1 AS strict FROM ask CROSS JOIN ends WHERE intent NOT IN (SELECT intent FROM intents) OR (query_id, relation) IN (SELECT query_id, relation FROM kinds)),"""
+
+
+def graph_tier(name: str, source: str, most: int, tier: int, rows: str) -> str:
+    return f"""{name} AS (SELECT query_id, chunk_id, max(confidence) AS confidence, {tier} AS tier, row_number() OVER (PARTITION BY query_id ORDER BY max(confidence) DESC, chunk_id) AS rank
+     FROM (SELECT query_id, entity_id FROM {source} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY entity_id) <= {most}) f JOIN {rows} GROUP BY 1, 2 QUALIFY rank <= 20)"""
+
+
 @query(
     "graph_candidates",
-    """WITH q AS (SELECT s_suppkey AS query_id, CASE WHEN s_acctbal > 5000 THEN lower(n_name) ELSE substr(lower(n_name), 1, length(n_name) - 1) END AS term FROM supplier JOIN nation ON n_nationkey = s_nationkey),
-      e AS (SELECT n_nationkey AS entity_id, lower(n_name) AS name FROM nation), x AS (SELECT query_id, entity_id, 'exact' AS tier FROM q JOIN e ON term = name),
-      h AS (SELECT * FROM x UNION ALL SELECT query_id, entity_id, 'fuzzy' FROM q JOIN e ON contains(name, term) WHERE query_id NOT IN (SELECT query_id FROM x))
-      SELECT query_id, c_mktsegment AS chunk_id, max(c_acctbal) AS confidence, min(tier) AS tier FROM h JOIN customer ON c_nationkey = entity_id GROUP BY 1, 2""",
+    f"""WITH {GRAPH_SQL} {graph_tier('t1', 'names', 80, 1, 'accepted USING (query_id, entity_id)')},
+      parts AS (SELECT DISTINCT query_id, entity_id FROM term JOIN ent ON length(term) >= 2 AND contains(lower(name), lower(term)) AND entity_type IN ('nation', 'kind') WHERE query_id NOT IN (SELECT query_id FROM t1)),
+      {graph_tier('t2', 'parts', 120, 2, 'accepted USING (query_id, entity_id)')}, rest AS (SELECT * FROM parts WHERE query_id NOT IN (SELECT query_id FROM t2) AND query_id IN (SELECT query_id FROM kinds)),
+      {graph_tier('t3', 'rest', 120, 3, 'ends USING (entity_id)')} SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3""",
 )
 def graph_candidates(spark, sf):
-    nation = tables.load(spark, sf, "nation").select(F.col("n_nationkey").alias("entity_id"), F.lower("n_name").alias("name"))
-    sup = tables.load(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("entity_id"))
-    term = F.when(F.col("s_acctbal") > 5000, F.col("name")).otherwise(F.substr("name", F.lit(1), F.char_length("name") - 1))
-    rel = tables.load(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("entity_id"), F.col("c_mktsegment").alias("chunk_id")).agg(F.max("c_acctbal").alias("confidence"))
-    return K.graph_candidates(sup.select(F.col("s_suppkey").alias("query_id"), term.alias("term")), nation, rel)
+    """Exact names, parts of names, and parts of names with any relation, each for queries without a hit before."""
+    load = lambda t: tables.load(spark, sf, t)
+    node = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    part, supplier, nation = load("part"), load("supplier"), load("nation")
+    entity = lambda df, letter, key, kind, name: df.select(node(letter, key).alias("entity_id"), F.lit(kind).alias("entity_type"), F.col(name).alias("name")).distinct()
+    entities = entity(nation, "n", "n_nationkey", "nation", "n_name").unionByName(entity(supplier, "s", "s_suppkey", "supplier", "s_name")).unionByName(entity(part, "b", "p_brand", "brand", "p_brand")).unionByName(entity(part, "k", "p_type", "kind", "p_type"))
+    key = F.col("p_partkey")
+    relations = supplier.select(
+        node("s", "s_suppkey").alias("source_id"), node("n", "s_nationkey").alias("target_id"), F.lit("RESPONSIBLE_FOR").alias("relation"), F.col("s_suppkey").cast("long").alias("chunk_id"), F.round(0.5 + (F.col("s_suppkey") % 97) / 200, 6).alias("confidence")
+    ).unionByName(part.select(node("b", "p_brand").alias("source_id"), node("k", "p_type").alias("target_id"), F.when(key % 3 == 0, "APPLIES_TO").otherwise("HAS_TABLE").alias("relation"), (1000000 + key).cast("long").alias("chunk_id"), F.round((key % 89) / 100, 6).alias("confidence")))
+    brand = part.agg(F.min("p_brand").alias("brand"))
+    name, way = F.lower("n_name"), F.col("c_custkey") % 4
+    terms = (
+        F.when(way == 0, F.array(name, F.lit("x"))).when(way == 1, F.array(F.substring(name, 1, 4)))
+        .when(way == 2, F.array(F.col("brand"), F.substring(name, 2, 3))).otherwise(F.array(F.lit("zz"), F.substring(name, 1, 2)))
+    )
+    intent = F.when(F.col("c_mktsegment") == "BUILDING", "authority").when(F.col("c_mktsegment") == "MACHINERY", "selection").otherwise("open")
+    asked = load("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(brand)).select(F.col("c_custkey").alias("query_id"), intent.alias("intent"), terms.alias("terms"))
+    chunks = relations.select("chunk_id").where("chunk_id % 5 <> 0")
+    return K.graph_candidates(asked, entities, relations, chunks, spark.createDataFrame(INTENTS, "intent string, relation string"), FUZZY_TYPES, 20)
 
 
 CATALOG_SQL = """rows AS (SELECT l_orderkey AS document_id, '1.' || (l_partkey % 3) || '.' || l_linenumber AS clause_no, l_orderkey * 10 + l_linenumber AS unit_id, l_linenumber::BIGINT AS number, '1.' || (l_partkey % 3) AS parent, * FROM lineitem),
