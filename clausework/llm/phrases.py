@@ -15,8 +15,8 @@ from clausework.llm.pretokens import flat
 from clausework.scratch import materialize
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-#: Fingerprints a task gathers before it sorts and counts them, and the largest bit map of frequent ones (2^26 bits: 8 MB).
-BUFFER, MAP_BITS = 3_000_000, 26
+#: Fingerprints a task gathers before it sorts and counts them, windows hashed at once, and the largest bit map of frequent ones (2^26 bits: 8 MB).
+BUFFER, WINDOWS, MAP_BITS = 3_000_000, 1 << 15, 26
 #: Tasks among which a language's phrases are ranked before its best ones meet.
 SALTS = 64
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -40,17 +40,26 @@ _POWERS: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     """base^0 … base^(n - 1) modulo 2^64."""
     if len(_POWERS.get(base, ())) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps = np.full(max(n, 1 << 18), base, np.uint64)
         steps[0] = 1
         _POWERS[base] = np.cumprod(steps, dtype=np.uint64)
     return _POWERS[base][:n]
 
 
 def window_hashes(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial of every window [start, end) of ``values``, from differences of prefix sums scaled by inverse powers."""
+    """Polynomial of every window [start, end) of ``values`` (plus one), from differences of prefix sums scaled by inverse powers.
+
+    Windows come in order. They are handled some ten thousand at a time, so the tables of powers stay small.
+    """
     inverse = pow(base, -1, 1 << 64)
-    prefix = np.r_[np.uint64(0), np.cumsum(values * powers(inverse, len(values)), dtype=np.uint64)]
-    return (prefix[ends] - prefix[starts]) * powers(base, len(values) + 1)[ends]
+    out = np.empty(len(starts), np.uint64)
+    for i in range(0, len(starts), WINDOWS):
+        part = slice(i, i + WINDOWS)
+        first, last = starts[part][0], ends[part][-1]
+        own = values[first:last].astype(np.uint64) + np.uint64(1)
+        prefix = np.r_[np.uint64(0), np.cumsum(own * powers(inverse, len(own)), dtype=np.uint64)]
+        out[part] = (prefix[ends[part] - first] - prefix[starts[part] - first]) * powers(base, len(own) + 1)[ends[part] - first]
+    return out
 
 
 class Words:
@@ -75,7 +84,7 @@ class Words:
         codes = langs.dictionary_encode()
         self.langs = codes.dictionary.to_pylist()
         self.lang = codes.indices.to_numpy()[np.searchsorted(ends, self.starts, "right")] if len(self.starts) else np.zeros(0, np.int64)
-        self.word = mix(window_hashes(self.data.astype(np.uint64) + np.uint64(1), BYTE_BASE, self.starts, self.ends))
+        self.word = mix(window_hashes(self.data, BYTE_BASE, self.starts, self.ends))
         salts = np.array([_salt(l) for l in self.langs], np.uint64)
         self.salt = salts[self.lang] if len(self.langs) else np.zeros(0, np.uint64)
 
