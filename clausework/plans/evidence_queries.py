@@ -454,17 +454,46 @@ def scoped_frontier(spark, sf):
     return unit_frontier(spark, sf, L.top(run.scoped_scores(scope, 50), 50), scope)
 
 
+ASKED_SQL = """asked AS (SELECT query_id, list(token ORDER BY token_no) AS terms, [list(token ORDER BY token_no) FILTER (WHERE token_no <= 3), list(token ORDER BY token_no) FILTER (WHERE token_no BETWEEN 4 AND 6)] AS groups,
+         CASE query_id % 4 WHEN 0 THEN 80 WHEN 1 THEN 60 WHEN 2 THEN 30 ELSE 40 END AS recall FROM tokens GROUP BY 1
+       UNION ALL SELECT query_id + 10000, [substr(max(term), 2, 5)], [], 40 FROM terms GROUP BY 1)"""
+
+
+def full_text_score(name: str, source: str, most: str) -> str:
+    return f"""{name}_p AS (SELECT DISTINCT query_id, need, grp, document_id, unit_order, w.term, greatest(ln((n_units - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean)) AS part
+         FROM {source} w JOIN ix USING (term) JOIN dfs USING (term) JOIN dls USING (document_id, unit_order), whole),
+       {name}_s AS (SELECT query_id, document_id, unit_order, round(sum(part), 9) AS score FROM {name}_p GROUP BY query_id, need, document_id, unit_order HAVING count(DISTINCT grp) = need),
+       {name} AS (SELECT query_id, document_id, unit_order, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, unit_order) AS place FROM {name}_s) r JOIN asked USING (query_id) WHERE place <= {most})"""
+
+
 @query(
     "fts_strict",
-    f"""WITH {UNITS}, {TERMS}, g AS (SELECT query_id, token, token_no, CASE WHEN token_no <= 3 THEN 1 WHEN token_no <= 6 THEN 2 END AS grp FROM tokens WHERE token_no <= 16),
-       h AS (SELECT query_id, document_id, unit_order, count(*) AS matched, count(DISTINCT grp) AS groups FROM g JOIN unit_tokens USING (token) GROUP BY 1, 2, 3),
-       strict AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, document_id, unit_order) AS r FROM h WHERE groups = 2 QUALIFY r <= 20),
-       alls AS (SELECT h.query_id, h.document_id, h.unit_order, h.matched, CASE WHEN s.r IS NOT NULL THEN 1 ELSE 2 END AS tier FROM h LEFT JOIN strict s ON s.query_id = h.query_id AND s.document_id = h.document_id AND s.unit_order = h.unit_order)
-       SELECT query_id, document_id, unit_order, tier::BIGINT AS tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, matched DESC, document_id, unit_order) AS rank FROM alls QUALIFY rank <= 40""",
+    f"""WITH {UNITS}, {TERMS}, {ASKED_SQL},
+       tok AS (SELECT document_id, unit_order, unnest(regexp_extract_all(document_text || ' ' || heading_text || ' ' || search_text, '[a-z0-9]+')) AS term FROM units), ix AS (SELECT term, document_id, unit_order, count(*) AS tf FROM tok WHERE length(term) >= 2 GROUP BY 1, 2, 3),
+       dls AS (SELECT document_id, unit_order, sum(tf)::DOUBLE AS dl FROM ix GROUP BY 1, 2), whole AS (SELECT count(*) AS n_units, avg(dl) AS mean FROM dls), dfs AS (SELECT term, count(*) AS df FROM ix GROUP BY 1),
+       anyw AS (SELECT DISTINCT query_id, term, 0 AS grp, 1 AS need FROM (SELECT query_id, unnest(list_filter(terms, lambda t: NOT regexp_matches(t, '^[0-9ivxIVXⅠⅡⅢ]+$'))[1:16]) AS term FROM asked) a),
+       grpw AS (SELECT DISTINCT query_id, term, grp, need FROM (SELECT query_id, unnest(groups[g]) AS term, g AS grp, len(groups) AS need FROM asked, range(1, 3) r(g) WHERE len(groups) >= g) g),
+       wanted AS (SELECT * FROM grpw UNION ALL SELECT * FROM anyw WHERE query_id IN (SELECT query_id FROM asked WHERE len(groups) = 0)),
+       {full_text_score('one', 'wanted', 'least(recall, greatest(20, recall // 2))')}, {full_text_score('two', 'anyw', 'recall')},
+       found AS (SELECT query_id, document_id, unit_order, min((tier, place)) AS spot FROM (SELECT *, 1 AS tier FROM one UNION ALL SELECT *, 2 FROM two) t GROUP BY 1, 2, 3),
+       short AS (SELECT query_id, terms, recall FROM asked WHERE (SELECT count(*) FROM found f WHERE f.query_id = asked.query_id) < recall),
+       inside AS (SELECT DISTINCT query_id, recall, document_id, unit_order, length(search_text) AS size FROM (SELECT query_id, recall, unnest(terms[1:10]) AS p FROM short) s JOIN units ON contains(search_text || chr(10) || document_text || chr(10) || heading_text, p)),
+       three AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY size, document_id, unit_order) AS place FROM inside) i ANTI JOIN found USING (query_id, document_id, unit_order) WHERE place <= recall),
+       alls AS (SELECT query_id, document_id, unit_order, spot[1] AS tier, spot[2] AS place FROM found UNION ALL SELECT query_id, document_id, unit_order, 3, place FROM three)
+       SELECT query_id, document_id, unit_order, tier::BIGINT AS tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, place) AS rank FROM alls) r JOIN asked USING (query_id) WHERE rank <= recall""",
 )
 def fts_strict(spark, sf):
-    toks = L.query_tokens(L.query_terms(tables.queries(spark, sf)))
-    return L.tiered_match(toks, tables.retrieval_units(spark, sf), 40)
+    """Rule groups first, then any term, then substrings; limits by kind of question. A second query per item asks for a fragment of a word."""
+    terms = L.query_terms(tables.queries(spark, sf))
+    ordered = lambda cond: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("token_no", "token")))), lambda t: t["token"])
+    by_query = L.query_tokens(terms).groupBy("query_id").agg(ordered(F.lit(True)).alias("terms"), F.array(ordered(F.col("token_no") <= 3), ordered(F.col("token_no").between(4, 6))).alias("groups"))
+    way = F.col("query_id") % 4
+    recall = L.recall_limit(F.when(way == 0, "comparison").otherwise("answer"), F.when(way == 1, "service_materials").otherwise("other"), way == 2, F.lit(5))
+    fragments = terms.groupBy("query_id").agg(F.array(F.substring(F.max("term"), 2, 5)).alias("terms")).select(F.col("query_id") + 10000, "terms", F.array().cast("array<array<string>>").alias("groups"), F.lit(40).alias("recall"))
+    asked = by_query.select("query_id", "terms", "groups", recall.alias("recall")).union(fragments)
+    units = tables.retrieval_units(spark, sf)
+    fields = units.select(*L.UNIT, F.col("search_text").alias("text"), F.col("document_text").alias("title"), F.col("heading_text").alias("number"))
+    return L.full_text(asked, L.postings(units), fields)
 
 
 @query("candidate_frontier", f"WITH {TWO_STAGE.replace('score, matched_terms, ' + RANK, RANK)}, {frontier_sql('')}")
