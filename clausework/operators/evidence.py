@@ -51,6 +51,49 @@ def unsupported_values(claims: DataFrame, evidence: DataFrame, values: Column) -
     return found.groupBy("key", "value").agg(F.max(held).alias("held")).where("not held").select("key", "value")
 
 
+# Weights of the plan score.
+TYPE_HIT, TYPE_MISS, TERM_WEIGHTS = 3.0, 10.0, (("subject", 2.0), ("required", 2.5), ("alternative", 1.0))
+RELATION_HIT, ALL_REQUIRED, GROUP_HIT, ALL_GROUPS = 3.0, 4.0, 3.0, 8.0
+NEGATIVE_HIT, NEGATIVE_MOST, TITLE_HIT, TITLE_MISS, TABLE_HIT = 4.5, 18.0, 8.0, 6.0, 12.0
+
+
+def plan_score(candidates: DataFrame, plans: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
+    """(query_id, keys, score): how well candidate rows fit the plan of their query.
+
+    ``candidates``: query_id, keys, document_type, chunk_type, number, title, section, text. ``plans``: query_id, intent, document_types,
+    subject, required, alternative, negative, titles (arrays), groups (array of arrays), hard_scope, any_type, semantic, output_mode.
+    ``rules``: intent, grp, priority, field, pattern, delta; of a group's rules only the first that holds counts. Fields: number, title, section, text,
+    context (all three), document_type, chunk_type. A plan meets its candidates by query_id and its rules by intent; rules arrive as one list per
+    intent, so a candidate row is never multiplied.
+    """
+    listed = rules.groupBy("intent").agg(F.sort_array(F.collect_list(F.struct("grp", "priority", "field", "pattern", "delta"))).alias("rules"))
+    rows = candidates.join(plans.join(listed, "intent", "left"), "query_id")
+    context = F.concat_ws(" ", "title", "section", "text")
+    rows = rows.withColumn("context", context)
+    held = lambda names, where="context": F.size(F.filter(F.array_distinct(F.filter(names, lambda t: t != "")), lambda t: F.contains(F.col(where), t)))
+    plus = lambda cond, yes, no=0.0: F.when(cond, yes).otherwise(no)
+    types = F.when(F.size("document_types") == 0, 0.0).when(F.array_contains("document_types", F.col("document_type")), TYPE_HIT).otherwise(plus(F.col("any_type"), 0.0, -TYPE_MISS))
+    score = types
+    for name, weight in TERM_WEIGHTS:
+        score = score + weight * held(F.col(name))
+    relation = F.array_union("subject", "required")
+    every = (F.size("required") > 0) & F.forall("required", lambda t: F.contains("context", t))
+    score = score + plus(F.col("semantic"), RELATION_HIT * held(relation) + plus(every, ALL_REQUIRED))
+    met = F.size(F.filter("groups", lambda g: F.exists(g, lambda t: F.contains("context", t))))
+    score = score + GROUP_HIT * met + plus((F.size("groups") > 0) & (met == F.size("groups")), ALL_GROUPS)
+    score = score - F.least(F.lit(NEGATIVE_MOST), NEGATIVE_HIT * held(F.col("negative")))
+    titled = F.exists("titles", lambda t: F.contains("title", t))
+    score = score + F.when(F.size("titles") == 0, 0.0).when(titled, TITLE_HIT).when(F.col("hard_scope"), -TITLE_MISS).otherwise(0.0)
+    score = score + plus((F.col("output_mode") == "table") & (F.col("chunk_type") == "table"), TABLE_HIT)
+    fields = ("number", "title", "section", "text", "context", "document_type", "chunk_type")
+    value = lambda r: F.coalesce(*[F.when(r["field"] == f, F.col(f)) for f in fields], F.lit(""))
+    holds = F.filter(F.coalesce("rules", F.array().cast(dict(listed.dtypes)["rules"])), lambda r: F.contains(value(r), r["pattern"]))
+    rows = rows.select("query_id", *keys, score.alias("plain"), holds.alias("holds"))
+    # Rules are sorted by group and priority: the first that holds of each group counts.
+    first = F.filter("holds", lambda r, i: (i == 0) | (F.get("holds", i - 1)["grp"] != r["grp"]))
+    return rows.select("query_id", *keys, (F.col("plain") + F.aggregate(first, F.lit(0.0), lambda total, r: total + r["delta"])).alias("score"))
+
+
 def unverified_references(answers: DataFrame, sources: DataFrame, pattern: str) -> DataFrame:
     """(key, ref): references an answer states that its own sources do not. Both sides: key, text; compared in lower case.
 

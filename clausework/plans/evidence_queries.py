@@ -393,12 +393,61 @@ def field_heuristic_score(spark, sf):
 SCORE_RULES = [("tion", 2.0), ("ing ", 1.5), ("license", -4.5), ("eau", 1.0), ("###", -3.0)]
 
 
-@query("plan_score", f"WITH {LINES} SELECT document_id, unit_order, sum(delta) AS score, count(*) AS rules_hit FROM lines JOIN (SELECT p, d::DOUBLE AS delta FROM (VALUES {', '.join(str(r) for r in SCORE_RULES)}) r(p, d)) r ON contains(lower(text), p) GROUP BY 1, 2")
-def plan_score(spark, sf):
+@query("rule_score", f"WITH {LINES} SELECT document_id, unit_order, sum(delta) AS score, count(*) AS rules_hit FROM lines JOIN (SELECT p, d::DOUBLE AS delta FROM (VALUES {', '.join(str(r) for r in SCORE_RULES)}) r(p, d)) r ON contains(lower(text), p) GROUP BY 1, 2")
+def rule_score(spark, sf):
     rules = spark.createDataFrame(SCORE_RULES, "pattern string, delta double")
     return G.rule_score(tables.line_units(spark, sf), ["document_id", "unit_order"], "text", rules)
 
 
+SCOPE = "scope AS (SELECT item_id AS query_id, document_id, unit_order FROM benchmark JOIN (SELECT doc_id, source FROM documents) d ON source = 'src' || (length(text) % 20) JOIN units ON document_id = doc_id)"
+
+#: intent, group, priority, field, pattern, delta.
+PLAN_RULES = [
+    ("materials", 1, 1, "document_type", "fr", 18.0), ("materials", 2, 1, "section", "src1", 10.0), ("materials", 2, 2, "section", "src", 7.0), ("materials", 3, 1, "text", "license", -10.0),
+    ("procedure", 1, 1, "chunk_type", "table", 8.0), ("procedure", 2, 1, "title", "tion", 6.0), ("procedure", 2, 2, "context", "the", 2.5), ("procedure", 3, 1, "number", "-7", 5.0),
+]
+PLAN_ARRAYS = "list(token ORDER BY token_no) FILTER (WHERE token_no BETWEEN {0} AND {1})"
+
+
+@query(
+    "plan_score",
+    f"""WITH {UNITS}, {TERMS}, {SCOPE}, plan AS (SELECT query_id, CASE query_id % 3 WHEN 0 THEN 'materials' WHEN 1 THEN 'procedure' ELSE 'other' END AS intent, CASE WHEN query_id % 4 = 0 THEN ['en'] ELSE [] END AS types,
+         {PLAN_ARRAYS.format(1, 2)} AS subject, {PLAN_ARRAYS.format(2, 4)} AS required, {PLAN_ARRAYS.format(5, 6)} AS alternative, {PLAN_ARRAYS.format(7, 8)} AS more, query_id % 8 = 4 AS any_type, query_id % 5 = 1 AS semantic, query_id % 2 = 0 AS hard, query_id % 5 = 0 AS tabular FROM tokens GROUP BY 1),
+       c AS (SELECT s.query_id, u.document_id, u.unit_order, lang AS document_type, CASE WHEN contains(search_text, '|') THEN 'table' ELSE 'text' END AS chunk_type, source || '-' || u.document_id AS number, document_text AS title, heading_text AS section, search_text AS text,
+         document_text || ' ' || heading_text || ' ' || search_text AS context FROM scope s JOIN units u USING (document_id, unit_order) JOIN documents ON doc_id = u.document_id),
+       r AS (SELECT * FROM (VALUES {', '.join(str(r) for r in PLAN_RULES)}) r(intent, grp, priority, field, pattern, delta)),
+       hit AS (SELECT query_id, document_id, unit_order, grp, arg_min(delta, priority)::DOUBLE AS delta FROM c JOIN plan USING (query_id) JOIN r USING (intent)
+         WHERE contains(CASE field WHEN 'document_type' THEN document_type WHEN 'section' THEN section WHEN 'text' THEN text WHEN 'chunk_type' THEN chunk_type WHEN 'title' THEN title WHEN 'number' THEN number ELSE context END, pattern) GROUP BY 1, 2, 3, 4),
+       sums AS (SELECT query_id, document_id, unit_order, sum(delta) AS delta FROM hit GROUP BY 1, 2, 3),
+       x AS (SELECT c.*, p.* EXCLUDE (query_id), len(list_filter(coalesce(subject, []), lambda t: contains(context, t))) AS ns, len(list_filter(coalesce(required, []), lambda t: contains(context, t))) AS nr, len(list_filter(coalesce(alternative, []), lambda t: contains(context, t))) AS na,
+         len(list_filter(list_distinct(list_concat(coalesce(subject, []), coalesce(required, []))), lambda t: contains(context, t))) AS nx, contains(context, 'license')::INT + contains(context, '###')::INT AS bad, len(list_filter(coalesce(more, []), lambda t: contains(context, t))) AS nm FROM c JOIN plan p USING (query_id))
+     SELECT query_id, document_id, unit_order, CASE WHEN len(types) = 0 THEN 0.0::DOUBLE WHEN list_contains(types, document_type) THEN 3.0::DOUBLE WHEN any_type THEN 0.0::DOUBLE ELSE -10.0::DOUBLE END + 2.0::DOUBLE * ns + 2.5::DOUBLE * nr + 1.0::DOUBLE * na
+       + CASE WHEN semantic THEN 3.0::DOUBLE * nx + CASE WHEN len(coalesce(required, [])) > 0 AND nr = len(required) THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 0.0::DOUBLE END
+       + 3.0::DOUBLE * ((na > 0)::INT + (nm > 0)::INT) + CASE WHEN na > 0 AND nm > 0 THEN 8.0::DOUBLE ELSE 0.0::DOUBLE END - least(18.0::DOUBLE, 4.5::DOUBLE * bad)
+       + CASE WHEN subject IS NULL THEN 0.0::DOUBLE WHEN len(list_filter(subject, lambda t: contains(title, t))) > 0 THEN 8.0::DOUBLE WHEN hard THEN -6.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN tabular AND chunk_type = 'table' THEN 12.0::DOUBLE ELSE 0.0::DOUBLE END + coalesce(delta, 0.0::DOUBLE) AS score
+     FROM x LEFT JOIN sums USING (query_id, document_id, unit_order)""",
+)
+def plan_score(spark, sf):
+    """Units of each query's scope against its plan: types, terms, relation, evidence groups, titles, output mode and intent rules."""
+    toks = L.query_tokens(L.query_terms(tables.queries(spark, sf)))
+    take = lambda a, b: F.transform(F.sort_array(F.collect_list(F.when(F.col("token_no").between(a, b), F.struct("token_no", "token")))), lambda t: t["token"])
+    q = F.col("query_id")
+    arrays = toks.groupBy("query_id").agg(take(1, 2).alias("subject"), take(2, 4).alias("required"), take(5, 6).alias("alternative"), take(7, 8).alias("more"))
+    plans = arrays.select(
+        "query_id", "subject", "required", "alternative", F.array("alternative", "more").alias("groups"), F.array(F.lit("license"), F.lit("###")).alias("negative"), F.col("subject").alias("titles"),
+        F.when(q % 3 == 0, "materials").when(q % 3 == 1, "procedure").otherwise("other").alias("intent"), F.when(q % 4 == 0, F.array(F.lit("en"))).otherwise(F.array().cast("array<string>")).alias("document_types"),
+        (q % 8 == 4).alias("any_type"), (q % 5 == 1).alias("semantic"), (q % 2 == 0).alias("hard_scope"), F.when(q % 5 == 0, "table").otherwise("text").alias("output_mode"),
+    )
+    docs = tables.load(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "lang", "source")
+    scope = tables.queries(spark, sf).select("query_id", F.concat(F.lit("src"), F.char_length("question") % 20).alias("source")).join(docs, "source")
+    rows = scope.join(tables.retrieval_units(spark, sf), "document_id").select(
+        "query_id", "document_id", "unit_order", F.col("lang").alias("document_type"), F.when(F.contains("search_text", F.lit("|")), "table").otherwise("text").alias("chunk_type"),
+        F.concat_ws("-", "source", "document_id").alias("number"), F.col("document_text").alias("title"), F.col("heading_text").alias("section"), F.col("search_text").alias("text"),
+    )
+    rules = spark.createDataFrame(PLAN_RULES, "intent string, grp int, priority int, field string, pattern string, delta double")
+    return V.plan_score(rows, plans, rules, ["document_id", "unit_order"])
+
+
 @query(
     "rule_routes",
     f"""WITH {DOCS}, {LINES}, r AS (SELECT * FROM (VALUES ('license', 'en', 5), ('version', 'en', 3), ('eau', 'fr', 4), ('ung', 'de', 6)) r(pattern, corpus, lim)),
@@ -414,7 +463,6 @@ def rule_routes(spark, sf):
     return hits.withColumn("position", F.row_number().over(w).cast("long")).where(F.col("position") <= F.col("lim")).select(F.col("pattern").alias("rule"), "document_id", "unit_order", "position")
 
 
-SCOPE = "scope AS (SELECT item_id AS query_id, document_id, unit_order FROM benchmark JOIN (SELECT doc_id, source FROM documents) d ON source = 'src' || (length(text) % 20) JOIN units ON document_id = doc_id)"
 SCOPE_SQL = f"{UNITS}, {TERMS}, {SCOPE}, {scored('scoped', 'scope')}, lexical AS (SELECT query_id, document_id, unit_order, {RANK} AS rank FROM scoped QUALIFY rank <= 50)"
 
 
