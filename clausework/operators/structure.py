@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clausework.functions import text as T
+from clausework.scratch import materialize
 
 
 def branch_quarantine(asked: DataFrame, candidates: DataFrame, rules: DataFrame) -> DataFrame:
@@ -82,6 +85,48 @@ def concept_protection(wanted: DataFrame, found: DataFrame) -> DataFrame:
     return full.groupBy("query_id").agg(F.min(F.struct((-F.col("authority")).alias("a"), "position", "candidate_id")).alias("b")).select("query_id", F.col("b.candidate_id").alias("candidate_id"))
 
 
+def structure_pipeline(order: DataFrame, quarantined: DataFrame, packages: list[tuple[str, Callable[[DataFrame], DataFrame]]], size: int) -> DataFrame:
+    """One pool of ``size`` units per query for which packages compete in order: every candidate with its decision.
+
+    ``order``: query_id, unit_id, rank. ``quarantined``: query_id, unit_id, reason. A package maps the seed pool (query_id, unit_id) to
+    the units it reserves (query_id, unit_id, position); the seed is the clean pool and all that earlier packages reserved. A unit belongs to
+    the first package that names it. Reserved units are seated first, by package and position, up to ``size``; clean candidates fill the rest in
+    order, and the pool is returned in candidate order, units from outside it last. Decisions: ``reserved`` (with its package), ``filled``,
+    ``over_capacity`` (reserved but no seat), ``conflict`` (reserved but quarantined), ``quarantined`` (with its reason), ``displaced``
+    (in the clean pool, but its seat went to a reservation), ``left``.
+    """
+    key = ["query_id", "unit_id"]
+    by = lambda *o: W.partitionBy("query_id").orderBy(*o)
+    barred = quarantined.groupBy(*key).agg(F.min("reason").alias("reason"))
+    clean = materialize(order.join(barred, key, "left_anti").withColumn("clean_rank", F.row_number().over(by("rank"))), "clean")
+    seed = clean.where(F.col("clean_rank") <= size).select(*key)
+    reserved = None
+    for n, (name, package) in enumerate(packages):
+        rows = package(seed).groupBy(*key).agg(F.min("position").alias("position")).withColumns({"package": F.lit(name), "package_no": F.lit(n)})
+        rows = materialize(rows, "package")
+        reserved = rows if reserved is None else reserved.unionByName(rows)
+        seed = seed.unionByName(rows.select(*key)).distinct()
+    first = reserved.groupBy(*key).agg(F.min(F.struct("package_no", "position", "package")).alias("by")).select(*key, "by.*")
+    rows = order.join(first, key, "full").join(clean.select(*key, "clean_rank"), key, "left").join(barred, key, "left")
+    claims = F.col("package").isNotNull() & F.col("reason").isNull()
+    seated = rows.withColumn("claims", claims).withColumn("claim", F.row_number().over(by(F.desc("claims"), F.asc_nulls_last("package_no"), "position", "unit_id")))
+    wins = F.col("claims") & (F.col("claim") <= size)
+    fills = F.col("reason").isNull() & F.col("rank").isNotNull() & ~wins
+    seated = seated.withColumn("wins", wins).withColumn("fills", fills & ~F.col("claims"))
+    seated = seated.withColumn("seat", F.row_number().over(by(F.desc("wins"), F.desc("fills"), F.asc_nulls_last("rank"), "unit_id")))
+    pooled = (F.col("wins") | F.col("fills")) & (F.col("seat") <= size)
+    decision = (
+        F.when(F.col("reason").isNotNull(), F.when(F.col("package").isNotNull(), "conflict").otherwise("quarantined"))
+        .when(F.col("wins"), "reserved").when(F.col("claims"), "over_capacity").when(F.col("pooled"), "filled")
+        .when(F.col("clean_rank") <= size, "displaced").otherwise("left")
+    )
+    placed = seated.withColumn("pooled", pooled)
+    place = F.row_number().over(by(F.desc("pooled"), F.asc_nulls_last("rank"), F.asc_nulls_last("package_no"), "position", "unit_id"))
+    return placed.withColumn("pool_rank", F.when(F.col("pooled"), place).otherwise(0).cast("long")).select(
+        *key, decision.alias("decision"), F.coalesce("package", F.lit("")).alias("package"), F.coalesce("reason", F.lit("")).alias("reason"), "pool_rank"
+    )
+
+
 def levels_mentioned(rows: DataFrame, text: str, levels: list[tuple[str, int]], required: int) -> DataFrame:
     """Highest level a text mentions (longest names first when one name holds another) and whether it covers the required one."""
     # Longer names are blanked out once counted, so a short name inside a long one is not counted again.

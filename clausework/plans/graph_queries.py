@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from clausework import tables
 from clausework.functions import ids, text as T
@@ -287,6 +287,62 @@ def structure_packages(spark, sf):
     return X.reserve_fill(order, reserved, 4).select("query_id", "unit_id", "reserved", "pool_rank")
 
 
+PIPELINE_SQL = """u AS (SELECT l_orderkey AS query_id, l_orderkey * 10 + l_linenumber AS unit_id, l_linenumber::BIGINT AS number, l_quantity, l_returnflag AS section, l_linestatus AS branch, l_discount, l_tax, l_returnflag <> 'R' AS listed
+     FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = count(DISTINCT l_linenumber))),
+   o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY l_quantity DESC, unit_id) AS rank FROM u WHERE listed),
+   barred AS (SELECT query_id, unit_id, 'sibling_branch:' || branch AS reason FROM u WHERE query_id % 3 = 0 AND branch = 'F' AND number % 2 = 0),
+   clean AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS clean_rank FROM o ANTI JOIN barred USING (query_id, unit_id)), s0 AS (SELECT query_id, unit_id FROM clean WHERE clean_rank <= 4),
+   p0 AS (SELECT query_id, unit_id, number AS position FROM u WHERE query_id % 5 = 0 AND section = 'A'), s1 AS (SELECT * FROM s0 UNION SELECT query_id, unit_id FROM p0),
+   p1 AS (SELECT query_id, max(unit_id) AS unit_id, 1 AS position FROM u WHERE query_id IN (SELECT query_id FROM s1 WHERE unit_id % 10 = 1) GROUP BY 1), s2 AS (SELECT * FROM s1 UNION SELECT query_id, unit_id FROM p1),
+   p2 AS (SELECT u.query_id, u.unit_id, number AS position FROM u WHERE l_quantity > 25 AND (query_id, unit_id) NOT IN (SELECT (query_id, unit_id) FROM s2) AND (query_id, unit_id - 1) IN (SELECT (query_id, unit_id) FROM s2) AND (query_id, unit_id + 1) IN (SELECT (query_id, unit_id) FROM s2)), s3 AS (SELECT * FROM s2 UNION SELECT query_id, unit_id FROM p2),
+   p3 AS (SELECT query_id, arg_min(unit_id, (-l_discount, unit_id)) AS unit_id, 1 AS position FROM u WHERE l_tax >= 0.06 AND l_discount >= 0.05 GROUP BY 1), s4 AS (SELECT * FROM s3 UNION SELECT query_id, unit_id FROM p3),
+   p4 AS (SELECT query_id, unit_id, number AS position FROM u WHERE (query_id, unit_id) NOT IN (SELECT (query_id, unit_id) FROM s4) AND (query_id, section) IN (SELECT (query_id, section) FROM u SEMI JOIN s4 USING (query_id, unit_id) GROUP BY query_id, section HAVING count(*) >= 2)),
+   p5 AS (SELECT query_id, unit_id, number AS position FROM u WHERE query_id % 4 = 0 AND number IN (2, 3)),
+   claims AS (SELECT query_id, unit_id, min((no, position, package)) AS c FROM (SELECT *, 0 AS no, 'list' AS package FROM p0 UNION ALL SELECT *, 1, 'appendix' FROM p1 UNION ALL SELECT *, 2, 'gap' FROM p2 UNION ALL SELECT *, 3, 'concept' FROM p3 UNION ALL SELECT *, 4, 'section' FROM p4 UNION ALL SELECT *, 5, 'structure' FROM p5) a GROUP BY 1, 2),
+   free AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c[1], c[2], unit_id) AS claim FROM claims ANTI JOIN barred USING (query_id, unit_id)),
+   win AS (SELECT * FROM free WHERE claim <= 4), fill AS (SELECT query_id, unit_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS f FROM clean ANTI JOIN free USING (query_id, unit_id)),
+   took AS (SELECT query_id, unit_id FROM win UNION ALL SELECT query_id, unit_id FROM fill WHERE f <= 4 - (SELECT count(*) FROM win w WHERE w.query_id = fill.query_id)),
+   pool AS (SELECT t.query_id, t.unit_id, row_number() OVER (PARTITION BY t.query_id ORDER BY o.rank NULLS LAST, c[1] NULLS LAST, c[2], t.unit_id) AS pool_rank FROM took t LEFT JOIN o ON o.query_id = t.query_id AND o.unit_id = t.unit_id LEFT JOIN claims c ON c.query_id = t.query_id AND c.unit_id = t.unit_id),
+   every AS (SELECT query_id, unit_id FROM o UNION SELECT query_id, unit_id FROM claims)"""
+
+
+@query(
+    "structure_pipeline",
+    f"""WITH {PIPELINE_SQL} SELECT e.query_id, e.unit_id, CASE WHEN b.reason IS NOT NULL THEN CASE WHEN c.c IS NOT NULL THEN 'conflict' ELSE 'quarantined' END WHEN w.unit_id IS NOT NULL THEN 'reserved' WHEN c.c IS NOT NULL THEN 'over_capacity' WHEN pool_rank IS NOT NULL THEN 'filled' WHEN clean_rank <= 4 THEN 'displaced' ELSE 'left' END AS decision,
+       coalesce(c.c[3], '') AS package, coalesce(b.reason, '') AS reason, coalesce(pool_rank, 0) AS pool_rank FROM every e LEFT JOIN barred b ON b.query_id = e.query_id AND b.unit_id = e.unit_id LEFT JOIN claims c ON c.query_id = e.query_id AND c.unit_id = e.unit_id
+       LEFT JOIN win w ON w.query_id = e.query_id AND w.unit_id = e.unit_id LEFT JOIN pool p ON p.query_id = e.query_id AND p.unit_id = e.unit_id LEFT JOIN clean k ON k.query_id = e.query_id AND k.unit_id = e.unit_id""",
+)
+def structure_pipeline(spark, sf):
+    """Lists, appendices, gaps, concepts, sections and clause families compete for a pool of four; sibling branches are barred."""
+    fam = order_family(spark, sf).join(tables.load(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("unit_id"), "l_discount", "l_tax"), "unit_id")
+    units = fam.withColumnsRenamed({"document_id": "query_id", "l_returnflag": "section"})
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("l_quantity"), "unit_id"))
+    order = units.where("in_pool").select("query_id", "unit_id", rank.alias("rank"))
+    barred = units.where("query_id % 3 = 0 and l_linestatus = 'F' and number % 2 = 0").select("query_id", "unit_id", F.concat(F.lit("sibling_branch:"), "l_linestatus").alias("reason"))
+    listed = lambda cond: units.where(cond).select("query_id", "unit_id", F.col("number").alias("position"))
+    one = F.lit(1).cast("long").alias("position")
+
+    def appendix(seed):
+        asks = seed.where("unit_id % 10 = 1").select("query_id").distinct()
+        return units.join(asks, "query_id", "left_semi").groupBy("query_id").agg(F.max("unit_id").alias("unit_id")).select("query_id", "unit_id", one)
+
+    def gap(seed):
+        pool = units.join(seed, ["query_id", "unit_id"], "left_semi").withColumnRenamed("query_id", "document_id").select("document_id", "parent", "number")
+        catalog = units.withColumnRenamed("query_id", "document_id").select("document_id", "parent", "number", "unit_id", "relation_ok")
+        return S.gap_completion(pool, catalog).where("selected").select(F.col("document_id").alias("query_id"), "unit_id", F.col("number").alias("position"))
+
+    def concept(seed):
+        best = units.where("l_tax >= 0.06 and l_discount >= 0.05").groupBy("query_id").agg(F.min(F.struct((-F.col("l_discount")).alias("d"), "unit_id")).alias("b"))
+        return best.select("query_id", "b.unit_id", one)
+
+    def section(seed):
+        marked = units.join(seed.withColumn("_in", F.lit(True)), ["query_id", "unit_id"], "left")
+        return S.section_completion(marked, ["query_id", "section"], F.col("_in").isNotNull()).where("role = 'completion'").select("query_id", "unit_id", F.col("number").alias("position"))
+
+    packages = [("list", lambda seed: listed("query_id % 5 = 0 and section = 'A'")), ("appendix", appendix), ("gap", gap), ("concept", concept), ("section", section), ("structure", lambda seed: listed("query_id % 4 = 0 and number in (2, 3)"))]
+    return S.structure_pipeline(order, barred, packages, 4)
+
+
 LEVELS = [("ing", 1), ("eating", 2), ("tion", 3), ("ention", 4)]
 
 
