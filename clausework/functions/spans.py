@@ -25,15 +25,28 @@ def matches(col, pattern: str) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(pattern), F.lit(0))
 
 
+BLOCK = 64
+
+
 def spans(col, pattern: str) -> Column:
     """Array of struct(char_start, char_end, raw): offsets are zero based and end exclusive.
 
     The pieces between matches come from ``split`` with the same pattern, so the offsets follow
-    from running lengths and repeated text cannot be confused.
+    from running lengths and repeated text cannot be confused. Lengths are summed by blocks of 64 matches first, so
+    no array grows match by match over a whole text.
     """
     text = _c(col)
     found, gaps = matches(text, pattern), F.split(text, pattern)
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<char_start:int,char_end:int,raw:string>>").alias("out"))
+    kind = "array<struct<char_start:int,char_end:int,raw:string>>"
+    n = F.size(found)
+    blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    length = lambda values, b: F.aggregate(F.slice(values, b * BLOCK + 1, BLOCK), F.lit(0), lambda total, x: total + F.char_length(x))
+    before = F.aggregate(
+        blocks,
+        F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")),
+        lambda acc, b: F.struct((acc["pos"] + length(gaps, b) + length(found, b)).alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out")),
+        lambda acc: acc["out"],
+    )
 
     def step(acc, i):
         raw = F.get(found, i)
@@ -42,8 +55,11 @@ def spans(col, pattern: str) -> Column:
         item = F.struct(begin.alias("char_start"), end.alias("char_end"), raw.alias("raw"))
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(item)).alias("out"))
 
-    index = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(index, start, step, lambda acc: acc["out"])
+    def block(pos, b):
+        last = F.least(n, (b + 1) * BLOCK) - 1
+        return F.aggregate(F.sequence(b * BLOCK, last), F.struct(pos.alias("pos"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+
+    return F.flatten(F.transform(before, block))
 
 
 def measure_pattern(units=MEASURE_UNITS) -> str:

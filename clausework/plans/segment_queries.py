@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from clausework import tables
-from clausework.functions import ids, text as T
+from clausework.functions import ids, spans, text as T
 from clausework.operators import leaves as V, segment as S
 from clausework.plans.oracle import DOCS, LINES, compact
 from clausework.plans.registry import query
-from clausework.plans.text_queries import SPAN_CTE, SPAN_PATTERN
+from clausework.plans.text_queries import MEASURED_SQL, measured_texts
 
 
 def docs(spark, sf):
@@ -58,11 +58,12 @@ def greedy_pack(spark, sf):
 
 @query(
     "measurement_rows",
-    f"""WITH {SPAN_CTE} SELECT document_id, CAST(char_start AS BIGINT) AS char_start, raw_value AS raw_text,
-       'measurement-' || substr(sha1(document_id || chr(10) || char_start || chr(10) || raw_value), 1, 16) AS measurement_id FROM placed""",
+    f"""WITH {MEASURED_SQL} SELECT document_id, copy, CAST(char_start AS BIGINT) AS char_start, raw_value || unit AS raw_text,
+       'measurement-' || substr(sha1(document_id || chr(10) || copy || chr(10) || char_start || chr(10) || raw_value || unit), 1, 16) AS measurement_id FROM measured""",
 )
 def measurement_rows(spark, sf):
-    return S.measurement_rows(docs(spark, sf), ["document_id"], "text", SPAN_PATTERN)
+    """Numbers with units, one identified row each."""
+    return S.measurement_rows(measured_texts(spark, sf), ["document_id", "copy"], "text", spans.measure_pattern())
 
 
 LEAF_SQL = f"""leaf AS (SELECT document_id, unit_order, text, length(text) >= 1200 AS is_long,

@@ -10,6 +10,7 @@ from clausework.operators import evidence as V, leaves as Lv
 from clausework.plans.join_queries import REGISTRY_SQL, registry_best
 from clausework.plans.oracle import LINES
 from clausework.plans.registry import query
+from clausework.plans.text_queries import MEASURED_SQL, measured_texts
 from clausework.sources import readers
 
 HTML_TEXT = "regexp_replace(regexp_replace(regexp_replace({0}, '[ \\t\\r]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
@@ -62,10 +63,14 @@ def title_similarity(spark, sf):
     return best.select("document_id", F.round(similarity.block_ratio(a, b), 6).alias("ratio"), F.round(similarity.edit_ratio(a, b), 6).alias("edit_ratio"))
 
 
-@query("normalized_search_text")
+@query(
+    "normalized_search_text",
+    f"""WITH {MEASURED_SQL} SELECT document_id, copy, sha256(g0 || n0 || '米' || g1 || n1 || '千米' || g2 || n2 || '吨' || g3 || n3 || '毫米, 5 mg/L') AS text_hash, 4 AS measurements FROM m""",
+)
 def normalized_search_text(spark, sf):
-    docs = tables.load(spark, sf, "documents")
-    return docs.select(F.col("doc_id").alias("document_id"), ids.sha256(spans.canonical_text("text")).alias("text_hash"), F.size(spans.measurements("text")).alias("measurements"))
+    """Every measurement in canonical form, all else unchanged."""
+    texts = measured_texts(spark, sf)
+    return texts.select("document_id", "copy", ids.sha256(spans.canonical_text("text")).alias("text_hash"), F.size(spans.measurements("text")).alias("measurements"))
 
 
 @query(
@@ -109,14 +114,31 @@ def reference_follow(spark, sf):
     return joins.reference_follow(candidates, chunks)
 
 
-@query("spacing_matrix")
+@query(
+    "spacing_matrix",
+    """SELECT l_orderkey AS document_id, CASE l_linenumber % 3 WHEN 0 THEN 'Ⅰ' WHEN 1 THEN 'Ⅱ' ELSE 'Ⅲ' END AS type, i AS column_no, CASE i WHEN 0 THEN l_linenumber || '~' || (l_linenumber + 100) ELSE ((l_partkey % 50) * i)::VARCHAR END AS spacing FROM lineitem, range(0, 4) r(i) WHERE l_returnflag = 'A'""",
+)
 def spacing_matrix(spark, sf):
-    return V.spacing_matrix(tables.load(spark, sf, "documents").withColumnRenamed("doc_id", "document_id"))
+    """Lines that state four ranges for a deposit type, from line items; others state nothing."""
+    line = tables.load(spark, sf, "lineitem")
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "Ⅰ").when(F.col("l_linenumber") % 3 == 1, "Ⅱ").otherwise("Ⅲ")
+    part = lambda i: ((F.col("l_partkey") % 50) * i).cast("string")
+    stated = F.concat(kind, F.lit("类型 "), F.col("l_linenumber").cast("string"), F.lit("~"), (F.col("l_linenumber") + 100).cast("string"), *[x for i in (1, 2, 3) for x in (F.lit(" m，"), part(i))], F.lit(" m。"))
+    rows = line.select(F.col("l_orderkey").alias("document_id"), F.when(F.col("l_returnflag") == "A", stated).otherwise(F.lit("no ranges here")).alias("text"))
+    return V.spacing_matrix(rows).select("document_id", "type", F.col("column_no").cast("long").alias("column_no"), "spacing")
 
 
-@query("projection_fact")
+@query(
+    "projection_fact",
+    """SELECT l_orderkey AS document_id, CASE l_linenumber % 3 WHEN 0 THEN 'finite' WHEN 1 THEN 'infinite' ELSE 'unspecified' END AS kind, '1/' || (l_partkey % 7 + 2) AS ratio, CASE WHEN l_linenumber % 2 = 0 THEN '平推' ELSE '尖推' END AS action,
+       CASE l_linenumber % 3 WHEN 0 THEN '实际工程间距' WHEN 1 THEN '经验工程间距' ELSE '' END AS basis, CASE l_linenumber % 3 WHEN 0 THEN '有限外推按实际工程间距的' WHEN 1 THEN '无限外推取经验工程间距的' ELSE '推断取' END || '1/' || (l_partkey % 7 + 2) || CASE WHEN l_linenumber % 2 = 0 THEN '平推' ELSE '尖推' END || '。' AS segment FROM lineitem""",
+)
 def projection_fact(spark, sf):
-    return V.projection_facts(tables.load(spark, sf, "documents").withColumnRenamed("doc_id", "document_id"))
+    """Projection statements among other sentences, from line items."""
+    way, number = F.col("l_linenumber") % 3, F.col("l_linenumber")
+    head = F.when(way == 0, "有限外推按实际工程间距的").when(way == 1, "无限外推取经验工程间距的").otherwise("推断取")
+    text = F.concat(F.lit("矿体长3米。"), head, F.lit("1/"), (F.col("l_partkey") % 7 + 2).cast("string"), F.when(number % 2 == 0, "平推").otherwise("尖推"), F.lit("。其余不计。"))
+    return V.projection_facts(tables.load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), text.alias("text")))
 
 
 @query("publish_active_rules", "SELECT p_partkey AS lexicon_id, p_name AS expression, CAST(p_size AS BIGINT) AS priority FROM part WHERE p_size > 10")

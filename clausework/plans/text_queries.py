@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from clausework import tables
 from clausework.functions import ids, spans, text as T
@@ -115,11 +115,11 @@ SPAN_CTE = f"""seg AS (SELECT doc_id, regexp_extract_all(text, '{SPAN_PATTERN}')
 
 
 @query(
-    "extract_measurements",
+    "digit_spans",
     f"""WITH {SPAN_CTE} SELECT document_id, CAST(char_start AS BIGINT) AS char_start,
         CAST(char_start + length(raw_value) AS BIGINT) AS char_end, raw_value FROM placed""",
 )
-def extract_measurements(spark, sf):
+def digit_spans(spark, sf):
     docs = tables.load(spark, sf, "documents")
     found = docs.select(F.col("doc_id").alias("document_id"), F.explode(spans.spans("text", SPAN_PATTERN)).alias("s"))
     return found.select(
@@ -130,6 +130,32 @@ def extract_measurements(spark, sf):
     )
 
 
+#: Texts with units from line items: metres, kilometres, tonnes, millimetres, and a concentration that is none of them.
+MEASURED_SQL = """m AS (SELECT l_orderkey * 100 + l_linenumber AS document_id, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS copy, 'bore ' AS g0, CAST(l_quantity AS BIGINT) || '.5' AS n0, ' along ' AS g1, l_partkey::VARCHAR AS n1,
+     '，core ' AS g2, l_linenumber::VARCHAR AS n2, '; wall ' AS g3, l_suppkey::VARCHAR AS n3 FROM lineitem),
+   parts AS (SELECT *, unnest([1, 2, 3, 4]) AS i FROM m),
+   measured AS (SELECT document_id, copy, i, CASE i WHEN 1 THEN length(g0) WHEN 2 THEN length(g0 || n0 || ' m' || g1) WHEN 3 THEN length(g0 || n0 || ' m' || g1 || n1 || 'km' || g2) ELSE length(g0 || n0 || ' m' || g1 || n1 || 'km' || g2 || n2 || '吨' || g3) END AS char_start,
+     CASE i WHEN 1 THEN n0 WHEN 2 THEN n1 WHEN 3 THEN n2 ELSE n3 END AS raw_value, CASE i WHEN 1 THEN ' m' WHEN 2 THEN 'km' WHEN 3 THEN '吨' ELSE ' 毫米' END AS unit, CASE i WHEN 1 THEN 'length_metre' WHEN 2 THEN 'length_kilometre' WHEN 3 THEN 'mass_tonne' ELSE 'length_millimetre' END AS unit_key,
+     CASE i WHEN 1 THEN '米' WHEN 2 THEN '千米' WHEN 3 THEN '吨' ELSE '毫米' END AS label FROM parts)"""
+
+
+def measured_texts(spark, sf):
+    line = tables.load(spark, sf, "lineitem")
+    copy = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity"))
+    whole = lambda c: F.col(c).cast("long").cast("string")
+    text = F.concat(F.lit("bore "), whole("l_quantity"), F.lit(".5 m along "), whole("l_partkey"), F.lit("km，core "), whole("l_linenumber"), F.lit("吨; wall "), whole("l_suppkey"), F.lit(" 毫米, 5 mg/L"))
+    return line.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("document_id"), copy.cast("long").alias("copy"), text.alias("text"))
+
+
+@query(
+    "extract_measurements",
+    f"""WITH {MEASURED_SQL} SELECT document_id, copy, CAST(char_start AS BIGINT) AS char_start, CAST(char_start + length(raw_value || unit) AS BIGINT) AS char_end, raw_value || unit AS raw_text, raw_value, trim(unit) AS raw_unit, unit_key, raw_value || label AS canonical_text FROM measured""",
+)
+def extract_measurements(spark, sf):
+    found = measured_texts(spark, sf).select("document_id", "copy", F.inline(spans.measurements("text")))
+    return found.select("document_id", "copy", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), "raw_text", "raw_value", "raw_unit", "unit_key", "canonical_text")
+
+
 CLAUSE_SQL = """coalesce(nullif(regexp_extract(t, '^((?:[0-9]+|[A-Z])(?:[.．][0-9A-Z]+){0,6})(?:[ \\t]|[\\x{4e00}-\\x{9fff}（(])', 1), ''),
    nullif(regexp_extract(substr(t, 1, 100), '(?:^|[ \\t。；;，,])((?:[1-9][0-9]?|[A-Z])(?:[.．][0-9A-Z]+){1,6})[ \\t]*[\\x{4e00}-\\x{9fff}（(]', 1), ''))"""
 
