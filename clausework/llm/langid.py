@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clausework.llm.common import map_rows
 
-BUCKET_BITS = 15
+#: Buckets of an n-gram: 2^15 for up to 256 labels, fewer for more, so that the matrix stays at 64 MB.
+MOST_BITS, MATRIX_BITS = 15, 23
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 SLICE = 1 << 20
@@ -18,11 +19,15 @@ SLICE = 1 << 20
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def grams(text: str) -> np.ndarray:
+def bucket_bits(labels: int) -> int:
+    return max(4, min(MOST_BITS, MATRIX_BITS - (labels - 1).bit_length()))
+
+
+def grams(text: str, bits: int = MOST_BITS) -> np.ndarray:
     """Bucket numbers of all n-grams of one lower-cased text; ASCII characters but letters count as blanks."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
     points[(points < 128) & ((points < 97) | (points > 122))] = 32
-    shift, found, mixed = np.uint64(64 - BUCKET_BITS), [], np.zeros(len(points), np.uint64)
+    shift, found, mixed = np.uint64(64 - bits), [], np.zeros(len(points), np.uint64)
     for order in ORDERS:
         if len(points) < order:
             break
@@ -33,18 +38,19 @@ def grams(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Labels in code point order, log priors, and log probabilities by label and bucket (labels x 2**15 doubles)."""
+    """Labels in code point order, log priors, log probabilities by label and bucket, and the bits of a bucket number."""
 
     labels: tuple[str, ...]
     priors: np.ndarray
     weights: np.ndarray
+    bits: int = MOST_BITS
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Joint log probabilities of texts that hold a letter: texts x labels.
 
-        Only the n-grams present are looked up; each label's row (256 KB) stays in cache.
+        Only the n-grams present are looked up; each label's row (256 KB at most) stays in cache.
         """
-        rows = [grams(t) for t in texts]
+        rows = [grams(t, self.bits) for t in texts]
         starts = np.r_[0, np.cumsum([len(r) for r in rows])[:-1]]
         index = np.concatenate(rows)
         return np.stack([p + np.add.reduceat(w[index], starts) for p, w in zip(self.priors, self.weights)], axis=1)
@@ -55,18 +61,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_label: int = 4000, max_labels: int = 256) -> Model | None:
-    """Fit on about ``per_label`` documents of each of the ``max_labels`` commonest labels, chosen by hash.
+def train(docs: DataFrame, per_label: int = 4000) -> Model | None:
+    """Fit on about ``per_label`` documents of each label, chosen by hash. Every label can be predicted.
 
     Sampled texts are counted whole on the executors; the driver gets one sum per label and bucket.
     Returns None where nothing is labelled.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    common = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_labels).collect()
-    if not common:
+    counts = labelled.groupBy("lang").count().collect()  # one row a label
+    if not counts:
         return None
-    labels = tuple(sorted(r["lang"] for r in common))
-    count = {r["lang"]: r["count"] for r in common}
+    labels = tuple(sorted(r["lang"] for r in counts))
+    count = {r["lang"]: r["count"] for r in counts}
+    bits = bucket_bits(len(labels))
     share = F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, per_label / count[k]))])
     turn = (F.abs(F.xxhash64(F.lit("langid"), "doc_id")) % (1 << 30)) / float(1 << 30)
     sample = labelled.where(turn < share[F.col("lang")]).select("lang", "text")
@@ -76,19 +83,19 @@ def train(docs: DataFrame, per_label: int = 4000, max_labels: int = 256) -> Mode
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 if text and lang in count:
-                    own = sums.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
-                    own += np.bincount(grams(text), minlength=1 << BUCKET_BITS)
+                    own = sums.setdefault(lang, np.zeros(1 << bits, np.int64))
+                    own += np.bincount(grams(text, bits), minlength=1 << bits)
         for lang, own in sums.items():
             seen = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen)), pa.array(seen.astype(np.int32)), pa.array(own[seen])], names=["lang", "bucket", "n"])
 
     table = sample.mapInArrow(tally, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     place = {k: i for i, k in enumerate(labels)}
-    sums = np.full((len(labels), 1 << BUCKET_BITS), SMOOTHING)
+    sums = np.full((len(labels), 1 << bits), SMOOTHING)
     rows = np.array([place[k] for k in table["lang"].to_pylist()], np.int64)
     sums[rows, table["bucket"].to_numpy()] += table["n"].to_numpy()
     totals = np.array([count[k] for k in labels], float)
-    return Model(labels, np.log(totals / totals.sum()), np.log(sums / sums.sum(axis=1, keepdims=True)))
+    return Model(labels, np.log(totals / totals.sum()), np.log(sums / sums.sum(axis=1, keepdims=True)), bits)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -96,7 +103,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     A text that is null or has no letter, and any text where no model could be trained, gets ``und`` and
     score 0. Equal posteriors go to the first label in code point order. Only the text is scored; the
-    model is sent once per executor (at most 256 labels x 256 KB).
+    model is sent once per executor (64 MB at most up to half a million labels).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

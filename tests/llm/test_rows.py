@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from clausework.llm import queries
-from tests.llm.helpers import AWKWARD, LONG, SF_DIR, empty, stored_rows, table
+from tests.llm.helpers import AWKWARD, LONG, SCHEMA, SF_DIR, empty, stored_rows, table
 
 
 def by_id(df):
@@ -34,6 +34,43 @@ def test_language_query_is_right_on_held_out_documents(spark):
     assert len(held) > 20 and sum(a == b for a, b in held) / len(held) > 0.95
 
 
+def test_language_query_equals_plain_naive_bayes(spark):
+    """Counts, smoothing, priors and posteriors by dictionaries over the same buckets."""
+    import math
+    from collections import Counter
+
+    from clausework.llm.langid import SMOOTHING, grams
+
+    rows = stored_rows()
+    counts, documents = {}, Counter()
+    for i, text, lang, _ in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts.setdefault(lang, Counter()).update(grams(text or "").tolist())
+            documents[lang] += 1
+    totals = {k: sum(c.values()) + SMOOTHING * 2**15 for k, c in counts.items()}
+    out = by_id(queries.QUERIES["op1_langid"](spark, SF_DIR))
+    for i, text, *_ in rows:
+        if text and any(map(str.isalpha, text)):
+            joint = {k: math.log(documents[k] / sum(documents.values())) + sum(math.log((c[g] + SMOOTHING) / totals[k]) for g in grams(text).tolist()) for k, c in counts.items()}
+            best = max(sorted(joint), key=joint.get)
+            assert out[i]["lang_pred"] == best
+            assert abs(out[i]["score"] - 1 / sum(math.exp(v - joint[best]) for v in joint.values())) < 2e-6
+
+
+def test_language_ties_and_many_labels(spark):
+    from clausework.llm.langid import bucket_bits, predict, train
+
+    rows = [(i, "same words here", lang, "s", 15) for i, lang in enumerate(("b", "a") * 40)]
+    kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    even = min(sum(r[2] == "a" for r in kept), sum(r[2] == "b" for r in kept))
+    tied = [r for k in "ab" for r in [r for r in kept if r[2] == k][:even]]
+    docs = spark.createDataFrame(tied, SCHEMA)
+    assert {r["lang_pred"] for r in predict(docs, train(docs)).collect()} == {"a"}  # the first in code point order
+    many = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 9, f"l{i:03d}", "s", 9) for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    model = train(spark.createDataFrame(many, SCHEMA))
+    assert len(model.labels) == len(many) > 256 and model.bits == bucket_bits(len(many)) == 14
+
+
 def test_language_of_awkward_rows(spark):
     from clausework.llm.langid import predict, train
 
@@ -308,6 +345,20 @@ def test_sharding_moves_rows_only_into_the_new_shard(spark):
         assert [s for s, _ in own] == list(range(len(own))) and [i for _, i in own] == sorted(i for _, i in own)
 
 
+def test_shards_equal_a_plain_rendezvous(spark):
+    import math
+
+    def winner(key, shards):
+        scores = []
+        for shard in range(shards):
+            digest = hashlib.md5(f"shard:{shard}:{key}".encode()).hexdigest()[:13]
+            scores.append((-1.0 / math.log((int(digest, 16) + 0.5) / 16**13), -shard))
+        return -max(scores)[1]
+
+    for r in queries.QUERIES["op2_sharding"](spark, SF_DIR).collect():
+        assert (r["shard"], r["grown_shard"]) == (winner(r["doc_id"], 8), winner(r["doc_id"], 9))
+
+
 def test_sharding_by_weight_and_awkward_rows(spark):
     from pyspark.sql import functions as F
 
