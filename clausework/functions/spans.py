@@ -36,8 +36,15 @@ def spans(col, pattern: str) -> Column:
     no array grows match by match over a whole text.
     """
     text = _c(col)
-    found, gaps = matches(text, pattern), F.split(text, pattern)
-    kind = "array<struct<char_start:int,char_end:int,raw:string>>"
+    return bound(F.struct(matches(text, pattern).alias("found"), F.split(text, pattern).alias("gaps")), lambda s: _placed(s["found"], s["gaps"]))
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: an expression named inside a lambda would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _placed(found: Column, gaps: Column) -> Column:
     n = F.size(found)
     blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
     length = lambda values, b: F.aggregate(F.slice(values, b * BLOCK + 1, BLOCK), F.lit(0), lambda total, x: total + F.char_length(x))
@@ -57,7 +64,8 @@ def spans(col, pattern: str) -> Column:
 
     def block(pos, b):
         last = F.least(n, (b + 1) * BLOCK) - 1
-        return F.aggregate(F.sequence(b * BLOCK, last), F.struct(pos.alias("pos"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+        start = F.struct(pos.alias("pos"), F.array().cast("array<struct<char_start:int,char_end:int,raw:string>>").alias("out"))
+        return F.aggregate(F.sequence(b * BLOCK, last), start, step, lambda acc: acc["out"])
 
     return F.flatten(F.transform(before, block))
 
@@ -95,5 +103,5 @@ def canonical_text(col, units=MEASURE_UNITS) -> Column:
     """Text with every measurement in canonical form, for searching only."""
     pattern = measure_pattern(units)
     gaps, found = F.split(_c(col), pattern), measurements(col, units)
-    head = F.transform(found, lambda m, i: F.concat(F.get(gaps, i), m["canonical_text"]))
+    head = F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), found, lambda g, m: F.concat(g, m["canonical_text"]))
     return F.concat(F.array_join(head, ""), F.element_at(gaps, -1))

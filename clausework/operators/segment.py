@@ -92,11 +92,18 @@ def block_list(text, policy: Column) -> Column:
     cut = lambda start: F.split(body, f"\n(?={start}|{HIERARCHY})")
     blocks = F.when(policy, cut(POLICY_START)).otherwise(cut(LIST_START))
     last = lambda b: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(b, F.lit(f"(?m)^(?:{GROUP_START}).*$"), F.lit(0))), -1)
-    heads = F.transform(blocks, last)
-    carried = lambda j: F.coalesce(F.element_at(F.concat(F.array(F.lit("")), F.array_compact(F.slice(heads, F.lit(1), j + 1))), -1), F.lit(""))
-    out = F.transform(blocks, lambda b, j: F.struct(b.alias("block_text"), F.substring(carried(j), 1, 160).alias("local_heading")))
-    meaningful = F.size(F.filter(blocks, lambda b: F.char_length(T.compact(b)) >= 8))
-    return F.when((F.size(blocks) <= 50) & (meaningful >= 2), out).otherwise(F.array().cast("array<struct<block_text:string,local_heading:string>>"))
+    none = F.array().cast("array<struct<block_text:string,local_heading:string>>")
+
+    def headed(s):
+        carried = lambda j: F.coalesce(F.element_at(F.concat(F.array(F.lit("")), F.array_compact(F.slice(s["heads"], F.lit(1), j + 1))), -1), F.lit(""))
+        return F.transform(s["blocks"], lambda b, j: F.struct(b.alias("block_text"), F.substring(carried(j), 1, 160).alias("local_heading")))
+
+    def safe(b):
+        meaningful = F.size(F.filter(b, lambda x: F.char_length(T.compact(x)) >= 8))
+        named = spans.bound(F.struct(b.alias("blocks"), F.transform(b, last).alias("heads")), headed)
+        return F.when((F.size(b) <= 50) & (meaningful >= 2), named).otherwise(none)
+
+    return spans.bound(blocks, safe)
 
 
 def measurement_rows(units: DataFrame, key: list[str], text: str, pattern: str) -> DataFrame:
