@@ -133,6 +133,7 @@ def domain_gate(text: Column, abuse: list[str], strong: list[str], weak: list[st
     a, s, k = found(abuse), found(strong), found(weak)
     out = lambda ok, why, terms: F.struct(F.lit(ok).alias("allowed"), F.lit(why).alias("reason"), F.sort_array(terms).alias("terms"))
     nothing = F.array().cast("array<string>")
+    # The reason codes of the gate.
     return (
         F.when(F.trim(text) == "", out(False, "empty_question", nothing))
         .when(F.size(a) > 0, out(False, "abuse_or_prompt_injection", a))
