@@ -1,4 +1,4 @@
-"""Repeated passages by relative Lempel-Ziv parsing against an index of all earlier text."""
+"""Repeated passages: joins of winnowed blocks and windows with all earlier text, in place of a greedy relative Lempel-Ziv parse."""
 
 from __future__ import annotations
 
