@@ -117,12 +117,12 @@ def bigram_support(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def compact_sources(facts: DataFrame, limit: int = 24) -> DataFrame:
-    """Used sources renumbered by first use, at most ``limit`` per answer; facts without a source left are dropped.
+    """Used sources renumbered by first use (equal places by source), at most ``limit`` per answer; facts without a source left are dropped.
 
     ``facts``: answer_id, fact_no, source (one row per use, ``use_no`` within the fact).
     """
     first = facts.groupBy("answer_id", "source").agg(F.min(F.struct("fact_no", "use_no")).alias("place"))
-    w = W.partitionBy("answer_id").orderBy("place")
+    w = W.partitionBy("answer_id").orderBy("place", "source")
     numbered = first.withColumn("new_no", F.row_number().over(w).cast("long")).where(F.col("new_no") <= limit).drop("place")
     return facts.join(numbered, ["answer_id", "source"])
 

@@ -177,3 +177,10 @@ def test_hybrid_frontier_protects_heads_and_keeps_single_routes(spark):
     assert len(one) == 60 and all(one[u]["final_rank"] <= 20 for u in ("1:1", "2:1", "2:2", "2:3", "2:4"))
     assert math.isclose(one["1:1"]["score"], 1 / 61, abs_tol=1e-12) and one["1:1"]["dense_rank"] is None
     assert [(r["unit_id"], r["final_rank"]) for r in rows if r["query_id"] == 2] == [("9:9", 1)]
+
+
+def test_sources_first_used_at_one_place_are_numbered_by_source(spark):
+    rows = [(a, 1, 1, source) for a in range(40) for source in range(30, 0, -1)]
+    facts = spark.createDataFrame(rows, "answer_id long, fact_no long, use_no long, source long").repartition(7)
+    got = {(r["answer_id"], r["source"]): r["new_no"] for r in V.compact_sources(facts).collect()}
+    assert got == {(a, source): source for a in range(40) for source in range(1, 25)}
