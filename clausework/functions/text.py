@@ -27,6 +27,8 @@ CLAUSE_HEADINGS = (
     f"^(?:[0-9]+|[A-Z])(?:[.．][0-9A-Z]+){{0,6}}(?:[ \\t]|[{HAN}（(])",
 )
 PAGE_MARKER = "^[-—–― ]*[0-9]{1,4}[-—–― ]*$"
+#: A printed page number: a marker, or a number of any length that begins with a dash.
+PAGE_LABEL = f"{PAGE_MARKER}|^[-—–―][-—–― ]*[0-9]+[-—–― ]*$"
 OCR_MARKERS = ("一", "二", "三", "四", "五", "六", "七", "八", "九", "十")
 DOTTED_REF = "[0-9]+(?:[.][0-9]+)+"
 

@@ -66,6 +66,12 @@ def test_ocr_and_wide_pages(spark, folder):
     assert got == {"left": ("左一", "12"), "right": ("右一", None)}
 
 
+def test_page_labels_of_any_length(spark):
+    rows = [(d, 1, 0, 90, y, text, 1.0) for d, last in enumerate(("- 12345 -", "12345", "1234", "- 1.5 -")) for y, text in ((0, "x"), (9, last))]
+    pages = V.wide_page_split(spark.createDataFrame(rows, "document_id long, page_no int, x1 int, x2 int, y1 int, text string, score double"))
+    assert {r["document_id"]: (r["page_label"], r["text"]) for r in pages.collect()} == {0: ("12345", "x"), 1: (None, "x\n12345"), 2: ("1234", "x"), 3: (None, "x\n- 1.5 -")}
+
+
 def test_merged_cells_are_carried_down(spark):
     t = spark.createDataFrame([(1, "表1", [["类型", "间距"], ["Ⅰ", "100"], ["", "50"]])], "table_id long, caption string, matrix array<array<string>>")
     assert [r["leaf_text"] for r in V.table_row_leaves(t).orderBy("row_no").collect()] == ["表1\n类型：Ⅰ；间距：100", "表1\n类型：Ⅰ；间距：50"]
