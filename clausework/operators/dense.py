@@ -14,6 +14,8 @@ from clausework import scratch
 from clausework.functions import text as T, vectors as V
 
 QUERY_BLOCK, VECTOR_BLOCK, SPARSE_BLOCK = 1024, 16_384, 4096
+#: Scores that a task holds at once.
+CELLS = 1 << 20
 VECTOR_DIM = 512  # fixed value: hashed token buckets
 TOKEN_WORDS = f"[A-Z0-9]+(?:/[A-Z0-9]+)?(?:[-.][A-Z0-9]+)*|[{T.HAN}]{{2,}}"
 
@@ -60,20 +62,29 @@ def blocked_product(queries: DataFrame, vectors: DataFrame, keys: list[str], row
     def best(q: pa.Table, v: pa.Table) -> pa.Table:
         if not q.num_rows or not v.num_rows:
             return pa.table([q.column("query_id").slice(0, 0), *[v.column(c).slice(0, 0) for c in keys], pa.array([], pa.float64())], names=names)
-        scores = np.round(rows(q, "q") @ rows(v, "v").T, 9)
-        if above is not None:
-            scores = np.where(scores > above, scores, -np.inf)
+        asked, held = rows(q, "q"), rows(v, "v").T
+        ids, allowed = q.column("query_id"), None
         if scoped:
-            place = {query_id: i for i, query_id in enumerate(q.column("query_id").to_pylist())}
-            allowed = np.zeros(scores.shape, bool)
+            place = {query_id: i for i, query_id in enumerate(ids.to_pylist())}
+            allowed = np.zeros((len(asked), held.shape[1]), bool)
             for u, wanted in enumerate(v.column("scope").to_pylist()):
                 allowed[[place[w] for w in wanted if w in place], u] = True
-            scores = np.where(allowed, scores, -np.inf)
-        keep = np.isfinite(scores)
-        if scores.shape[1] > k:
-            keep &= scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        qi, ui = np.nonzero(keep)
-        return pa.table([q.column("query_id").take(pa.array(qi)), *[v.column(c).take(pa.array(ui)) for c in keys], pa.array(scores[qi, ui])], names=names)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        step = max(1, CELLS // held.shape[1])
+        for start in range(0, len(asked), step):  # a few queries at once, so that the scores need little memory
+            scores = np.round(asked[start : start + step] @ held, 9)
+            if above is not None:
+                scores[~(scores > above)] = -np.inf
+            if scoped:
+                scores[~allowed[start : start + step]] = -np.inf
+            keep = np.isfinite(scores)
+            if scores.shape[1] > k:
+                least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+                keep &= scores >= least
+            qi, ui = np.nonzero(keep)
+            found.append((qi + start, ui, scores[qi, ui]))
+        qi, ui, best_scores = (np.concatenate(c) for c in zip(*found))
+        return pa.table([ids.take(pa.array(qi)), *[v.column(c).take(pa.array(ui)) for c in keys], pa.array(best_scores)], names=names)
 
     met = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb"))
     return met.applyInArrow(best, ", ".join(["query_id long", *[f"{c} {kinds[c]}" for c in keys], "score double"]))
