@@ -245,3 +245,29 @@ def test_product_holds_few_scores_at_once(spark, monkeypatch):
     got = {(r["query_id"], r["rank"]): (r["unit_id"], r["score"]) for r in D.exact_knn(v.selectExpr("unit_id as query_id", "embedding"), v, 4, 0.1).collect()}
     want = {(q, k + 1): (u, s[q, u]) for q in range(60) for k, u in enumerate(sorted((u for u in range(60) if s[q, u] > 0.1), key=lambda u: (-s[q, u], u))[:4])}
     assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in want.items()}
+
+
+def test_merged_cells_over_ragged_rows_without_an_exchange(spark):
+    rng = random.Random(8)
+    matrix = [["h"]] + [[rng.choice(["", "", None, f"v{i}"]) for _ in range(rng.randint(0, 4))] for i in range(200)]
+    t = spark.createDataFrame([(1, "c", matrix), (2, "c", [["h"]]), (3, "c", [])], "table_id long, caption string, matrix array<array<string>>")
+    rows = Lv.table_rows(t)
+    last, want = {}, {}
+    for i, row in enumerate(matrix[1:]):
+        for j, cell in enumerate(row):
+            last[j] = cell or last.get(j)
+        if row:
+            want[(1, i)] = [last[j] or "" for j in range(len(row))]
+    assert {(r["table_id"], r["row_no"]): r["cells"] for r in rows.collect()} == want
+    assert "Exchange" not in rows._jdf.queryExecution().toString()
+
+
+def test_only_tables_and_material_rows_are_joined(spark):
+    plan = Lv.leaf_branches(spark.createDataFrame([unit(1, "clause", "x")], UNIT_SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
+
+
+def test_measurement_parts_are_computed_once():
+    from clausework.functions import spans
+
+    assert spans.canonical_text("t")._jc.toString().count("regexp_extract(") <= 2
