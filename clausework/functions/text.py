@@ -69,6 +69,11 @@ def compact(col) -> Column:
     return F.regexp_replace(F.lower(_c(col)), f"[^0-9a-z{HAN}]+", "")
 
 
+def holds_compact(col, least: int) -> Column:
+    """Whether ``compact`` text has at least ``least`` characters; reads only as far as needed."""
+    return F.lower(_c(col)).rlike(f"^(?:[^0-9a-z{HAN}]*+[0-9a-z{HAN}]){{{least}}}")
+
+
 def squeeze(col) -> Column:
     return F.regexp_replace(_c(col), "[ \\t\\r\\n]+", "")
 
@@ -258,7 +263,7 @@ def unstructured_table_flag(col) -> Column:
     parts = F.filter(F.transform(lines(col), lambda s: F.trim(s)), lambda s: s != "")
     n = F.size(parts)
     numeric = F.size(F.filter(parts, lambda s: s.rlike("^[-+<≥≤~～—./0-9%°℃mMkKgGtTPa]+$")))
-    short = F.size(F.filter(parts, lambda s: F.char_length(compact(s)) <= 6))
+    short = F.size(F.filter(parts, lambda s: ~holds_compact(s, 7)))
     caption = F.exists(parts, lambda s: s.rlike("^(?:表|续表)[ \\t]*[A-Za-z0-9]"))
     return _is((n > 0) & (caption | ((n >= 30) & ((numeric / n >= 0.20) | (short / n >= 0.55)))))
 

@@ -99,7 +99,7 @@ def block_list(text, policy: Column) -> Column:
         return F.transform(s["blocks"], lambda b, j: F.struct(b.alias("block_text"), F.substring(carried(j), 1, 160).alias("local_heading")))
 
     def safe(b):
-        meaningful = F.size(F.filter(b, lambda x: F.char_length(T.compact(x)) >= 8))
+        meaningful = F.size(F.filter(b, lambda x: T.holds_compact(x, 8)))
         named = spans.bound(F.struct(b.alias("blocks"), F.transform(b, last).alias("heads")), headed)
         return F.when((F.size(b) <= 50) & (meaningful >= 2), named).otherwise(none)
 

@@ -99,3 +99,10 @@ def test_projection_and_spacing(spark):
     facts = V.projection_facts(df).collect()
     assert [(f["kind"], f["ratio"], f["action"], f["basis"]) for f in facts] == [("finite", "1/4", "平推", "实际工程间距"), ("infinite", "1/2", "尖推", "经验工程间距")]
     assert [r["spacing"] for r in V.spacing_matrix(df).orderBy("column_no").collect()] == ["100~200", "50", "80", "40"]
+
+
+def test_compact_length_without_replacing(spark):
+    texts = ["", "a", "ab-c d.e", "\n\n地质 A1\n b", "É é - - -", "x" * 9, "1 2 3 4 5 6 7 8", " 1 2 3 4 5 6 7"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(*[(T.holds_compact("t", n) == (F.char_length(T.compact("t")) >= n)).alias(f"n{n}") for n in (1, 5, 7, 8)])
+    assert all(all(r) for r in rows.collect())
+    assert "regexp_replace" not in S.block_list("t", F.lit(True))._jc.toString()
