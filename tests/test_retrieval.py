@@ -219,3 +219,18 @@ def test_exit_times_equal_the_chain():
                     until = t + 7
             i = int((breaks < entry).sum())
             assert (exits[i] if i < len(exits) else entry) == until
+
+
+def test_wide_rows_are_stored_in_small_row_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from clausework import scratch
+
+    wide = spark.range(12, numPartitions=1).withColumn("x", F.expr("transform(sequence(1, 600000), i -> xxhash64(id, i))"))
+    scratch.materialize(wide, "wide", **scratch.WIDE_ROWS)
+    newest = max(glob.glob(f"{scratch.shared_folder(spark)}/wide-*/*.parquet".replace("file:", "")))
+    groups = pq.ParquetFile(newest).metadata
+    assert max(groups.row_group(i).total_byte_size for i in range(groups.num_row_groups)) < 40 << 20
