@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -40,6 +41,14 @@ def sparse_rows(table: pa.Table, name: str) -> np.ndarray:
     return out
 
 
+def _shared_numbers(q: pa.Table, v: pa.Table, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes at one place of both blocks as small numbers: equal codes, equal numbers."""
+    codes = [pc.list_element(t.column("codes"), at).to_numpy() for t in (q, v)]
+    distinct, number = np.unique(np.concatenate(codes), return_inverse=True)
+    number = number.astype(np.uint8 if len(distinct) <= 256 else np.uint16)  # a block has fewer rows than 2^16
+    return number[: q.num_rows], number[q.num_rows :]
+
+
 def blocked_product(queries: DataFrame, vectors: DataFrame, keys: list[str], rows, k: int, above: float | None, block: int) -> DataFrame:
     """Best ``k`` rows of ``vectors`` (``keys``, v) for each query (query_id, q) by inner product: (query_id, keys, score), ties included per block.
 
@@ -47,15 +56,15 @@ def blocked_product(queries: DataFrame, vectors: DataFrame, keys: list[str], row
     each vector block in one group of bounded size, which multiplies the two and keeps its own top k (ties
     included); so at most k rows per query and vector block reach the ranking shuffle. Blocks of queries
     are copied once per vector block, a few hundredths of the vectors' own bytes. If ``vectors`` has a column ``scope``,
-    only the queries listed there may find the row.
+    only the queries listed there may find the row. If both have a column ``codes``, only rows that share a code at one place may meet.
     """
     query_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     vector_blocks = max(1, math.ceil(vectors.count() / block))
-    scoped = "scope" in vectors.columns
+    scoped, coded = "scope" in vectors.columns, "codes" in vectors.columns
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda names, n: F.pmod(F.xxhash64(*names), F.lit(n)).cast("int")
-    left = queries.select("query_id", "q", own(["query_id"], query_blocks).alias("qb"), every(vector_blocks).alias("vb"))
-    right = vectors.select(*keys, "v", *["scope"] * scoped, own(keys, vector_blocks).alias("vb"), every(query_blocks).alias("qb"))
+    left = queries.select("query_id", "q", *["codes"] * coded, own(["query_id"], query_blocks).alias("qb"), every(vector_blocks).alias("vb"))
+    right = vectors.select(*keys, "v", *["scope"] * scoped, *["codes"] * coded, own(keys, vector_blocks).alias("vb"), every(query_blocks).alias("qb"))
     kinds = dict(vectors.dtypes)
     names = ["query_id", *keys, "score"]
 
@@ -69,6 +78,7 @@ def blocked_product(queries: DataFrame, vectors: DataFrame, keys: list[str], row
             allowed = np.zeros((len(asked), held.shape[1]), bool)
             for u, wanted in enumerate(v.column("scope").to_pylist()):
                 allowed[[place[w] for w in wanted if w in place], u] = True
+        met = [_shared_numbers(q, v, t) for t in range(len(q.column("codes")[0]))] if coded else []
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         step = max(1, CELLS // held.shape[1])
         for start in range(0, len(asked), step):  # a few queries at once, so that the scores need little memory
@@ -77,6 +87,11 @@ def blocked_product(queries: DataFrame, vectors: DataFrame, keys: list[str], row
                 scores[~(scores > above)] = -np.inf
             if scoped:
                 scores[~allowed[start : start + step]] = -np.inf
+            if coded:
+                near = np.zeros(scores.shape, bool)
+                for a, b in met:
+                    near |= a[start : start + step, None] == b
+                scores[~near] = -np.inf
             keep = np.isfinite(scores)
             if scores.shape[1] > k:
                 least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
@@ -86,8 +101,8 @@ def blocked_product(queries: DataFrame, vectors: DataFrame, keys: list[str], row
         qi, ui, best_scores = (np.concatenate(c) for c in zip(*found))
         return pa.table([ids.take(pa.array(qi)), *[v.column(c).take(pa.array(ui)) for c in keys], pa.array(best_scores)], names=names)
 
-    met = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb"))
-    return met.applyInArrow(best, ", ".join(["query_id long", *[f"{c} {kinds[c]}" for c in keys], "score double"]))
+    pairs = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb"))
+    return pairs.applyInArrow(best, ", ".join(["query_id long", *[f"{c} {kinds[c]}" for c in keys], "score double"]))
 
 
 def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None, dims: slice = slice(None)) -> DataFrame:
@@ -105,17 +120,18 @@ def rank_by_score(rows: DataFrame, k: int) -> DataFrame:
 def lsh_knn(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 12, width: int = 3, bucket: float = 0.5) -> DataFrame:
     """Approximate neighbours: candidates agree on ``width`` random projections in one of ``tables`` keys.
 
-    Candidate pairs are reduced to distinct ids before vectors are attached and scored exactly.
+    The keys of a row stay with it as ``tables`` codes. Blocks of queries meet blocks of vectors, where only rows that share a code are
+    ranked, so that no candidate pair leaves a task: what is shuffled grows with rows and blocks, not with candidates.
     """
     normed = lambda df: df.withColumn("embedding", V.l2_normalize("embedding", 64)).where("embedding is not null").withColumn("v", array_to_vector("embedding"))
     q, v = normed(queries), normed(vectors)
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables * width, seed=7).fit(v)
-    # ``width`` neighbouring hashes make one key.
-    keys = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.concat_ws(":", t.cast("string"), F.array_join(F.slice("f", t * width + 1, width), ",")))
-    hashed = lambda df, cols: model.transform(df).select(*cols, F.split(F.regexp_replace(F.col("h").cast("string"), "[\\[\\] ]", ""), ",").alias("f")).select(*cols, F.explode(keys).alias("key"))
-    pairs = hashed(q, ["query_id"]).join(hashed(v, ["unit_id"]), "key").select("query_id", "unit_id").distinct()
-    scored = pairs.join(q.select("query_id", F.col("embedding").alias("q")), "query_id").join(v.select("unit_id", "document_id", "embedding"), "unit_id")
-    return rank_by_score(scored.select("query_id", "unit_id", "document_id", F.round(V.dot("q", "embedding"), 9).alias("score")), k)
+    # ``width`` neighbouring hashes make one code.
+    codes = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.xxhash64(F.array_join(F.slice("f", t * width + 1, width), ","))).alias("codes")
+    hashed = lambda df, *cols: model.transform(df).select(*cols, F.split(F.regexp_replace(F.col("h").cast("string"), "[\\[\\] ]", ""), ",").alias("f")).select(*[F.col(c).alias({"embedding": "q" if df is q else "v"}.get(c, c)) for c in cols], codes)
+    left = scratch.materialize(hashed(q, "query_id", "embedding"), "coded")
+    right = scratch.materialize(hashed(v, "unit_id", "document_id", "embedding"), "coded")
+    return rank_by_score(blocked_product(left, right, ["unit_id", "document_id"], dense_rows(slice(None)), k, None, VECTOR_BLOCK), k)
 
 
 def vector_tokens(col):
