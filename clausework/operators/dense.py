@@ -17,6 +17,8 @@ from clausework.functions import text as T, vectors as V
 QUERY_BLOCK, VECTOR_BLOCK, SPARSE_BLOCK = 1024, 16_384, 4096
 #: Scores that a task holds at once.
 CELLS = 1 << 20
+#: Characters of text whose tokens a task counts.
+TASK_CHARS = 2 << 20
 VECTOR_DIM = 512  # fixed value: hashed token buckets
 TOKEN_WORDS = f"[A-Z0-9]+(?:/[A-Z0-9]+)?(?:[-.][A-Z0-9]+)*|[{T.HAN}]{{2,}}"
 
@@ -149,9 +151,12 @@ def vector_tokens(col):
 def hash_buckets(units: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Raw bucket weights (keys, idx, x): 1 + ln(count) per token, summed where tokens share a bucket.
 
-    Texts are dealt out by key once; counting, bucket sums and the norm then need no further exchange.
+    Texts are dealt out by key once; counting, bucket sums and the norm then need no further exchange. Their number of
+    partitions follows from the length of all texts, so that what a task counts does not grow with the input.
     """
-    counts = units.select(*keys, T._c(text).alias("_text")).repartition(*keys).select(*keys, F.explode(vector_tokens("_text")).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
+    texts = units.select(*keys, T._c(text).alias("_text"))
+    parts = math.ceil((texts.agg(F.sum(F.char_length("_text"))).first()[0] or 1) / TASK_CHARS)
+    counts = texts.repartition(max(parts, units.sparkSession.sparkContext.defaultParallelism), *keys).select(*keys, F.explode(vector_tokens("_text")).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
     idx = (F.conv(F.substring(F.sha1("token"), 1, 8), 16, 10).cast("long") % VECTOR_DIM).alias("idx")
     return counts.select(*keys, idx, (1.0 + F.log(F.col("n").cast("double"))).alias("x")).groupBy(*keys, "idx").agg(F.sum("x").alias("x"))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from clausework.operators import dense as D
+from clausework.operators import dense as D, lexical as L
 
 
 def test_lsh_shuffles_rows_and_no_candidate_pairs(spark, monkeypatch):
@@ -18,3 +18,12 @@ def test_lsh_shuffles_rows_and_no_candidate_pairs(spark, monkeypatch):
     assert len(set(got.items()) & set(exact.items())) >= 0.9 * len(exact)
     # a key so wide that only equal vectors share it
     assert {(r["query_id"], r["unit_id"]) for r in D.lsh_knn(q, v, 5, tables=2, width=40, bucket=0.01).collect()} == {(n, n) for n in range(0, 60, 4)}
+
+
+def test_hashed_tokens_are_counted_in_tasks_of_bounded_text(spark, monkeypatch):
+    texts = spark.createDataFrame([(i % 40, f"alpha beta{i} beta{i} GAMMA-7 {'x' * 20}") for i in range(80)] + [(99, None)], "document_id long, text string")
+    want = {(r["document_id"], r["idx"]): round(r["x"], 9) for r in D.hash_buckets(texts, ["document_id"], "text").collect()}
+    monkeypatch.setattr(D, "TASK_CHARS", 50)
+    held = D.hash_buckets(texts, ["document_id"], "text")
+    assert held.rdd.getNumPartitions() >= 60
+    assert {(r["document_id"], r["idx"]): round(r["x"], 9) for r in held.collect()} == want
