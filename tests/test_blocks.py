@@ -27,3 +27,30 @@ def test_hashed_tokens_are_counted_in_tasks_of_bounded_text(spark, monkeypatch):
     held = D.hash_buckets(texts, ["document_id"], "text")
     assert held.rdd.getNumPartitions() >= 60
     assert {(r["document_id"], r["idx"]): round(r["x"], 9) for r in held.collect()} == want
+
+
+def some_units(spark):
+    words = ["alpha", "beta", "xalphax", "gamma7", "12", "beta-alpha", "q"]
+    rows = [(i % 9, i // 9, " ".join(words[(i * 3 + j * j) % 7] for j in range(4)), "head" if i % 5 else "beta", f"doc {i}") for i in range(45)]
+    return rows, spark.createDataFrame(rows, "document_id long, unit_order long, search_text string, heading_text string, document_text string")
+
+
+def test_candidates_leave_their_task_only_as_results(spark, monkeypatch):
+    monkeypatch.setattr(L, "QUERY_BLOCK", 1)
+    rows, units = some_units(spark)
+    asked = spark.createDataFrame([(1, "Beta 12"), (2, "alpha"), (3, "nowhere"), (4, "head doc")], "query_id long, question string")
+    want = {(q, d, u) for q, toks in ((1, {"beta", "12"}), (2, {"alpha"}), (4, {"head", "doc"})) for d, u, *texts in rows if toks & set(" ".join(texts).replace("-", " ").split())}
+    found = L.Lexical(asked, units).candidates()
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert sorted(map(tuple, L.Lexical(asked, units.unionByName(units)).candidates().collect())) == sorted(want)
+
+
+def test_field_scores_do_not_copy_texts_by_gram(spark):
+    rows = spark.createDataFrame([(1, "a-1", "alpha beta", "s", "one alphabet of beta", False), (2, "beta-2", None, "s", "x y", False), (2, "b-2", "t", "s", "of beta", False)], "document_id long, number string, title string, section string, body string, tabular boolean")
+    asked = spark.createDataFrame([(7, "q"), (8, "q")], "query_id long, question string")
+    terms = spark.createDataFrame([(7, "alpha"), (7, "beta"), (8, "of beta"), (8, "none")], "query_id long, term string")
+    found = L.field_score(asked, terms, rows.where("number <> 'b-2'"), ("license",), "table")
+    assert {(r["query_id"], r["document_id"]): r["score"] for r in found.collect()} == {(7, 1): 10.0, (7, 2): 5.0, (8, 1): 1.0}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "_gram" not in plan
