@@ -32,8 +32,7 @@ def multigram_index(spark, sf):
 
 @query("fts_candidates", f"WITH {UNITS}, {TERMS} SELECT query_id, document_id, unit_order FROM cands")
 def fts_candidates(spark, sf):
-    terms = L.query_terms(tables.queries(spark, sf))
-    return L.candidates(L.query_tokens(terms), L.unit_tokens(tables.retrieval_units(spark, sf)))
+    return run(spark, sf).candidates()
 
 
 @query(
