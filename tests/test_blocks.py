@@ -54,3 +54,29 @@ def test_field_scores_do_not_copy_texts_by_gram(spark):
     assert {(r["query_id"], r["document_id"]): r["score"] for r in found.collect()} == {(7, 1): 10.0, (7, 2): 5.0, (8, 1): 1.0}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "_gram" not in plan
+
+
+def test_full_text_reads_the_index_once_and_ranks_inside_parts(spark, monkeypatch):
+    monkeypatch.setattr(L, "QUERY_BLOCK", 1)
+    rows, units = some_units(spark)
+    fields = units.selectExpr("document_id", "unit_order", "search_text as text", "document_text as title", "heading_text as number")
+    asked = spark.createDataFrame([(1, [["beta"], ["alpha", "12"]], ["beta", "alpha"], 30), (2, [], ["amma"], 3), (3, [], ["c 3"], 40)], "query_id long, groups array<array<string>>, terms array<string>, recall int")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    index = L.postings(units)
+    n = index.count()
+    got = {}
+    for r in L.full_text(asked, index.mapInArrow(seen, index.schema), fields.unionByName(fields)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["tier"], r["document_id"], r["unit_order"]))
+    assert read.value == n
+    tokens = {(d, u): set(" ".join(t).replace("-", " ").split()) for d, u, *t in rows}
+    assert {r[2:] for r in got[1] if r[1] == 1} <= {k for k, t in tokens.items() if "beta" in t and t & {"alpha", "12"}}
+    assert sum(r[1] == 1 for r in got[1]) == min(20, sum("beta" in t and bool(t & {"alpha", "12"}) for t in tokens.values()))
+    inside = sorted((len(t[0]), d, u) for d, u, *t in rows if any("amma" in x for x in t))
+    assert [r[2:] for r in sorted(got[2])] == [k[1:] for k in inside[:3]]
+    assert {r[2:] for r in got[3]} == {(d, u) for d, u, *t in rows if "c 3" in t[2]}
