@@ -20,6 +20,17 @@ def rule_rows(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return per_row.join(need, "intent").where(F.col("hit") == F.col("need"))
 
 
+def best_shared_words(units: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """(query_id, document_id, unit_order, score, rank) like ``document_parts.best_units``, where a unit may stand in several rows.
+
+    ``units``: document_id, unit_order, words; ``queries``: query_id, words.
+    """
+    split = lambda df: df.withColumn("word", F.explode("words")).drop("words").distinct()
+    hits = split(queries).join(split(units), "word").groupBy("query_id", "document_id", "unit_order").agg(F.count("*").alias("score"))
+    w = W.partitionBy("query_id", "document_id").orderBy(F.desc("score"), "unit_order")
+    return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most)
+
+
 def sufficiency(hits: DataFrame, targets: DataFrame, comparison: Column) -> DataFrame:
     """Per query: direct hits, documents, missing targets, and whether the evidence suffices.
 
