@@ -27,8 +27,8 @@ from clausework.llm.common import lists, map_rows
 from clausework.llm.pretokens import character_classes, cut_texts, flat
 from clausework.scratch import materialize
 
-#: Words of the lexicon, and documents whose words are counted for it (chosen by hash). Both bound speed, never results.
-WORDS, SAMPLE_DOCUMENTS = 65_536, 20_000
+#: Words of the lexicon. Bounds speed, never results.
+WORDS = 65_536
 #: Bytes from which a match is merged alone by a queue instead of with the others in rounds.
 LONG = 256
 NONE = np.iinfo(np.int64).max
@@ -307,8 +307,8 @@ def open_lexicon(path: str) -> Lexicon:
     return Lexicon(int(longest[0]), IntTable(keys, values), final != 0, first, ids)
 
 
-def frequent_words(docs: DataFrame, path: str, text: str = "text", words: int = WORDS, documents: int = SAMPLE_DOCUMENTS) -> list[bytes]:
-    """At most ``words`` matches, the most frequent ones of about ``documents`` texts chosen by hash.
+def frequent_words(docs: DataFrame, path: str, text: str = "text", words: int = WORDS) -> list[bytes]:
+    """At most ``words`` matches, the most frequent ones of all texts.
 
     The least number of times is read off a histogram first, so no more than ``words`` rows reach the driver.
     """
@@ -318,9 +318,7 @@ def frequent_words(docs: DataFrame, path: str, text: str = "text", words: int =
         times = np.bincount(pieces.indices.to_numpy(), minlength=len(pieces.dictionary))
         return pa.RecordBatch.from_arrays([pieces.dictionary, pa.array(times.astype(np.int64))], names=["word", "times"])
 
-    share = documents / max(documents, docs.count())
-    drawn = docs.select(text).where(F.col(text).isNotNull() & (F.abs(F.xxhash64(text) % 1_000_000) < int(share * 1_000_000)))
-    counts = map_rows(drawn, text, count, "word binary, times long").where("length(word) <= 64").groupBy("word").agg(F.sum("times").alias("times"))
+    counts = map_rows(docs.select(text).where(F.col(text).isNotNull()), text, count, "word binary, times long").where("length(word) <= 64").groupBy("word").agg(F.sum("times").alias("times"))
     counts = materialize(counts, "words")
     least, total = 1, 0
     for times, n in sorted(map(tuple, counts.groupBy("times").count().collect()), reverse=True):  # few rows: the sum of all different times is at most that of the words
@@ -390,8 +388,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", **bounds) -
     """Ids of every whole text with the digests of ids and of the decoded text, one row per input row.
 
     Null text is the empty text, which has no ids; the added token's name in a text is that token. Repeated
-    rows stay, a null doc_id stays null, other columns are not read. Two passes over the rows without a shuffle of texts: one over a bounded
-    sample for the lexicon, one that encodes. The lexicon never changes a result. Columns: doc_id, ids, n_tokens,
+    rows stay, a null doc_id stays null, other columns are not read. Two passes over the rows without a shuffle of texts: one counts
+    the words for the lexicon, one encodes. The lexicon never changes a result. Columns: doc_id, ids, n_tokens,
     ids_sha256, decoded_sha256.
     """
     name = distribute(docs, path, text=text, **bounds)
