@@ -1,12 +1,14 @@
-"""Small gradient-boosted trees for binary labels, fitted on a bounded sample on the driver."""
+"""Small gradient-boosted trees for binary labels, grown from histograms that may be added over any number of rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 
 BINS = 32
+QUANTILES = np.linspace(0, 1, BINS)[1:-1]
 
 
 @dataclass(frozen=True)
@@ -33,48 +35,91 @@ def logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, ridge: float = 1.0) -> Trees:
-    """Newton boosting on the logistic loss with histogram splits; deterministic."""
-    edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS)[1:-1])) for c in x.T]
-    binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)], axis=1)
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    base = float(np.log(share / (1 - share)))
-    margin, inner = np.full(len(y), base), 2**depth - 1
-    features, cuts, leaves = [], [], []
+#: Gradients are added as whole multiples of its reciprocal, so that sums do not depend on their order.
+SCALE = 1 << 24
+
+
+def cut_points(x: np.ndarray) -> list[np.ndarray]:
+    """Edges of the bins of each feature."""
+    return [np.unique(np.quantile(c, QUANTILES)) for c in x.T]
+
+
+def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)], axis=1).astype(np.uint8)
+
+
+def histograms(bins: np.ndarray, y: np.ndarray, times: np.ndarray, trees: Trees, feature: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
+    """Sums of first and second derivatives under ``trees`` by node of ``level`` of the tree in growth, feature and bin. Rows count ``times``; cuts are bins."""
+    p = logistic(trees.margin(bins))
+    row, node = np.arange(len(y)), np.zeros(len(y), np.int64)
+    for _ in range(level):
+        node = 2 * node + 1 + (bins[row, feature[node]] > cut[node])
+    width, wide = 2**level, bins.shape[1]
+    key = (((node - width + 1)[:, None] * wide + np.arange(wide)) * BINS + bins).ravel()
+    sums = [np.bincount(key, np.repeat(np.rint(d * SCALE) * times, wide), width * wide * BINS) for d in (y - p, p * (1 - p))]
+    return np.stack(sums).reshape(2, width, wide, BINS)
+
+
+def grow(edges: list[np.ndarray], share: float, summed: Callable[..., np.ndarray], rounds: int = 40, depth: int = 3, rate: float = 0.3, ridge: float = 1.0) -> Trees:
+    """Newton boosting on the logistic loss with histogram splits; deterministic.
+
+    ``share`` of the rows is positive; ``summed(trees, feature, cut, level)`` gives ``histograms`` added over all rows.
+    """
+    share = min(max(share, 1e-3), 1 - 1e-3)
+    base, inner = float(np.log(share / (1 - share))), 2**depth - 1
+    features, cuts, leaves = np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1))
     for _ in range(rounds):
-        p = logistic(margin)
-        g, h = y - p, p * (1 - p)
-        node, feature, cut = np.zeros(len(y), np.int64), np.zeros(inner, np.int64), np.full(inner, np.inf)
+        feature, cut, leaf = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(inner + 1)
         for level in range(depth):
-            first, width = 2**level - 1, 2**level
-            best = np.full(width, 1e-9)
-            for f in range(x.shape[1]):
-                key = (node - first) * BINS + binned[:, f]
-                gs = np.bincount(key, g, width * BINS).reshape(width, BINS).cumsum(axis=1)
-                hs = np.bincount(key, h, width * BINS).reshape(width, BINS).cumsum(axis=1)
-                gl, hl, gt, ht = gs[:, :-1], hs[:, :-1], gs[:, -1:], hs[:, -1:]
-                gain = gl**2 / (hl + ridge) + (gt - gl) ** 2 / (ht - hl + ridge) - gt**2 / (ht + ridge)
-                gain[:, len(edges[f]) :] = 0
-                at = gain.argmax(axis=1)
-                for n in np.flatnonzero(gain[np.arange(width), at] > best):
-                    best[n], feature[first + n], cut[first + n] = gain[n, at[n]], f, edges[f][at[n]]
-            node = 2 * node + 1 + (x[np.arange(len(y)), feature[node]] > cut[node])
-        leaf = rate * np.bincount(node - inner, g, inner + 1) / (np.bincount(node - inner, h, inner + 1) + ridge)
-        margin = margin + leaf[node - inner]
-        features.append(feature), cuts.append(cut), leaves.append(leaf)
-    return Trees(base, np.array(features), np.array(cuts), np.array(leaves))
-
-
-def calibrate(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic curve from margins to probabilities (Platt), by Newton steps."""
+            g, h = summed(Trees(base, features, cuts, leaves), feature, cut, level).cumsum(axis=-1) / SCALE
+            gl, hl, gt, ht = g[..., :-1], h[..., :-1], g[..., -1:], h[..., -1:]
+            gain = gl**2 / (hl + ridge) + (gt - gl) ** 2 / (ht - hl + ridge) - gt**2 / (ht + ridge)
+            for f, e in enumerate(edges):
+                gain[:, f, len(e) :] = 0
+            for n in range(2**level):
+                f, at = np.unravel_index(gain[n].argmax(), gain[n].shape)
+                left = (g[n, 0, -1], h[n, 0, -1])
+                if gain[n, f, at] > 1e-9:
+                    feature[2**level - 1 + n], cut[2**level - 1 + n], left = f, at, (g[n, f, at], h[n, f, at])
+                if level == depth - 1:
+                    leaf[2 * n] = rate * left[0] / (left[1] + ridge)
+                    leaf[2 * n + 1] = rate * (g[n, 0, -1] - left[0]) / (h[n, 0, -1] - left[1] + ridge)
+        features, cuts, leaves = np.vstack([features, feature]), np.vstack([cuts, cut]), np.vstack([leaves, leaf])
+    values = np.array([[edges[f][int(c)] if np.isfinite(c) else np.inf for f, c in zip(*tree)] for tree in zip(features, cuts)]).reshape(cuts.shape)
+    return Trees(base, features, values, leaves)
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> Trees:
+    """Trees grown on rows at hand."""
+    edges = cut_points(x)
+    bins = binned(x, edges)
+    return grow(edges, float(y.mean()), lambda *tree: histograms(bins, y, np.ones(len(y)), *tree))
+
+
+def platt(positive: float, negative: float, summed: Callable[[float, float, float, float], np.ndarray], steps: int = 50) -> tuple[float, float]:
+    """Slope and offset of a logistic curve from margins to probabilities (Platt), by Newton steps.
+
+    ``summed(a, b, high, low)`` adds over all rows, with p the curve's value, d the target (``high`` or ``low``) less p, w = p(1-p)
+    and m the margin: d*m, d, w*m*m, w*m and w.
+    """
     a, b = 1.0, 0.0
-    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    high, low = (positive + 1) / (positive + 2), 1 / (negative + 2)
     for _ in range(steps):
-        p = logistic(a * margin + b)
-        d, w = target - p, p * (1 - p)
-        hessian = np.array([[(w * margin**2).sum(), (w * margin).sum()], [(w * margin).sum(), w.sum()]]) + 1e-6 * np.eye(2)
-        step = np.clip(np.linalg.solve(hessian, [(d * margin).sum(), d.sum()]), -1, 1)
+        dm, d, wmm, wm, w = summed(a, b, high, low)
+        hessian = np.array([[wmm, wm], [wm, w]]) + 1e-6 * np.eye(2)
+        step = np.clip(np.linalg.solve(hessian, [dm, d]), -1, 1)
         a, b = a + step[0], b + step[1]
         if np.abs(step).max() < 1e-9:
             break
     return float(a), float(b)
+
+
+def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """``platt`` on rows at hand."""
+
+    def summed(a, b, high, low):
+        p = logistic(a * margin + b)
+        d, w = np.where(y > 0, high, low) - p, p * (1 - p)
+        return np.array([(d * margin).sum(), d.sum(), (w * margin**2).sum(), (w * margin).sum(), w.sum()])
+
+    return platt(y.sum(), (1 - y).sum(), summed)

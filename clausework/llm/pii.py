@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import itertools
 import re
@@ -13,13 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from clausework.llm.boosting import Trees, calibrate, fit, logistic
-from clausework.llm.common import map_rows, materialize
+from clausework.llm.boosting import QUANTILES, Trees, binned, calibrate, fit, grow, histograms, logistic, platt
+from clausework.llm.common import map_rows, materialize, running_totals
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 40
 #: Positive rows of a kind below which the sampled documents do not suffice.
 RARE = 1000
+#: Rows below which no model is fitted.
+LEAST = 50
 Span = tuple[str, int, int]
 
 # Fixed patterns of the base spans. The look-behinds only keep a failed run from being tried again at
@@ -143,20 +146,20 @@ def rewrites(kind: str, own: str) -> list[tuple[str, int]]:
     return [("00" + own[1:], 1), (f"({number[-10:-7]}) {number[-7:-4]}-{number[-4:]}", 1), (number[:9], 0), (f"{number[:4]}-{number[4:6]}-{number[6:8]}", 0), (f"{number[:3]}.{number[3:5]}", 0)]
 
 
-def labelled(text: str) -> list[tuple[list[float], int, int]]:
+def labelled(text: str) -> Iterator[tuple[list[float], int, int]]:
     """Training rows of one text: (features, kind, label).
 
     Base spans and their other spellings, put in their place in the text, are positive; damaged
     spellings and candidates between base spans are negative.
     """
-    base, rows = base_spans(text), []
+    base = base_spans(text)
     for kind, a, b in base:
-        rows.append((features((kind, a, b), text), KINDS.index(kind), 1))
+        yield features((kind, a, b), text), KINDS.index(kind), 1
         before, after = text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
         for own, label in rewrites(kind, text[a:b]):
-            rows.append((features((kind, len(before), len(before) + len(own)), before + own + after), KINDS.index(kind), label))
-    rows += [(features(c, text), KINDS.index(c[0]), 0) for c in candidates(text, base)]
-    return rows
+            yield features((kind, len(before), len(before) + len(own)), before + own + after), KINDS.index(kind), label
+    for c in candidates(text, base):
+        yield features(c, text), KINDS.index(c[0]), 0
 
 
 @dataclass(frozen=True)
@@ -167,18 +170,27 @@ class Model:
     thresholds: tuple[float, ...]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return logistic(self.slope * self.trees.margin(x) + self.offset)
+        return certainty(self.slope * self.trees.margin(x) + self.offset)
+
+
+def certainty(z: np.ndarray) -> np.ndarray:
+    """Probabilities of calibrated margins, rounded so that they agree with a threshold wherever they are computed."""
+    return np.round(logistic(z), 12)
 
 
 def _labelled_rows(docs: DataFrame, kinds: tuple[int, ...] | None = None) -> DataFrame:
     """Training rows of every text with their place in the draw; of ``kinds``, positive rows only."""
 
+    def found(batch):
+        for t in batch.column("text").to_pylist():
+            if t and (kinds is None or any(KINDS.index(s[0]) in kinds for s in base_spans(t))):
+                yield from (r for r in labelled(t) if kinds is None or (r[2] and r[1] in kinds))
+
     def rows(batches):
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                if t and (kinds is None or any(KINDS.index(s[0]) in kinds for s in base_spans(t))):
-                    found = [r for r in labelled(t) if kinds is None or (r[2] and r[1] in kinds)]
-                    yield pa.RecordBatch.from_arrays([pa.array([list(map(float, r[0])) for r in found], pa.list_(pa.float64())), pa.array([r[1] for r in found], pa.int32()), pa.array([r[2] for r in found], pa.int32())], names=["x", "kind", "y"])
+            some = found(batch)
+            while part := list(itertools.islice(some, SCORED)):
+                yield pa.RecordBatch.from_arrays([pa.array([list(map(float, r[0])) for r in part], pa.list_(pa.float64())), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.int32())], names=["x", "kind", "y"])
 
     return docs.select("text").mapInArrow(rows, "x array<double>, kind int, y int").withColumn("turn", F.xxhash64(F.col("x").cast("string"), "kind", "y"))
 
@@ -209,15 +221,25 @@ def training_rows(docs: DataFrame, sample_docs: int, max_rows: int) -> tuple[np.
     return tuple(np.concatenate(c) if c else np.array([]) for c in (xs, kinds, ys, held, weights))
 
 
-def train(docs: DataFrame, sample_docs: int = 20_000, max_rows: int = 40_000, precision: float = 0.995) -> Model | None:
-    """Fit trees on candidates of about ``sample_docs`` documents chosen by hash, at most ``max_rows`` rows.
+def train(docs: DataFrame, sample_docs: int | None = None, max_rows: int | None = None, precision: float = 0.995) -> Model | None:
+    """Fit trees on the candidates of all documents, and set each kind's threshold.
 
-    The rows are drawn per kind and label. A fifth of them calibrates the probabilities and sets each kind's
-    threshold: the lowest at which the chosen rows, weighted by what they stand for, reach ``precision``.
+    A fifth of the distinct rows is held out: it calibrates the probabilities and gives each kind's threshold, the lowest at
+    which the held-out rows reach ``precision``. Rows stay in Spark and count as often as they occur; the driver gets sums of
+    fixed size. With ``sample_docs`` and ``max_rows`` (for trials) the model is fitted on rows drawn by ``training_rows`` instead.
     None where there are no examples of both classes.
     """
+    return fitted_everywhere(docs, precision) if sample_docs is None else fitted_on_draw(docs, sample_docs, max_rows, precision)
+
+
+def threshold(reached: float | None) -> float:
+    """No candidate passes where the precision is never reached."""
+    return 1.1 if reached is None else max(0.9, float(reached))
+
+
+def fitted_on_draw(docs: DataFrame, sample_docs: int, max_rows: int, precision: float) -> Model | None:
     x, kind, y, held, weight = training_rows(docs, sample_docs, max_rows)
-    if len(y) < 50 or y.min() == y.max():
+    if len(y) < LEAST or y.min() == y.max():
         return None
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         return None
@@ -230,10 +252,95 @@ def train(docs: DataFrame, sample_docs: int = 20_000, max_rows: int = 40_000, pr
         ranked = own[np.argsort(-p[own], kind="stable")]
         w = weight[held][ranked]
         good = np.cumsum(w * y[held][ranked]) / np.cumsum(w) >= precision
-        cuts.append(max(0.9, float(p[ranked[np.flatnonzero(good)[-1]]])) if good.any() else 1.1)
+        cuts.append(threshold(p[ranked[np.flatnonzero(good)[-1]]] if good.any() else None))
     return Model(trees, slope, offset, tuple(cuts))
 
 
+def fitted_everywhere(docs: DataFrame, precision: float) -> Model | None:
+    """The model of all rows: distinct rows with their number, then sums over them."""
+    distinct = materialize(_labelled_rows(docs).groupBy("x", "kind", "y", "turn").agg(F.count("*").alias("times")), "pii-rows")
+    # Of every kind and label the row of the least hash is held out in any case.
+    first = {(r["kind"], r["y"]): r["turn"] for r in distinct.groupBy("kind", "y").agg(F.min("turn").alias("turn")).collect()}
+    least = functools.reduce(lambda found, c: found | ((F.col("kind") == c[0][0]) & (F.col("y") == c[0][1]) & (F.col("turn") == c[1])), first.items(), F.lit(False))
+    rows = distinct.withColumn("held", (F.pmod("turn", F.lit(5)) == 0) | least)
+    number = {(r["held"], r["y"]): r["n"] for r in rows.groupBy("held", "y").agg(F.sum("times").alias("n")).collect()}
+    if sum(number.values()) < LEAST or len(number) < 4:
+        return None
+    trees = grown(rows.where("not held"), number[False, 1] / (number[False, 0] + number[False, 1]))
+    held = materialize(with_margins(rows.where("held"), trees).groupBy("kind", "margin").agg(F.sum(F.col("times") * F.col("y")).alias("good"), F.sum("times").alias("times")), "pii-held")
+    slope, offset = calibrated(held, number[True, 1], number[True, 0])
+    return Model(trees, slope, offset, tuple(threshold(c) for c in cuts_of(held, slope, offset, precision)))
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def grown(rows: DataFrame, share: float) -> Trees:
+    """Trees on ``rows`` (x, y, times): bins from the exact quantiles of each feature, one pass of sums for each level of a tree."""
+    values = rows.select(F.posexplode("x").alias("feature", "value"), "times").groupBy("feature", "value").agg(F.sum("times").alias("times"))
+    quantiles = values.groupBy("feature").agg(F.percentile("value", F.array(*map(F.lit, QUANTILES.tolist())), F.col("times")).alias("q")).collect()
+    edges = [np.unique(r["q"]) for r in sorted(quantiles, key=lambda r: r["feature"])]
+
+    def bins(batches):
+        for batch in (b for b in batches if b.num_rows):
+            cells = binned(_matrix(batch.column("x")), edges)
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in cells], pa.binary()), batch.column("y"), batch.column("times")], names=["bins", "y", "times"])
+
+    def blocks(batches):
+        for batch in (b for b in batches if b.num_rows):
+            packed = [b"".join(batch.column("bins").to_pylist()), *(batch.column(c).to_numpy().astype(np.int64).tobytes() for c in ("y", "times"))]
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in packed], names=["bins", "y", "times"])
+
+    equal = rows.select("x", "y", "times").mapInArrow(bins, "bins binary, y int, times long").groupBy("bins", "y").agg(F.sum("times").alias("times"))
+    stored = materialize(equal.mapInArrow(blocks, "bins binary, y binary, times binary"), "pii-bins").rdd
+    wide = len(edges)
+
+    def summed(*tree):
+        def sums(part):
+            total = None
+            for r in part:
+                y, times = (np.frombuffer(r[c], np.int64) for c in ("y", "times"))
+                found = histograms(np.frombuffer(r["bins"], np.uint8).reshape(-1, wide), y, times, *tree)
+                total = found if total is None else total + found
+            return iter(() if total is None else (total,))
+
+        return stored.mapPartitions(sums).treeReduce(np.add)
+
+    return grow(edges, share, summed)
+
+
+def with_margins(rows: DataFrame, trees: Trees) -> DataFrame:
+    def margins(batches):
+        for batch in (b for b in batches if b.num_rows):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "y", "times")), pa.array(trees.margin(_matrix(batch.column("x"))))], names=["kind", "y", "times", "margin"])
+
+    return rows.select("x", "kind", "y", "times").mapInArrow(margins, "kind int, y int, times long, margin double")
+
+
+def calibrated(held: DataFrame, positive: int, negative: int) -> tuple[float, float]:
+    """Platt's curve over ``held`` (margin, good, times), from sums of fixed size."""
+
+    def summed(a, b, high, low):
+        m, n = F.col("margin"), F.col("times")
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), a * m + b))))
+        d, w = F.col("good") * high + (n - F.col("good")) * low - n * p, n * p * (1 - p)
+        return held.agg(*[F.sum(c) for c in (d * m, d, w * m * m, w * m, w)]).first()
+
+    slope, offset = platt(positive, negative, summed)
+    return round(slope, 9), round(offset, 9)
+
+
+def cuts_of(held: DataFrame, slope: float, offset: float, precision: float) -> list[float | None]:
+    """Per kind, the lowest probability at which the rows from there on upwards reach ``precision``."""
+    ranked = held.select(F.col("kind").cast("long").alias("kind"), (-(slope * F.col("margin") + offset)).alias("far"), "good", "times")
+    for name in ("good", "times"):
+        ranked = running_totals(ranked, "kind", ["far"], name, f"{name}_before")
+    far = ranked.groupBy("kind", "far").agg(*[F.max(F.col(n) + F.col(f"{n}_before")).alias(n) for n in ("good", "times")])  # equal ones stand or fall together
+    reached = {r["kind"]: r["far"] for r in far.where(F.col("good") >= precision * F.col("times")).groupBy("kind").agg(F.max("far").alias("far")).collect()}
+    return [float(certainty(np.array([-reached[k]]))[0]) if k in reached else None for k in range(len(KINDS))]
+
+
 def all_spans(texts: list[str], model: Model | None) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and added spans of each text.
 
