@@ -23,6 +23,8 @@ CONTEXT = 40
 RARE = 1000
 #: Rows below which no model is fitted.
 LEAST = 50
+#: Distinct rows for each file of a table that fitting reads again and again, so that small tables lie in few files whatever the number of shuffle partitions.
+FILE_ROWS = 1 << 15
 Span = tuple[str, int, int]
 
 # Fixed patterns of the base spans. The look-behinds only keep a failed run from being tried again at
@@ -263,23 +265,30 @@ def fitted_everywhere(docs: DataFrame, precision: float) -> Model | None:
     first = {(r["kind"], r["y"]): r["turn"] for r in distinct.groupBy("kind", "y").agg(F.min("turn").alias("turn")).collect()}
     least = functools.reduce(lambda found, c: found | ((F.col("kind") == c[0][0]) & (F.col("y") == c[0][1]) & (F.col("turn") == c[1])), first.items(), F.lit(False))
     rows = distinct.withColumn("held", (F.pmod("turn", F.lit(5)) == 0) | least)
-    number = {(r["held"], r["y"]): r["n"] for r in rows.groupBy("held", "y").agg(F.sum("times").alias("n")).collect()}
+    counted = rows.groupBy("held", "y").agg(F.sum("times").alias("n"), F.count("*").alias("rows")).collect()
+    number = {(r["held"], r["y"]): r["n"] for r in counted}
     if sum(number.values()) < LEAST or len(number) < 4:
         return None
     trees = grown(rows.where("not held"), number[False, 1] / (number[False, 0] + number[False, 1]))
-    held = materialize(with_margins(rows.where("held"), trees).groupBy("kind", "margin").agg(F.sum(F.col("times") * F.col("y")).alias("good"), F.sum("times").alias("times")), "pii-held")
+    margins = with_margins(rows.where("held"), trees).groupBy("kind", "margin").agg(F.sum(F.col("times") * F.col("y")).alias("good"), F.sum("times").alias("times"))
+    held = materialize(margins.coalesce(files_for(sum(r["rows"] for r in counted if r["held"]))), "pii-held")
     slope, offset = calibrated(held, number[True, 1], number[True, 0])
     return Model(trees, slope, offset, tuple(threshold(c) for c in cuts_of(held, slope, offset, precision)))
 
 
+def files_for(rows: int) -> int:
+    """Files that ``rows`` distinct rows are stored in."""
+    return max(1, -(-rows // FILE_ROWS))
+
+
 def _matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def grown(rows: DataFrame, share: float) -> Trees:
     """Trees on ``rows`` (x, y, times): bins from the exact quantiles of each feature, one pass of sums for each level of a tree."""
-    values = rows.select(F.posexplode("x").alias("feature", "value"), "times").groupBy("feature", "value").agg(F.sum("times").alias("times"))
-    quantiles = values.groupBy("feature").agg(F.percentile("value", F.array(*map(F.lit, QUANTILES.tolist())), F.col("times")).alias("q")).collect()
+    values = rows.select(F.posexplode("x").alias("feature", "value"), "times").groupBy("feature", "value").agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
+    quantiles = values.groupBy("feature").agg(F.percentile("value", F.array(*map(F.lit, QUANTILES.tolist())), F.col("times")).alias("q"), F.sum("rows").alias("rows")).collect()
     edges = [np.unique(r["q"]) for r in sorted(quantiles, key=lambda r: r["feature"])]
 
     def bins(batches):
@@ -293,7 +302,7 @@ def grown(rows: DataFrame, share: float) -> Trees:
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in packed], names=["bins", "y", "times"])
 
     equal = rows.select("x", "y", "times").mapInArrow(bins, "bins binary, y int, times long").groupBy("bins", "y").agg(F.sum("times").alias("times"))
-    stored = materialize(equal.mapInArrow(blocks, "bins binary, y binary, times binary"), "pii-bins").rdd
+    stored = materialize(equal.coalesce(files_for(max(r["rows"] for r in quantiles))).mapInArrow(blocks, "bins binary, y binary, times binary"), "pii-bins").rdd
     wide = len(edges)
 
     def summed(*tree):
