@@ -120,8 +120,7 @@ def registry_best(spark, sf):
     reg = tables.load(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("registry_id"), (F.col("s_suppkey") % 80).alias("number"), F.lower("s_name").alias("official_title"), (F.col("s_acctbal") < 0).alias("is_amendment"), "s_acctbal"
     )
-    ratio = F.coalesce(F.round(similarity.edit_ratio("title", "official_title"), 6), F.lit(-1.0))
-    return J.best_registry_match(docs, reg, ratio)
+    return J.best_registry_match(docs, reg)
 
 
 @query("registry_match", f"WITH {REGISTRY_SQL} SELECT document_id, coalesce(registry_id, -1) AS registry_id, similarity FROM best")

@@ -271,3 +271,38 @@ def test_measurement_parts_are_computed_once():
     from clausework.functions import spans
 
     assert spans.canonical_text("t")._jc.toString().count("regexp_extract(") <= 2
+
+
+def test_registry_titles_meet_in_blocks_without_pairs(spark, monkeypatch):
+    from clausework.functions import edits
+    from clausework.operators import joins as J
+
+    rng = random.Random(9)
+    name = lambda: None if rng.random() < 0.05 else rng.choice(["part ", "port ", ""]) + "".join(rng.choice("abé中") for _ in range(rng.randint(0, 7)))
+    docs = [(i, i % 4 if i % 13 else None, name()) for i in range(150)]
+    registry = [(None if i == 7 else 900 - i, i % 3, name(), i % 3 == 2 or i % 5 == 0) for i in range(90)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    ratio = lambda a, b: -1.0 if a is None or b is None else round(1 - distance(a, b) / max(len(a), len(b), 1), 6)
+    monkeypatch.setattr(J, "TITLE_BLOCK", 5)
+    monkeypatch.setattr(J, "OFFICIAL_BLOCK", 4)
+    monkeypatch.setattr(edits, "CELLS", 10)
+    d = spark.createDataFrame(docs, "document_id long, number long, title string")
+    r = spark.createDataFrame(registry, "registry_id long, number long, official_title string, is_amendment boolean")
+    found = J.best_registry_match(d, r)
+    got = {x["document_id"]: (x["registry_id"], x["similarity"]) for x in found.collect()}
+    for i, number, title in docs:
+        mine = [x for x in registry if x[1] == number]
+        first = min((x[3] for x in mine), default=None)
+        ranked = sorted((-ratio(title, x[2]), x[0] is None, x[0] or 0) for x in mine if x[3] == first)
+        assert got[i] == ((None if ranked[0][1] else ranked[0][2], -ranked[0][0]) if ranked else (None, -1.0)), (i, number, title)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "levenshtein(title" not in plan.split("MapInArrow")[-1]
