@@ -89,3 +89,49 @@ def test_term_mentions_sum_inside_parts(spark, monkeypatch):
     found = K.term_mentions(units, terms)
     assert {tuple(r) for r in found.collect()} == {(1, "alpha", 0.9, 3), (2, "beta", 0.8, 2), (2, "beta b", 0.55, 1)}
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranked_rows_leave_a_task_once(spark, monkeypatch):
+    from clausework.operators import postings as P
+
+    monkeypatch.setattr(P, "PART_UNITS", 7)
+    _, units = some_units(spark)
+    asked = spark.createDataFrame([(1, "Beta 12 alpha"), (2, "alpha gamma7"), (3, "nowhere doc"), (4, "head doc")], "query_id long, question string")
+    run = L.Lexical(asked, units.repartition(3).cache())
+    order = lambda r: (-r["score"], -r["matched_terms"], r["document_id"], r["unit_order"])
+    full = {}
+    for r in run.first_stage().collect():
+        full.setdefault(r["query_id"], []).append(r)
+    few = run.first_stage("top", 4)
+    assert few.count() <= 3 * 4 * 4
+    got = {(r["query_id"], r["rank"]): (r["document_id"], r["unit_order"], r["score"]) for r in L.top(few, 4).collect()}
+    assert got == {(q, i + 1): (r["document_id"], r["unit_order"], r["score"]) for q, rows in full.items() for i, r in enumerate(sorted(rows, key=order)[:4])}
+    documents = run.first_stage("documents", 2)
+    assert documents.count() <= 3 * 4 * 2
+    best = {q: list(dict.fromkeys(r["document_id"] for r in sorted(rows, key=order)))[:2] for q, rows in full.items()}
+    assert {(r["query_id"], r["document_rank"]): r["document_id"] for r in run.best_documents(2).collect()} == {(q, i + 1): d for q, ds in best.items() for i, d in enumerate(ds)}
+
+
+def test_hashed_units_are_ranked_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(D, "PART_UNITS", 7)
+    monkeypatch.setattr(D, "CHUNK", 3)
+    monkeypatch.setattr(D, "QUERY_BLOCK", 2)
+    rows, units = some_units(spark)
+    units = units.unionByName(spark.createDataFrame([(50, 1, "", "h", "d"), (50, 2, None, "h", "d"), (50, 3, "甲乙丙丁 x-1/2 甲乙", "h", "d")], units.schema))
+    q = D.hash_vectors(spark.createDataFrame([(1, "Beta 12"), (2, "alpha甲乙丙"), (3, "gamma7 beta-alpha"), (4, "none")], "query_id long, question string"), ["query_id"], "question")
+    plain = lambda df: {(r["query_id"], r["rank"]): (r["document_id"], r["unit_order"], round(r["score"], 8)) for r in df.collect()}
+    keys = ["document_id", "unit_order"]
+    found = D.hash_knn_parts(q, D.hash_parts(units, "search_text"), 6, 0.0)
+    assert plain(found) == plain(D.hash_knn(q, D.hash_vectors(units, keys, "search_text"), keys, 6, 0.0))
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    pairs = spark.createDataFrame([(query, d) for query in (1, 2, 3) for d in (1, 4, 50) if (query + d) % 2], "query_id long, document_id long")
+    scoped = units.join(pairs.groupBy("document_id").agg(F.collect_set("query_id").alias("scope")), "document_id")
+    assert plain(D.hash_knn_parts(q, D.hash_parts(scoped, "search_text"), 6, 0.0)) == plain(D.hash_knn(q, D.hash_vectors(units, keys, "search_text"), keys, 6, 0.0, pairs))
+
+
+def test_shared_fields_are_made_once_for_a_document(spark):
+    from clausework import tables
+
+    plan = tables.retrieval_units(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate", 1)
+    assert "source" not in above and "source" in below
