@@ -6,6 +6,8 @@ Patterns avoid look-around unless a comment says otherwise.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, functions as F
 
@@ -70,8 +72,9 @@ def compact(col) -> Column:
 
 
 def holds_compact(col, least: int) -> Column:
-    """Whether ``compact`` text has at least ``least`` characters; reads only as far as needed."""
-    return F.lower(_c(col)).rlike(f"^(?:[^0-9a-z{HAN}]*+[0-9a-z{HAN}]){{{least}}}")
+    """Whether ``compact`` text has at least ``least`` characters; reads only as far as needed, so the text is not lowered."""
+    signs = f"0-9a-zA-Z\u0130\u212A{HAN}"  # all that is one of these in lower case
+    return _c(col).rlike(f"^(?:[^{signs}]*+[{signs}]){{{least}}}")
 
 
 def squeeze(col) -> Column:
@@ -260,26 +263,35 @@ def identity_present(text, number, title) -> Column:
 
 def unstructured_table_flag(col) -> Column:
     """Long streams of mostly numeric or very short lines, or text under a table caption."""
-    parts = F.filter(F.transform(lines(col), lambda s: F.trim(s)), lambda s: s != "")
-    n = F.size(parts)
-    numeric = F.size(F.filter(parts, lambda s: s.rlike("^[-+<≥≤~～—./0-9%°℃mMkKgGtTPa]+$")))
-    short = F.size(F.filter(parts, lambda s: ~holds_compact(s, 7)))
-    caption = F.exists(parts, lambda s: s.rlike("^(?:表|续表)[ \\t]*[A-Za-z0-9]"))
-    return _is((n > 0) & (caption | ((n >= 30) & ((numeric / n >= 0.20) | (short / n >= 0.55)))))
+    from clausework.functions.spans import bound
+
+    text = _c(col)
+    caption = text.contains("表") & text.rlike("(?md)^ *+(?:表|续表)[ \\t]*[A-Za-z0-9]")
+
+    def streams(parts):
+        n = F.size(parts)
+        numeric = F.size(F.filter(parts, lambda s: s.rlike("^[-+<≥≤~～—./0-9%°℃mMkKgGtTPa]+$")))
+        short = F.size(F.filter(parts, lambda s: ~holds_compact(s, 7)))
+        return (n >= 30) & ((numeric / n >= 0.20) | (short / n >= 0.55))
+
+    # Fewer than 30 line ends cannot make 30 lines, so most texts are not cut.
+    many = text.rlike("(?s)^(?:[^\\n]*+\\n){29}")
+    return _is(caption | F.when(many, bound(F.filter(F.transform(lines(col), lambda s: F.trim(s)), lambda s: s != ""), streams)).otherwise(False))
 
 
 def front_matter_flag(col) -> Column:
     """Contents list or cover merged with a foreword at the start of the text."""
     dense = squeeze(col)
     opening = F.substring(dense, 1, 500)
-    contents = opening.contains("目录") & (
-        (count_of(_c(col), F.lit("......")) >= 3) | (count_of(_c(col), F.lit("……")) >= 3)
-    )
-    cover = (
+    # A sign stands in the squeezed text if it stands in the text. Most texts need no squeezing, and a branch, other than a conjunction, is left out.
+    holds = lambda signs: reduce(and_, [_c(col).contains(x) for x in signs])
+    contents = F.when(holds("目录"), opening.contains("目录") & ((count_of(_c(col), F.lit("......")) >= 3) | (count_of(_c(col), F.lit("……")) >= 3))).otherwise(False)
+    cover = F.when(
+        holds("华国前言"),
         opening.contains("中华人民共和国")
         & F.substring(dense, 1, 1200).contains("前言")
-        & (opening.contains("发布") | opening.contains("实施"))
-    )
+        & (opening.contains("发布") | opening.contains("实施")),
+    ).otherwise(False)
     return contents | cover
 
 

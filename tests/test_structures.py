@@ -306,3 +306,9 @@ def test_registry_titles_meet_in_blocks_without_pairs(spark, monkeypatch):
         assert got[i] == ((None if ranked[0][1] else ranked[0][2], -ranked[0][0]) if ranked else (None, -1.0)), (i, number, title)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "levenshtein(title" not in plan.split("MapInArrow")[-1]
+
+
+def test_leaves_are_made_once(spark):
+    plan = Lv.branch_leaves(Lv.leaf_branches(spark.createDataFrame([unit(1, "clause", "x")], UNIT_SCHEMA)))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.lstrip(" +-:").startswith("Filter")]
+    assert filters and not any("source_unit_with_context" in line for line in filters)

@@ -106,3 +106,25 @@ def test_compact_length_without_replacing(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(*[(T.holds_compact("t", n) == (F.char_length(T.compact("t")) >= n)).alias(f"n{n}") for n in (1, 5, 7, 8)])
     assert all(all(r) for r in rows.collect())
     assert "regexp_replace" not in S.block_list("t", F.lit(True))._jc.toString()
+
+
+def test_flags_cut_and_squeeze_few_texts(spark):
+    stream = "\n".join(["1.5", "", "ab"] * 20)
+    cases = {  # text: (table stream, front matter)
+        "表 1 sizes": (True, False), "x\n  续表\tA": (True, False), "x\r表 1": (False, False), "x\n\t表 1": (False, False), "a 表 1": (False, False), "表\n1": (False, False),
+        stream: (True, False), "\n".join(["1.5"] * 29): (False, False), "\n".join(["1.5"] * 30): (True, False), "\n" * 40: (False, False), "\n".join(["long enough line"] * 40): (False, False),
+        "中华 人民\n共和国 前 言 发布": (False, True), "中华人民共和国 发布": (False, False), "目 录 a......b......c......": (False, True), "目 录 a......": (False, False), "": (False, False),
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r["t"]: (r["a"], r["b"]) for r in df.select("t", T.unstructured_table_flag("t").alias("a"), T.front_matter_flag("t").alias("b")).collect()}
+    assert got == cases
+    assert T.unstructured_table_flag("t")._jc.toString().count("split(") == 1
+
+
+def test_compact_signs_are_counted_without_lowering(spark):
+    texts = ["ABC-12中", "Kİx", "ÅÄß.,!", "a b c d e f g", "", None, "İİ", "ａｂ"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 2, 3, 7):
+        r = df.select(T.holds_compact("t", n).alias("a"), (F.char_length(T.compact("t")) >= n).alias("b")).collect()
+        assert [x["a"] for x in r] == [x["b"] for x in r]
+    assert "lower" not in T.holds_compact("t", 8)._jc.toString()
