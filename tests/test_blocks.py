@@ -135,3 +135,10 @@ def test_shared_fields_are_made_once_for_a_document(spark):
     plan = tables.retrieval_units(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Generate", 1)
     assert "source" not in above and "source" in below
+
+
+def test_texts_without_han_signs_are_not_cut_by_chunk(spark):
+    texts = {"ab c d1-e22 x": ["ab", "d1", "e22"], "": [], "中文字ab 甲": ["中文", "文字", "中文字", "ab"], "a中b": [], None: None, "9 9": []}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["x"] for r in df.select("t", L.tokens("t").alias("x")).collect()} == texts
+    assert "[a-z0-9]{2,}" in L.tokens("t")._jc.toString()
